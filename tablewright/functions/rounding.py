@@ -26,7 +26,8 @@ def round_dp_sql(expr: str, digits: int) -> str:
 def sig_round(c: Column, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits (half-up); 0, NULL pass through.
 
-    Non-finite values pass through unchanged.
+    Non-finite values pass through unchanged; magnitudes below 1e-12 (the
+    size of floating cancellation noise) become 0.
     """
     x = c.cast("double")
     e = F.floor(F.log10(F.abs(x)))
@@ -36,6 +37,7 @@ def sig_round(c: Column, digits: int = 9) -> Column:
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     return (F.when(x.isNull(), F.lit(None).cast("double"))
             .when(~finite | (x == 0), x)
+            .when(F.abs(x) < F.lit(1e-12), F.lit(0.0))
             .when(k >= 0, pos)
             .otherwise(neg))
 
@@ -46,6 +48,7 @@ def sig_round_sql(expr: str, digits: int = 9) -> str:
     return (
         f"(CASE WHEN {x} IS NULL THEN NULL "
         f"WHEN isnan({x}) OR isinf({x}) OR {x} = 0 THEN {x} "
+        f"WHEN abs({x}) < 1e-12 THEN 0.0 "
         f"WHEN {k} >= 0 THEN CAST(floor({x} * pow(10.0, {k}) + 0.5) AS DOUBLE) / pow(10.0, {k}) "
         f"ELSE CAST(floor({x} / pow(10.0, -{k}) + 0.5) AS DOUBLE) * pow(10.0, -{k}) END)"
     )
