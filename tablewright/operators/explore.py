@@ -80,10 +80,11 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
     counts = (df.select(g, b.cast("int").alias("bin")).where(x.isNotNull())
               .groupBy("group", "bin").agg(F.count(F.lit(1)).alias("count")))
     groups = counts.groupBy("group").agg(F.sum("count").alias("n_group"))
-    grid = groups.select("group", "n_group", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bin"))
-    out = grid.join(counts, [grid["group"].eqNullSafe(counts["group"]), grid["bin"] == counts["bin"]], "left") \
-        .select(grid["group"], grid["bin"], F.coalesce(counts["count"], F.lit(0)).cast("long").alias("count"),
-                grid["n_group"])
+    grid = groups.select(F.col("group").alias("_gg"), "n_group",
+                         F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_gb"))
+    out = grid.join(counts, [F.col("_gg").eqNullSafe(F.col("group")), F.col("_gb") == F.col("bin")], "left") \
+        .select(F.col("_gg").alias("group"), F.col("_gb").alias("bin"),
+                F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), "n_group")
     center = F.lit(lo) + F.col("bin") * F.lit(w)
     out = out.select(
         "group", F.col("bin").cast("long").alias("bin"),
