@@ -50,6 +50,18 @@ def filter_domain(df: DataFrame, col: str) -> DataFrame:
     return df.select(qcol(col).alias("value")).distinct()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows over the cluster's task slots before a CPU-heavy expansion.
+
+    Adaptive execution merges small shuffle partitions by byte size, which
+    would put a step that multiplies the work by hundreds into one task; an
+    explicit partition count is kept as given.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 # ---------------------------------------------------------------- histogram
 def _range_stats(df: DataFrame, col: str, by: str | None) -> list:
     keys = [qcol(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]
@@ -103,47 +115,61 @@ def nrd0(sd: float | None, iqr: float | None, n: int, first_abs: float | None =
     return 0.9 * lo * n ** (-0.2)
 
 
-def _group_stats(df: DataFrame, col: str, by: str | None) -> DataFrame:
-    """Per group: n, min, max, sd, q1, q3 (exact, distributed)."""
-    base = df.select(*([qcol(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]),
+def _group_stats(df: DataFrame, col: str, by: str | None) -> list[dict]:
+    """Per group: n, min, max, sd, q1, q3 (exact, distributed); summary-sized, returned to the driver."""
+    base = df.select(*([qcol(by).cast("string").alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]),
                      qcol(col).cast("double").alias("_x"))
-    mom = base.where(F.col("_x").isNotNull()).groupBy("_g").agg(
+    mom = {r["_g"]: r.asDict() for r in base.where(F.col("_x").isNotNull()).groupBy("_g").agg(
         F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-        F.stddev_samp("_x").alias("sd"))
-    q = quantiles_long(base, ["_x"], [0.25, 0.75], by=["_g"]).select("_g", F.col("q0").alias("q1"),
-                                                                    F.col("q1").alias("q3"))
-    return mom.join(q, mom["_g"].eqNullSafe(q["_g"])).select(mom["_g"], "n", "lo", "hi", "sd", "q1", "q3")
+        F.stddev_samp("_x").alias("sd")).collect()}
+    for r in quantiles_long(base, ["_x"], [0.25, 0.75], by=["_g"]).collect():
+        if r["_g"] in mom:
+            mom[r["_g"]].update(q1=r["q0"], q3=r["q1"])
+    return list(mom.values())
+
+
+#: private key standing for a missing group value inside the density plan
+_NULL_GROUP = "\u0000null"
 
 
 def density(df: DataFrame, col: str, by: str | None = None, n_grid: int = 512) -> DataFrame:
     """Gaussian kernel density on an ``n_grid`` grid from min to max (per group), bandwidth nrd0.
 
-    Exact sum over all rows.  Each row is expanded against the fixed grid with
-    ``explode(sequence(...))`` right before a partial aggregation, so the
-    expansion is pipelined inside one stage and only ``n_grid`` partial sums
-    per task and group cross the shuffle.
+    Exact sum over all rows.  Identical values are counted first (which also
+    spreads the rows over the shuffle partitions); each distinct value is
+    then expanded against the fixed grid with ``explode(sequence(...))``
+    right before a partial aggregation, so the expansion is pipelined inside
+    one stage and only ``n_grid`` partial sums per task and group cross the
+    shuffle.  Per-group parameters join as a broadcast table whose size (the
+    group count) is checked first.
     """
-    stats = _group_stats(df, col, by).collect()
+    stats = _group_stats(df, col, by)
     if len(stats) > 100_000:
         raise ValueError("too many groups for a density per group")
     rows = []
     for r in stats:
-        bw = nrd0(r["sd"], (r["q3"] - r["q1"]) if r["q1"] is not None else None, r["n"], r["lo"])
+        bw = nrd0(r["sd"], (r["q3"] - r["q1"]) if r.get("q1") is not None else None, r["n"], r["lo"])
         step = (r["hi"] - r["lo"]) / (n_grid - 1) if n_grid > 1 else 0.0
-        rows.append((r["_g"], float(r["lo"]), float(step), float(bw), int(r["n"])))
+        key = _NULL_GROUP if r["_g"] is None else r["_g"]
+        rows.append((key, float(r["lo"]), float(step), float(bw), int(r["n"])))
     spark = df.sparkSession
     params = spark.createDataFrame(rows, "_pg string, _lo double, _step double, _bw double, _n long")
     g = qcol(by).cast("string") if by else F.lit(None).cast("string")
-    base = df.select(g.alias("_g"), qcol(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    joined = base.join(F.broadcast(params), base["_g"].eqNullSafe(params["_pg"]))
+    base = df.select(F.coalesce(g, F.lit(_NULL_GROUP)).alias("_g"), qcol(col).cast("double").alias("_x")) \
+        .where(F.col("_x").isNotNull())
+    weighted = spread(base.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w")), "_g", "_x")
+    joined = weighted.join(F.broadcast(params), F.col("_g") == F.col("_pg"))
     grid_x = F.col("_lo") + F.col("_idx") * F.col("_step")
     u = (grid_x - F.col("_x")) / F.col("_bw")
-    sums = (joined.select("_g", "_lo", "_step", "_bw", "_n", "_x",
+    sums = (joined.select("_g", "_x", "_w", "_lo", "_step", "_bw", "_n",
                           F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("_idx"))
-            .groupBy("_g", "_idx", "_lo", "_step", "_bw", "_n")
-            .agg(F.sum(F.exp(F.lit(-0.5) * u * u)).alias("_k")))
+            .groupBy("_g", "_idx")
+            .agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * u * u)).alias("_k"),
+                 F.first("_lo").alias("_lo"), F.first("_step").alias("_step"), F.first("_bw").alias("_bw"),
+                 F.first("_n").alias("_n")))
     out = sums.select(
-        F.col("_g").alias("group"), F.col("_idx").cast("long").alias("idx"), grid_x.alias("x"),
+        F.when(F.col("_g") != F.lit(_NULL_GROUP), F.col("_g")).alias("group"),
+        F.col("_idx").cast("long").alias("idx"), grid_x.alias("x"),
         (F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(SQRT_2PI))).alias("density"),
         F.col("_bw").alias("bandwidth"))
     return out if by else out.drop("group")
@@ -288,7 +314,8 @@ def summary_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         if lo is None:
             continue
         w = (hi - lo) / HIST_BINS if hi > lo else 1.0
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(HIST_BINS - 1))
+        # least() skips NULL, so guard missing cells explicitly
+        b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(HIST_BINS - 1)))
         for k in range(HIST_BINS):
             hist_aggs.append(F.sum((b == k).cast("long")).alias(f"_h{i}_{k}"))
     hrow = df.agg(*hist_aggs).first() if hist_aggs else None
