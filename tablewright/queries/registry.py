@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_profile", "q_clean", "q_features", "q_explore", "q_spectrum", "q_fit"]
+MODULES = ["q_profile", "q_clean", "q_features", "q_explore", "q_spectrum", "q_fit", "q_regress"]
 
 
 def _mods():
