@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.columns import qcol
 from ..functions.rounding import round_dp
 from ..functions.special import digamma, kolmogorov_upper, pgamma, pnorm_col, qnorm_col, trigamma
-from .explore import histogram
+from .explore import histogram, spread
 from .rank import quantile_map, ranked_counts
 
 FAMILIES = ("norm", "lnorm", "exp", "gamma", "weibull")
@@ -358,6 +358,7 @@ def cullen_frey_boot(df: DataFrame, col: str, id_col: str, reps: int = 500) -> D
     x = qcol(col).cast("double")
     m = df.agg(F.avg(x)).first()[0]
     base = df.select(qcol(id_col).alias("_id"), (x - F.lit(m)).alias("_d")).where(F.col("_d").isNotNull())
+    base = spread(base, "_id")
     ex = base.select("_id", "_d", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     w = poisson1(hash_uniform(F.col("_id"), F.col("rep"))).cast("double")
     d = F.col("_d")

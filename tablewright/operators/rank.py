@@ -33,10 +33,20 @@ from ..functions.columns import qcol
 
 #: distinct values one window task may hold before we split into buckets
 TARGET_BUCKET_ROWS = 2_000_000
+#: below this many distinct values a single window task is cheaper than bucketing
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def bucket_count(spark, n_rows: int, target_rows: int = TARGET_BUCKET_ROWS) -> int:
+    """Buckets for ``n_rows`` distinct values: none when small, else enough to bound each window task
+    and at least one per task slot so the windows run in parallel."""
+    if n_rows <= SINGLE_TASK_ROWS:
+        return 1
+    return max(math.ceil(n_rows / target_rows), spark.sparkContext.defaultParallelism)
 
 
 def _bucketize(vc: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
-    n_buckets = max(1, math.ceil(n_rows / target_rows))
+    n_buckets = bucket_count(vc.sparkSession, n_rows, target_rows)
     if n_buckets == 1:
         return vc.withColumn("_bucket", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -88,7 +98,7 @@ def ranked_counts(
     n_rows = vc.count()
     vcb = _bucketize(vc, n_rows, target_rows)
     grp = Window.partitionBy(*[F.col(b) for b in by]) if by else Window.partitionBy()
-    if n_rows <= target_rows:
+    if bucket_count(vc.sparkSession, n_rows, target_rows) == 1:
         # one bucket: a group's distinct values fit in a task
         w = grp.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
         out = (vcb.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)).cast("long"))

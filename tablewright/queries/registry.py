@@ -26,5 +26,5 @@ def all_oracle_sql():
 
 
 def flagship(spark, sf):
-    from . import q_profile
-    return q_profile.column_profile(spark, sf)
+    from ..plans.chain import lineitem_chain
+    return lineitem_chain(spark, sf)
