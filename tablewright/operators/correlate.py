@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
@@ -137,10 +137,9 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
     row ranks (count of smaller values) from the distributed ranking, whose
     tables also give the tie counts.  A discordant pair (x_i < x_j,
     y_i > y_j) differs first at exactly one bit of the y-rank, inside one
-    y-prefix: per bit level, a window over the prefix ordered by x-rank
-    counts the earlier rows whose bit is 1.  Rows are pre-aggregated by
-    (level, prefix, bit, x-rank) before the window, so a window partition
-    holds at most the distinct x-ranks of one prefix.
+    y-prefix: per bit level, the rows of a prefix whose bit is 1 and whose
+    x-rank is smaller are counted with the bucketed distributed ranking, so no
+    task holds a whole prefix (the top level has a single prefix).
     """
     xs, ys = qcol(x).cast("double"), qcol(y).cast("double")
     d = (df.select(xs.alias("_x"), ys.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
@@ -160,11 +159,14 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
     lv = ranked.select("rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
     lv = lv.select("b", F.expr("shiftright(ry, b + 1)").alias("prefix"),
                    F.expr("shiftright(ry, b) % 2").alias("bit"), "rx", "cnt")
-    agg = lv.groupBy("b", "prefix", "bit", "rx").agg(F.sum("cnt").alias("cnt"))
-    w = Window.partitionBy("b", "prefix").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    ones_before = F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).over(w)
-    res = agg.select((F.when(F.col("bit") == 0, F.col("cnt") * F.coalesce(ones_before, F.lit(0)))
-                      .otherwise(F.lit(0))).alias("_d")).agg(F.sum("_d").alias("disc")).first()
+    # per (level, prefix, x-rank): rows whose bit is 0 and 1; the bit-1 rows with a smaller x-rank in
+    # the same prefix come from the bucketed ranking (weighted by the bit-1 counts), so even the top
+    # level's single prefix is split over tasks by x-rank range.
+    agg = lv.groupBy("b", "prefix", "rx").agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("cnt")).otherwise(F.lit(0))).alias("c0"),
+        F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
+    rc = ranked_counts(agg, "rx", by=["b", "prefix"], weight="c1", carry=["c0"])
+    res = rc.agg(F.sum(F.col("c0") * F.col("before")).alias("disc")).first()
     txy = d.agg(F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2)).first()[0]
     d.unpersist()
     disc = float(res["disc"] or 0)

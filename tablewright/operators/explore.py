@@ -269,14 +269,24 @@ def qq_points(df: DataFrame, col: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], "position long, sample double, theoretical double")
     n = int(n[0])
     a = ppoints_a(n)
-    chunks = rc.select("value", "before", "cnt", F.explode(
+    pts = expand_positions(rc).select("position", F.col("value").alias("sample"))
+    p = (F.col("position") - F.lit(a)) / F.lit(n + 1 - 2 * a)
+    return pts.select("position", "sample", qnorm_col(p).alias("theoretical"))
+
+
+def expand_positions(rc: DataFrame) -> DataFrame:
+    """One row per sorted position from ranked distinct values ``(value, before, cnt, ...)``.
+
+    A tie group is first cut into chunks of ``QQ_CHUNK`` positions that are
+    hash-spread over tasks, then each chunk generates its positions, so a
+    value holding a third of all rows is expanded by many tasks, not one.
+    """
+    chunks = rc.select("*", F.explode(
         F.sequence(F.lit(0), F.floor((F.col("cnt") - 1) / F.lit(QQ_CHUNK)).cast("long"))).alias("_c"))
-    spread = chunks.repartition("value", "_c")
+    spread_ = chunks.repartition("value", "_c")
     start = F.col("before") + F.col("_c") * F.lit(QQ_CHUNK) + 1
     stop = F.least(F.col("before") + F.col("cnt"), start + F.lit(QQ_CHUNK - 1))
-    pts = spread.select(F.col("value").alias("sample"), F.explode(F.sequence(start, stop)).alias("position"))
-    p = (F.col("position") - F.lit(a)) / F.lit(n + 1 - 2 * a)
-    return pts.select("position", "sample", qnorm_col(p).alias("theoretical"))
+    return spread_.select("*", F.explode(F.sequence(start, stop)).alias("position")).drop("_c")
 
 
 QNORM_Q1 = -0.6744897501960817

@@ -174,6 +174,18 @@ def fit_family(df: DataFrame, col: str, family: str, *, shift: float | None = No
 
 
 def fit_all(df: DataFrame, col: str, families=FAMILIES) -> list[Fit]:
+    """All families on one column.  The single projected column is persisted (memory, spilling to
+    disk) because the Weibull solver makes one pass per Newton step."""
+    from pyspark import StorageLevel
+
+    df = df.select(qcol(col).alias(col)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_all(df, col, families)
+    finally:
+        df.unpersist()
+
+
+def _fit_all(df: DataFrame, col: str, families) -> list[Fit]:
     lo, pos_shift, n = fit_shift(df, col)
     if n < MIN_VALUES:
         raise ValueError(f"need at least {MIN_VALUES} non-missing values")
@@ -385,14 +397,13 @@ def boot_moments(sums: DataFrame) -> DataFrame:
 
 def gof_points(df: DataFrame, col: str, fit: Fit) -> DataFrame:
     """Per sorted position: sample value, empirical CDF, fitted CDF (PP), fitted quantile of ppoints (QQ)."""
-    from .explore import ppoints_a
+    from .explore import expand_positions, ppoints_a
 
     xs = qcol(col).cast("double") + F.lit(fit.shift)
     rc = ranked_counts(df, xs)
     n = rc.select("total").first()[0]
     a = ppoints_a(n)
-    pts = rc.select("value", "before", "cnt", F.explode(
-        F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))).alias("position"))
+    pts = expand_positions(rc.select("value", "before", "cnt"))
     p = (F.col("position") - F.lit(a)) / F.lit(n + 1 - 2 * a)
     return pts.select("position", F.col("value").alias("sample"),
                       (F.col("position") / F.lit(float(n))).alias("ecdf"),

@@ -77,22 +77,25 @@ def ranked_counts(
     *,
     weight: str | Column | None = None,
     target_rows: int = TARGET_BUCKET_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Distinct values per group with exact ranks.
 
     Returns ``(*by, value, cnt, before, total)``: ``before`` counts rows of the
     same group with a strictly smaller value, ``total`` the group's non-null
     rows.  NULL values are dropped.  ``weight`` (a count column) lets callers
-    feed pre-aggregated rows.
+    feed pre-aggregated rows; ``carry`` columns are summed per distinct value
+    and passed through.
     """
     by = list(by)
     vcol = qcol(value) if isinstance(value, str) else value
     wcol = F.lit(1).cast("long") if weight is None else (qcol(weight) if isinstance(weight, str) else weight)
     vc = (
-        df.select(*[qcol(b).alias(b) for b in by], vcol.alias("_value"), wcol.cast("long").alias("_w"))
+        df.select(*[qcol(b).alias(b) for b in by], vcol.alias("_value"), wcol.cast("long").alias("_w"),
+                  *[qcol(c).alias(c) for c in carry])
         .where(F.col("_value").isNotNull())
         .groupBy(*by, "_value")
-        .agg(F.sum("_w").alias("cnt"))
+        .agg(F.sum("_w").alias("cnt"), *[F.sum(c).alias(c) for c in carry])
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     n_rows = vc.count()
@@ -116,7 +119,8 @@ def ranked_counts(
             Window.unboundedPreceding, -1)
         out = (joined.withColumn("before", (F.col("_offset") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).cast("long"))
                .withColumn("total", F.col("_total").cast("long")))
-    return out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total")
+    return out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total",
+                      *carry)
 
 
 def average_rank(rc: DataFrame) -> Column:
