@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol, string_columns
 from ..functions.rounding import round_dp
-from .rank import quantile_map, quantiles_long, ranked_counts
+from .rank import join_back, quantile_map, quantiles_long, ranked_counts, table_size
 
 
 # ------------------------------------------------------------------ missing
@@ -161,7 +161,9 @@ def scale(df: DataFrame, method: str = "zscore", cols: list[str] | None = None,
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """``(level, code)``: 1-based code of each distinct non-missing level in sorted order."""
     rc = ranked_counts(df.select(qcol(col).alias("_lvl")).distinct(), "_lvl")
-    return rc.select(F.col("value").alias("_level"), (F.col("before") + 1).cast("double").alias("_code"))
+    out = rc.select(F.col("value").alias("_level"), (F.col("before") + 1).cast("double").alias("_code"))
+    out._tablewright_rows = table_size(rc)
+    return out
 
 
 def encode_label(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -176,7 +178,7 @@ def encode_label(df: DataFrame, cols: list[str]) -> DataFrame:
             continue
         codes = label_codes(out, c)
         order = out.columns
-        out = (out.join(codes, qcol(c) == F.col("_level"), "left")
+        out = (join_back(out, codes, qcol(c) == F.col("_level"), table_size(codes), "left")
                .select(*[(F.col("_code").alias(x) if x == c else qcol(x)) for x in order]))
     return out
 

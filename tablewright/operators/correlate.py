@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from .clean import null_counts
-from .rank import average_rank, ranked_counts
+from .rank import average_rank, join_back, ranked_counts, table_size
 
 #: aggregates per pass; keeps generated code under the JVM method size limit on wide tables
 PAIRS_PER_PASS = 60
@@ -67,12 +67,12 @@ def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _frame(df, _pearson_rows(df, cols, cols))
 
 
-def _rank_table(df: DataFrame, col: str, mask_col: str | None) -> DataFrame:
+def _rank_table(df: DataFrame, col: str, mask_col: str | None) -> tuple[DataFrame, int | None]:
     base = df.where(qcol(col).isNotNull())
     if mask_col is not None:
         base = base.where(qcol(mask_col).isNotNull())
     rc = ranked_counts(base, qcol(col).cast("double"))
-    return rc.select(F.col("value").alias("_v"), average_rank(rc).alias("_r"))
+    return rc.select(F.col("value").alias("_v"), average_rank(rc).alias("_r")), table_size(rc)
 
 
 def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -102,12 +102,12 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         need(i, None)
     joined = base
     for (i, other), name in rank_cols.items():
-        rt = _rank_table(base, f"_c{i}", None if other is None else f"_c{other}")
+        rt, size = _rank_table(base, f"_c{i}", None if other is None else f"_c{other}")
         rt = rt.withColumnRenamed("_v", f"{name}_v").withColumnRenamed("_r", name)
         cond = F.col(f"_c{i}") == F.col(f"{name}_v")
         if other is not None:
             cond = cond & F.col(f"_c{other}").isNotNull()
-        joined = joined.join(rt, cond, "left").drop(f"{name}_v")
+        joined = join_back(joined, rt, cond, size, "left").drop(f"{name}_v")
     rows = []
     aggs = []
     pairs = list(pair_cols.items())
@@ -152,9 +152,10 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
     if n < 2:
         d.unpersist()
         return None, n
-    ranked = (d.join(rxt.select(F.col("value").alias("_vx"), F.col("before").alias("rx")), F.col("_x") == F.col("_vx"))
-              .join(ryt.select(F.col("value").alias("_vy"), F.col("before").alias("ry")), F.col("_y") == F.col("_vy"))
-              .select("rx", "ry", "cnt"))
+    ranked = join_back(d, rxt.select(F.col("value").alias("_vx"), F.col("before").alias("rx")),
+                       F.col("_x") == F.col("_vx"), table_size(rxt))
+    ranked = join_back(ranked, ryt.select(F.col("value").alias("_vy"), F.col("before").alias("ry")),
+                       F.col("_y") == F.col("_vy"), table_size(ryt)).select("rx", "ry", "cnt")
     levels = max(1, (n - 1).bit_length())
     lv = ranked.select("rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
     lv = lv.select("b", F.expr("shiftright(ry, b + 1)").alias("prefix"),

@@ -50,13 +50,21 @@ def filter_domain(df: DataFrame, col: str) -> DataFrame:
     return df.select(qcol(col).alias("value")).distinct()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: above this many rows adaptive partition sizing already gives plenty of tasks
+SPREAD_MAX_ROWS = 20_000_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """Hash-spread rows over the cluster's task slots before a CPU-heavy expansion.
 
     Adaptive execution merges small shuffle partitions by byte size, which
     would put a step that multiplies the work by hundreds into one task; an
-    explicit partition count is kept as given.
+    explicit partition count is kept as given.  For large inputs (``rows``
+    above ``SPREAD_MAX_ROWS``) the byte-sized partitions are already many, so
+    no extra shuffle is added.
     """
+    if rows is not None and rows > SPREAD_MAX_ROWS:
+        return df
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *[F.col(k) for k in keys])
@@ -157,7 +165,8 @@ def density(df: DataFrame, col: str, by: str | None = None, n_grid: int = 512) -
     g = qcol(by).cast("string") if by else F.lit(None).cast("string")
     base = df.select(F.coalesce(g, F.lit(_NULL_GROUP)).alias("_g"), qcol(col).cast("double").alias("_x")) \
         .where(F.col("_x").isNotNull())
-    weighted = spread(base.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w")), "_g", "_x")
+    total = sum(r[4] for r in rows)
+    weighted = spread(base.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w")), "_g", "_x", rows=total)
     joined = weighted.join(F.broadcast(params), F.col("_g") == F.col("_pg"))
     grid_x = F.col("_lo") + F.col("_idx") * F.col("_step")
     u = (grid_x - F.col("_x")) / F.col("_bw")

@@ -370,7 +370,9 @@ def cullen_frey_boot(df: DataFrame, col: str, id_col: str, reps: int = 500) -> D
     x = qcol(col).cast("double")
     m = df.agg(F.avg(x)).first()[0]
     base = df.select(qcol(id_col).alias("_id"), (x - F.lit(m)).alias("_d")).where(F.col("_d").isNotNull())
-    base = spread(base, "_id")
+    if base.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        # few input splits (small files): spread rows before the 500-fold expansion
+        base = spread(base, "_id")
     ex = base.select("_id", "_d", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     w = poisson1(hash_uniform(F.col("_id"), F.col("rep"))).cast("double")
     d = F.col("_d")

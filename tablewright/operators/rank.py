@@ -70,6 +70,22 @@ def _bucketize(vc: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
     return out.withColumn("_bucket", F.col("_bucket_d").cast("int")).drop("_value_d", "_bucket_d")
 
 
+#: rank tables up to this many rows are broadcast when joined back to row-level data
+BROADCAST_RANK_ROWS = 200_000
+
+
+def join_back(rows: DataFrame, table: DataFrame, cond, n_table_rows: int | None, how: str = "inner") -> DataFrame:
+    """Join a per-value table (ranks, codes) back to row-level data.
+
+    The table is broadcast only when its counted size is small; otherwise a
+    sort-merge join is forced so the optimizer never broadcasts the row side
+    (whose size estimate after column pruning can look small).
+    """
+    if n_table_rows is not None and n_table_rows <= BROADCAST_RANK_ROWS:
+        return rows.join(F.broadcast(table), cond, how)
+    return rows.hint("merge").join(table, cond, how)
+
+
 def ranked_counts(
     df: DataFrame,
     value: str | Column,
@@ -119,8 +135,15 @@ def ranked_counts(
             Window.unboundedPreceding, -1)
         out = (joined.withColumn("before", (F.col("_offset") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).cast("long"))
                .withColumn("total", F.col("_total").cast("long")))
-    return out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total",
-                      *carry)
+    res = out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total",
+                     *carry)
+    res._tablewright_rows = n_rows
+    return res
+
+
+def table_size(df: DataFrame) -> int | None:
+    """Row count of a table returned by :func:`ranked_counts` (known from its planning pass)."""
+    return getattr(df, "_tablewright_rows", None)
 
 
 def average_rank(rc: DataFrame) -> Column:
@@ -199,6 +222,6 @@ def positions(df: DataFrame, order_col: str) -> DataFrame:
     No single-partition window: the ranks come from :func:`ranked_counts`
     joined back on the key.
     """
-    rc = ranked_counts(df, order_col).select(F.col("value").alias("_key"), (F.col("before") + 1).alias("_pos"),
-                                             F.col("total").alias("_n"))
-    return df.join(rc, qcol(order_col) == F.col("_key"), "inner").drop("_key")
+    rc0 = ranked_counts(df, order_col)
+    rc = rc0.select(F.col("value").alias("_key"), (F.col("before") + 1).alias("_pos"), F.col("total").alias("_n"))
+    return join_back(df, rc, qcol(order_col) == F.col("_key"), table_size(rc0)).drop("_key")

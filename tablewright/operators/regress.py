@@ -266,15 +266,16 @@ def residual_points(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame
     normal quantile of r's rank (QQ), from the distributed ranking."""
     from ..functions.special import qnorm_col
     from .explore import ppoints_a
-    from .rank import ranked_counts
+    from .rank import join_back, ranked_counts, table_size
 
     d = diagnostics(df, m, id_cols)
-    rc = ranked_counts(d, "std_residual").select(F.col("value").alias("_r"), "before", "cnt", "total")
+    rc0 = ranked_counts(d, "std_residual")
+    rc = rc0.select(F.col("value").alias("_r"), "before", "cnt", "total")
     n = m.n
     a = ppoints_a(n)
     # tied residuals share the mid position of their tie group
     mid = F.col("before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
-    j = d.join(rc, F.col("std_residual") == F.col("_r"))
+    j = join_back(d, rc, F.col("std_residual") == F.col("_r"), table_size(rc0))
     return j.select(*id_cols, "fitted", "residual", "std_residual",
                     F.sqrt(F.abs(F.col("std_residual"))).alias("sqrt_abs_std_residual"), "cooks_distance",
                     qnorm_col((mid - F.lit(a)) / F.lit(n + 1 - 2 * a)).alias("theoretical"))

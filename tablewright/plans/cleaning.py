@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import numeric_columns
@@ -61,7 +62,9 @@ class CleaningSpec:
 
         if self.remove_dups:
             n0 = out.count()
-            out = C.dedup(out)
+            # the de-duplicated table feeds every later fit pass: keep it (memory, spilling to disk;
+            # a lost block is recomputed from its lineage) instead of repeating the shuffle
+            out = C.dedup(out).persist(StorageLevel.MEMORY_AND_DISK)
             removed = n0 - out.count()
             if removed > 0:
                 log.append(LOG_DUPLICATES.format(n=removed))

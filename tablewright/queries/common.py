@@ -47,15 +47,33 @@ EVENTS_NUM_SQL = f"(SELECT event_id, user_id, event_type, value, value_sparse FR
 
 
 def finish(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Round every double column to ``digits`` significant digits (engine-independent)."""
+    """Round every double column to ``digits`` significant digits (engine-independent).
+
+    Two projections: the decimal exponent is computed once per value, then
+    the rounding uses it (same arithmetic as :func:`sig_round`).
+    """
+    dbl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not dbl:
+        return df
+    q = lambda n: F.col("`" + n + "`")
+    stage = df.select("*", *[(F.lit(digits - 1) - F.floor(F.log10(F.abs(q(n).cast("double"))))).alias(f"__k{i}")
+                             for i, n in enumerate(dbl)])
     out = []
+    idx = {n: i for i, n in enumerate(dbl)}
     for f in df.schema.fields:
-        c = F.col("`" + f.name + "`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(sig_round(c, digits).alias(f.name))
-        else:
-            out.append(c)
-    return df.select(*out)
+        if f.name not in idx:
+            out.append(q(f.name))
+            continue
+        x, k = q(f.name).cast("double"), F.col(f"__k{idx[f.name]}")
+        p = F.pow(F.lit(10.0), F.abs(k))
+        finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+        r = (F.when(x.isNull(), F.lit(None).cast("double"))
+             .when(~finite | (x == 0), x)
+             .when(F.abs(x) < F.lit(1e-12), F.lit(0.0))
+             .when(k >= 0, F.floor(x * p + F.lit(0.5)).cast("double") / p)
+             .otherwise(F.floor(x / p + F.lit(0.5)).cast("double") * p))
+        out.append(r.alias(f.name))
+    return stage.select(*out)
 
 
 def S(expr: str, alias: str | None = None, digits: int = 9) -> str:
