@@ -67,14 +67,6 @@ def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _frame(df, _pearson_rows(df, cols, cols))
 
 
-def _rank_table(df: DataFrame, col: str, mask_col: str | None) -> tuple[DataFrame, int | None]:
-    base = df.where(qcol(col).isNotNull())
-    if mask_col is not None:
-        base = base.where(qcol(mask_col).isNotNull())
-    rc = ranked_counts(base, qcol(col).cast("double"))
-    return rc.select(F.col("value").alias("_v"), average_rank(rc).alias("_r")), table_size(rc)
-
-
 def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman matrix: average ranks on each pair's complete rows, then Pearson.
 
@@ -100,10 +92,20 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         pair_cols[(i, j)] = (need(i, j), need(j, i))
     for i in range(len(cols)):
         need(i, None)
+    # every rank table (one per column, plus one per pair whose partner has gaps) in one ranking pass
+    parts = []
+    for (i, other), name in rank_cols.items():
+        src = base if other is None else base.where(F.col(f"_c{other}").isNotNull())
+        parts.append(src.select(F.lit(name).alias("_key"), F.col(f"_c{i}").alias("_v")))
+    long = parts[0]
+    for p_ in parts[1:]:
+        long = long.unionByName(p_)
+    rc = ranked_counts(long, "_v", by=["_key"])
+    size = table_size(rc)  # rows over all keys: a bound for each key's table
+    rc = rc.select("_key", F.col("value").alias("_v"), average_rank(rc).alias("_r")).persist()
     joined = base
     for (i, other), name in rank_cols.items():
-        rt, size = _rank_table(base, f"_c{i}", None if other is None else f"_c{other}")
-        rt = rt.withColumnRenamed("_v", f"{name}_v").withColumnRenamed("_r", name)
+        rt = rc.where(F.col("_key") == F.lit(name)).select(F.col("_v").alias(f"{name}_v"), F.col("_r").alias(name))
         cond = F.col(f"_c{i}") == F.col(f"{name}_v")
         if other is not None:
             cond = cond & F.col(f"_c{other}").isNotNull()
@@ -144,14 +146,18 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
     xs, ys = qcol(x).cast("double"), qcol(y).cast("double")
     d = (df.select(xs.alias("_x"), ys.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
          .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("cnt"))).persist()
-    rxt = ranked_counts(d, "_x", weight="cnt")
-    ryt = ranked_counts(d, "_y", weight="cnt")
-    tx = rxt.agg(F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2).alias("t"), F.max("total").alias("n")).first()
-    ty = ryt.agg(F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2).alias("t")).first()
-    n = int(tx["n"] or 0)
+    # tie sums for x, y and (x, y) plus n in one pass (grouping sets)
+    ties = {}
+    for r in d.cube("_x", "_y").agg(F.sum("cnt").alias("t"), F.grouping_id().alias("gid")) \
+            .groupBy("gid").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n")) \
+            .collect():
+        ties[r["gid"]] = r
+    n = int(ties[3]["n"]) if 3 in ties else 0
     if n < 2:
         d.unpersist()
         return None, n
+    rxt = ranked_counts(d, "_x", weight="cnt")
+    ryt = ranked_counts(d, "_y", weight="cnt")
     ranked = join_back(d, rxt.select(F.col("value").alias("_vx"), F.col("before").alias("rx")),
                        F.col("_x") == F.col("_vx"), table_size(rxt))
     ranked = join_back(ranked, ryt.select(F.col("value").alias("_vy"), F.col("before").alias("ry")),
@@ -168,11 +174,11 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
         F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
     rc = ranked_counts(agg, "rx", by=["b", "prefix"], weight="c1", carry=["c0"])
     res = rc.agg(F.sum(F.col("c0") * F.col("before")).alias("disc")).first()
-    txy = d.agg(F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2)).first()[0]
     d.unpersist()
     disc = float(res["disc"] or 0)
     n0 = n * (n - 1) / 2
-    n1, n2, n3 = float(tx["t"] or 0), float(ty["t"] or 0), float(txy or 0)
+    # grouping id: 0 = (x, y), 1 = (x), 2 = (y), 3 = ()
+    n1, n2, n3 = float(ties[1]["pairs"] or 0), float(ties[2]["pairs"] or 0), float(ties[0]["pairs"] or 0)
     s_ = (n0 - n1 - n2 + n3) - 2.0 * disc
     den = math.sqrt((n0 - n1) * (n0 - n2))
     return (s_ / den if den > 0 else None), n
