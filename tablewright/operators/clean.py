@@ -341,11 +341,13 @@ def table_facts(df: DataFrame, stage: str) -> DataFrame:
     miss = sum((qcol(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     n_distinct = df.distinct().count()
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("missing_cells"))
+    listing = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema.fields)
     return base.select(
         F.lit(stage).alias("stage"), F.col("n_rows").cast("long").alias("n_rows"),
         F.lit(len(df.columns)).cast("long").alias("n_cols"),
         F.coalesce(F.col("missing_cells"), F.lit(0)).cast("long").alias("missing_cells"),
-        (F.col("n_rows") - F.lit(n_distinct)).cast("long").alias("duplicate_rows"))
+        (F.col("n_rows") - F.lit(n_distinct)).cast("long").alias("duplicate_rows"),
+        F.lit(listing).alias("columns"))
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -389,9 +389,32 @@ def top_counts(df: DataFrame, cols: list[str], k: int = 4, *, salt: int = 256) -
         .select("column", F.col("rank").cast("long"), "value", F.col("cnt").cast("long").alias("count"))
 
 
+def summary_logical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Boolean columns: missing count, complete rate, share of TRUE (mean) and the TRUE/FALSE counts."""
+    cols = cols if cols is not None else [f.name for f in df.schema.fields if f.dataType.typeName() == "boolean"]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_missing long, complete_rate double, "
+                                                   "mean double, n_true long, n_false long")
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        x = qcol(c)
+        aggs += [F.sum(x.isNull().cast("long")).alias(f"_m{i}"), F.avg(x.cast("double")).alias(f"_a{i}"),
+                 F.sum(x.cast("long")).alias(f"_t{i}"), F.sum((~x).cast("long")).alias(f"_f{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(
+        F.lit(c).alias("column"), F.coalesce(F.col(f"_m{i}"), F.lit(0)).cast("long").alias("n_missing"),
+        (F.lit(1.0) - F.coalesce(F.col(f"_m{i}"), F.lit(0)) / F.col("_n")).alias("complete_rate"),
+        F.col(f"_a{i}").alias("mean"), F.coalesce(F.col(f"_t{i}"), F.lit(0)).cast("long").alias("n_true"),
+        F.coalesce(F.col(f"_f{i}"), F.lit(0)).cast("long").alias("n_false")) for i, c in enumerate(cols)])
+    return one.select(F.inline(rows))
+
+
 def summary_other(df: DataFrame, factor_cols: list[str] | None = None, time_cols: list[str] | None = None
                   ) -> DataFrame:
-    """Date/timestamp columns: min, max, median, distinct; factor (text) columns: distinct and top-4 counts."""
+    """Date/timestamp columns: min, max, median, distinct; factor (text) columns: distinct and top-4 counts.
+
+    Boolean columns are summarised by :func:`summary_logical`.
+    """
     spark = df.sparkSession
     time_cols = time_cols if time_cols is not None else [
         f.name for f in df.schema.fields if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")]

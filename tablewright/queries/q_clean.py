@@ -191,11 +191,16 @@ def _log_sql() -> str:
             f"(4, ({n_out}) || ' outliers winsorized (iqr method)')) t(step, message)")
 
 
+LISTING = {"before": "event_id: bigint, user_id: bigint, event_type: string, value: double, value_sparse: double",
+           "after": "event_id: double, user_id: double, event_type: double, value: double, value_sparse: double"}
+
+
 def _facts_sql(stage: str, src: str, ncols: int) -> str:
     miss = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in ["event_id", "user_id", "event_type", "value", "value_sparse"])
     return (f"SELECT '{stage}' AS stage, CAST(count(*) AS BIGINT) AS n_rows, CAST({ncols} AS BIGINT) AS n_cols, "
             f"CAST(coalesce(sum({miss}), 0) AS BIGINT) AS missing_cells, "
-            f"CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows FROM {src}")
+            f"CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows, "
+            f"'{LISTING[stage]}' AS columns FROM {src}")
 
 
 def _before_after_sql() -> str:

@@ -181,3 +181,16 @@ def test_influence_matches_leave_one_out(spark):
     assert m2.n == rest.count() < n
     with pytest.raises(ValueError):
         G.ols_fit(df, "y", ["y"])
+
+
+def test_summary_logical_and_other(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame([(True, "apple", dt.datetime(2024, 1, 1)), (False, "apple", dt.datetime(2024, 1, 3)),
+                                (None, "banana", None), (True, None, dt.datetime(2024, 1, 2))],
+                               "b boolean, f string, t timestamp")
+    lg = E.summary_logical(df).first()
+    assert (lg["n_missing"], lg["n_true"], lg["n_false"]) == (1, 2, 1) and lg["mean"] == pytest.approx(2 / 3)
+    other = {r["column"]: r for r in E.summary_other(df, factor_cols=["f"], time_cols=["t"]).collect()}
+    assert other["f"]["top_counts"] == "app: 2, ban: 1"
+    assert other["t"]["median"] == "2024-01-02 00:00:00" and other["t"]["n_missing"] == 1
