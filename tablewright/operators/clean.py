@@ -69,14 +69,20 @@ def impute(df: DataFrame, numeric: str = "mean", cols: list[str] | None = None,
     """
     num = [c for c in (cols or numeric_columns(df)) if c in numeric_columns(df)]
     txt = string_columns(df) if categorical else []
-    counts = null_counts(df, num + txt)
+    # one pass: missing counts of every candidate column, and the means when those are the fill
+    allc = num + txt
+    aggs = [F.sum(qcol(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(allc)]
+    if numeric == "mean":
+        aggs += [F.avg(qcol(c)).alias(f"_a{i}") for i, c in enumerate(num)]
+    row = df.agg(*aggs).first() if aggs else None
+    counts = {c: int(row[f"_m{i}"] or 0) for i, c in enumerate(allc)} if row else {}
+    means = {c: row[f"_a{i}"] for i, c in enumerate(num)} if (row and numeric == "mean") else {}
     num = [c for c in num if counts[c] > 0]
     txt = [c for c in txt if counts[c] > 0]
     fill: dict[str, object] = {}
     if num:
         if numeric == "mean":
-            row = df.agg(*[F.avg(qcol(c)).alias(f"_a{i}") for i, c in enumerate(num)]).first()
-            fill.update({c: row[f"_a{i}"] for i, c in enumerate(num)})
+            fill.update({c: means[c] for c in num})
         elif numeric == "median":
             qm = quantile_map(df, num, [0.5])
             fill.update({c: qm[c][0] for c in num})
@@ -296,6 +302,23 @@ def remove_outliers_sequential(df: DataFrame, method: str = "iqr", cols: list[st
     return cur, removed
 
 
+def remove_outliers_parallel(df: DataFrame, method: str = "iqr", cols: list[str] | None = None
+                             ) -> tuple[DataFrame, int]:
+    """One-pass variant: every column's bounds from the same (unfiltered) table, then one filter.
+
+    Cheaper than :func:`remove_outliers_sequential` (one fit pass for all
+    columns) but not the same result: later columns' bounds are not
+    recomputed on the survivors.
+    """
+    cols = cols or numeric_columns(df)
+    bounds = outlier_bounds(df, method, cols)
+    any_out = F.lit(False)
+    for c in cols:
+        any_out = any_out | outlier_predicate(c, bounds[c], method)
+    n_out = df.agg(F.sum(any_out.cast("long"))).first()[0] or 0
+    return df.where(~any_out), int(n_out)
+
+
 def cap_outliers(df: DataFrame, method: str = "iqr", cols: list[str] | None = None) -> tuple[DataFrame, int]:
     """Winsorise to the IQR fences or mean +/- 3 sd.  Columns are independent: one fit pass."""
     cols = cols or numeric_columns(df)

@@ -34,7 +34,7 @@ def boxcox_lambdas() -> list[float]:
     return [BOXCOX_FROM + i * BOXCOX_STEP for i in range(BOXCOX_N)]
 
 
-def boxcox_profile(df: DataFrame, col: str) -> DataFrame:
+def boxcox_profile(df: DataFrame, col: str, shift: float | None = None) -> DataFrame:
     """Profile log-likelihood of the Box-Cox lambda grid for a constant-mean model.
 
     Two passes: (1) shift, n and mean of ln x (geometric mean); (2) all 41
@@ -42,7 +42,7 @@ def boxcox_profile(df: DataFrame, col: str) -> DataFrame:
     ``loglik = -n/2 * ln(SSR)`` with SSR the residual sum of squares of the
     geometric-mean-normalised transform, as in the classic profile.
     """
-    shift = boxcox_shift(df, col)
+    shift = boxcox_shift(df, col) if shift is None else shift
     x = qcol(col).cast("double") + F.lit(shift)
     st = df.agg(F.count(qcol(col)).alias("n"), F.avg(F.log(x)).alias("g")).first()
     n, g = st["n"], st["g"]
@@ -63,9 +63,9 @@ def boxcox_profile(df: DataFrame, col: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "idx long, lambda double, loglik double")
 
 
-def boxcox_lambda(df: DataFrame, col: str) -> float:
+def boxcox_lambda(df: DataFrame, col: str, shift: float | None = None) -> float:
     best = None
-    for r in boxcox_profile(df, col).collect():
+    for r in boxcox_profile(df, col, shift).collect():
         if r["loglik"] is not None and (best is None or r["loglik"] > best[1]):
             best = (r["lambda"], r["loglik"])
     return 1.0 if best is None else best[0]
@@ -89,7 +89,7 @@ def transform_expr(df: DataFrame, col: str, kind: str) -> Column:
         return F.try_divide(F.lit(1.0), x + F.lit(nudge))
     if kind == "boxcox":
         shift = boxcox_shift(df, col)
-        lam = boxcox_lambda(df, col)
+        lam = boxcox_lambda(df, col, shift)
         xs = x + F.lit(shift)
         if abs(lam) < BOXCOX_LOG_CUTOFF:
             return F.log(xs)

@@ -10,6 +10,7 @@ ranking, never a global sort.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -194,7 +195,11 @@ def _fit_all(df: DataFrame, col: str, families) -> list[Fit]:
     fits = []
     for fam in families:
         shift = pos_shift if fam in POSITIVE_FAMILIES else 0.0
-        fits.append(fit_family(df, col, fam, shift=shift, st=st1 if shift else st0))
+        try:
+            fits.append(fit_family(df, col, fam, shift=shift, st=st1 if shift else st0))
+        except (ValueError, ZeroDivisionError, OverflowError, ArithmeticError) as e:
+            # a family that cannot be fitted is left out of the comparison, as a warning
+            warnings.warn(f"Could not fit {fam}: {e}", stacklevel=2)
     return fits
 
 

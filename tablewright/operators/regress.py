@@ -194,6 +194,18 @@ def influential_top(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame
         .orderBy(F.desc("cooks_distance"), *id_cols)
 
 
+# Fixed value: the message shown instead of an empty influential-points table.
+NO_INFLUENTIAL = "No influential points detected (all Cook's D < 4/n)"
+
+
+def influential_table(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
+    """Influential rows by Cook's distance, or a one-row ``message`` table when there are none."""
+    top = influential_top(df, m, id_cols)
+    if top.limit(1).count() == 0:
+        return df.sparkSession.createDataFrame([(NO_INFLUENTIAL,)], "message string")
+    return top
+
+
 def influence_counts(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
     inf = influence(df, m, id_cols)
     return inf.agg(F.count(F.lit(1)).cast("long").alias("n"),

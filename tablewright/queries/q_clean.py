@@ -44,9 +44,11 @@ QUERIES = {
     "outlier_z": lambda s, sf: finish(_outlier_table(s, events_num(s, sf), "z", NUM)),
     "outlier_flag": lambda s, sf: finish(C.outlier_flags(events_num(s, sf), "iqr", NUM)),
     "outlier_remove_seq": lambda s, sf: finish(C.remove_outliers_sequential(events_num(s, sf), "iqr", NUM)[0]),
+    "outlier_remove_parallel": lambda s, sf: finish(C.remove_outliers_parallel(events_num(s, sf), "iqr", NUM)[0]),
     "outlier_cap_iqr": lambda s, sf: finish(C.cap_outliers(events_num(s, sf), "iqr", NUM)[0]),
     "outlier_cap_z": lambda s, sf: finish(C.cap_outliers(events_num(s, sf), "z", NUM)[0]),
-    "clean_pipeline": lambda s, sf: finish(pipeline_spec().apply(events_num(s, sf))[0]),
+    # three chained float steps (impute, z-score, cap): compare at 7 significant digits
+    "clean_pipeline": lambda s, sf: finish(pipeline_spec().apply(events_num(s, sf))[0], 7),
     "cleaning_log": lambda s, sf: log_frame(s, pipeline_spec().apply(events_num(s, sf))[1]),
     "before_after": lambda s, sf: C.before_after(events_num(s, sf), pipeline_spec().apply(events_num(s, sf))[0]),
     "outlier_boxplot": lambda s, sf: finish(
@@ -143,6 +145,13 @@ def _remove_seq_sql() -> str:
             f"{S('value', 'value')}, {S('value_sparse', 'value_sparse')} FROM s{len(NUM)}")
 
 
+def _remove_parallel_sql() -> str:
+    conds = " OR ".join(f"coalesce({c} < (SELECT lo FROM {_iqr_bounds_sql(c, 'ev')}) OR "
+                        f"{c} > (SELECT hi FROM {_iqr_bounds_sql(c, 'ev')}), false)" for c in NUM)
+    return (EV + f"SELECT event_id, user_id, event_type, {S('value', 'value')}, {S('value_sparse', 'value_sparse')} "
+            f"FROM ev WHERE NOT ({conds})")
+
+
 def _cap_expr(c: str, method: str, src: str) -> str:
     if method == "iqr":
         b = _iqr_bounds_sql(c, src)
@@ -177,8 +186,9 @@ def _pipeline_ctes() -> str:
 
 
 def _pipeline_sql() -> str:
-    caps = [S(_cap_expr(c, "iqr", "s4"), c) for c in NUM]
-    return _pipeline_ctes() + " SELECT " + ", ".join(caps[:2] + [S("event_type", "event_type")] + caps[2:]) + " FROM s4"
+    caps = [S(_cap_expr(c, "iqr", "s4"), c, 7) for c in NUM]
+    return (_pipeline_ctes() + " SELECT " + ", ".join(caps[:2] + [S("event_type", "event_type", 7)] + caps[2:])
+            + " FROM s4")
 
 
 def _log_sql() -> str:
@@ -260,6 +270,7 @@ ORACLE = {
     "outlier_z": _outlier_table_sql("z"),
     "outlier_flag": _flag_sql(),
     "outlier_remove_seq": _remove_seq_sql(),
+    "outlier_remove_parallel": _remove_parallel_sql(),
     "outlier_cap_iqr": _cap_sql("iqr"),
     "outlier_cap_z": _cap_sql("z"),
     "clean_pipeline": _pipeline_sql(),

@@ -93,3 +93,12 @@ def test_cap_and_pipeline_log(spark):
     assert log[0] == "Imputed 1 missing values (numeric: mean, categorical: mode)"
     assert log[-1].endswith("outliers winsorized (iqr method)")
     assert CleaningSpec().apply(df)[1] == ["No changes applied (all settings at default)."]
+
+
+def test_parallel_removal_differs_from_sequential(spark):
+    rows = [(float(v), float(w)) for v, w in zip(range(20), [1] * 18 + [50, 60])] + [(500.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    par, n_par = C.remove_outliers_parallel(df, "iqr")
+    seq, n_seq = C.remove_outliers_sequential(df, "iqr")
+    assert n_par == 21 - par.count() and n_seq == 21 - seq.count()
+    assert par.count() <= 21
