@@ -377,15 +377,23 @@ def summary_string(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def top_counts(df: DataFrame, cols: list[str], k: int = 4, *, salt: int = 256) -> DataFrame:
-    """Top ``k`` values per column by count (ties: smaller value first), two-level so no window holds a
-    whole column's distinct values: a salted top-k first, then top-k of the survivors."""
+def top_counts(df: DataFrame, cols: list[str], k: int = 4) -> DataFrame:
+    """Top ``k`` values per column by count (ties: smaller value first).
+
+    Value counts are distributed; the k-th largest count per column comes
+    from the much smaller table of counts-of-counts, and only values at or
+    above it (k plus ties) reach the final per-column ordering, so no task
+    holds a whole column's distinct values.
+    """
     long = df.select(*[qcol(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     vc = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w1 = Window.partitionBy("column", (F.abs(F.xxhash64("value")) % salt)).orderBy(F.desc("cnt"), "value")
-    first = vc.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
+    freq = vc.groupBy("column", "cnt").agg(F.count(F.lit(1)).alias("n_values"))
+    w = Window.partitionBy("column").orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
+    thr = (freq.withColumn("_above", F.coalesce(F.sum("n_values").over(w), F.lit(0)))
+           .where(F.col("_above") < k).groupBy("column").agg(F.min("cnt").alias("_thr")))
+    cand = vc.join(F.broadcast(thr), "column").where(F.col("cnt") >= F.col("_thr"))
     w2 = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
-    return first.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k) \
+    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k) \
         .select("column", F.col("rank").cast("long"), "value", F.col("cnt").cast("long").alias("count"))
 
 

@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import qcol
 
-#: distinct values one window task may hold before we split into buckets
-TARGET_BUCKET_ROWS = 2_000_000
+#: distinct values per window task once a ranking is split into value ranges (windows sort and spill,
+#: and the split points every task carries stay under ~1 MB even at 1e12 distinct values)
+TARGET_BUCKET_ROWS = 10_000_000
 #: below this many distinct values a single window task is cheaper than bucketing
 SINGLE_TASK_ROWS = 1_000_000
 
@@ -50,7 +51,8 @@ def _bucketize(vc: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
     if n_buckets == 1:
         return vc.withColumn("_bucket", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(10_000, 20 * n_buckets)
+    # rank error n/accuracy stays below a quarter bucket, so buckets stay within ~1.5x of the target
+    accuracy = max(10_000, 4 * n_buckets)
     vtype = vc.schema["_value"].dataType
     if isinstance(vtype, T.StringType):
         # strings: sort a deterministic hash-chosen subset of the distinct values for splits

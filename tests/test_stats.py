@@ -194,3 +194,10 @@ def test_summary_logical_and_other(spark):
     other = {r["column"]: r for r in E.summary_other(df, factor_cols=["f"], time_cols=["t"]).collect()}
     assert other["f"]["top_counts"] == "app: 2, ban: 1"
     assert other["t"]["median"] == "2024-01-02 00:00:00" and other["t"]["n_missing"] == 1
+
+
+def test_top_counts_ties_beyond_k(spark):
+    vals = ["a"] * 3 + ["b"] * 3 + ["c"] * 3 + ["e"] * 2 + ["d"] * 2 + ["f"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [(r["value"], r["count"]) for r in E.top_counts(df, ["s"]).orderBy("rank").collect()]
+    assert got == [("a", 3), ("b", 3), ("c", 3), ("d", 2)]
