@@ -83,7 +83,13 @@ def bucket_series(df: DataFrame, ts_col: str, bucket: str = "1 hour", value: str
                   by: str | None = None) -> DataFrame:
     """``(series, t, value)``: count (or sum of ``value``) per time bucket, gaps filled with 0."""
     key = qcol(by).cast("string") if by else F.lit("all")
-    start = F.window(qcol(ts_col).cast("timestamp"), bucket).start
+    count_, unit = bucket.split()
+    units = {"second", "minute", "hour", "day", "week", "month", "year"}
+    if count_ == "1" and unit.rstrip("s") in units:
+        # calendar truncation keeps the column's own time zone semantics (no session-zone shift)
+        start = F.date_trunc(unit.rstrip("s"), qcol(ts_col))
+    else:
+        start = F.window(qcol(ts_col).cast("timestamp"), bucket).start
     agg = F.count(F.lit(1)).cast("double") if value is None else F.sum(qcol(value).cast("double"))
     per = df.select(key.alias("series"), start.alias("t"), *( [] if value is None else [qcol(value)])) \
         .groupBy("series", "t").agg(agg.alias("value"))
