@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from .clean import null_counts
-from .rank import average_rank, join_back, ranked_counts, table_size
+from .rank import average_rank, join_back, ranked_counts, release, table_size
 
 #: aggregates per pass; keeps generated code under the JVM method size limit on wide tables
 PAIRS_PER_PASS = 60
@@ -100,9 +100,9 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     long = parts[0]
     for p_ in parts[1:]:
         long = long.unionByName(p_)
-    rc = ranked_counts(long, "_v", by=["_key"])
-    size = table_size(rc)  # rows over all keys: a bound for each key's table
-    rc = rc.select("_key", F.col("value").alias("_v"), average_rank(rc).alias("_r")).persist()
+    rc0 = ranked_counts(long, "_v", by=["_key"])
+    size = table_size(rc0)  # rows over all keys: a bound for each key's table
+    rc = rc0.select("_key", F.col("value").alias("_v"), average_rank(rc0).alias("_r")).persist()
     joined = base
     for (i, other), name in rank_cols.items():
         rt = rc.where(F.col("_key") == F.lit(name)).select(F.col("_v").alias(f"{name}_v"), F.col("_r").alias(name))
@@ -122,6 +122,8 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for i in range(len(cols)):
         aggs += [F.var_samp(F.col(f"_c{i}")).alias(f"v{i}"), F.count(F.col(f"_c{i}")).alias(f"m{i}")]
     row = joined.agg(*aggs).first()
+    rc.unpersist()
+    release(rc0)
     for k, ((i, j), _) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
         r = c / math.sqrt(vx * vy) if c is not None and vx and vy else None
@@ -174,6 +176,7 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
         F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
     rc = ranked_counts(agg, "rx", by=["b", "prefix"], weight="c1", carry=["c0"])
     res = rc.agg(F.sum(F.col("c0") * F.col("before")).alias("disc")).first()
+    release(rc, rxt, ryt)
     d.unpersist()
     disc = float(res["disc"] or 0)
     n0 = n * (n - 1) / 2

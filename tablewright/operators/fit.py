@@ -23,7 +23,7 @@ from ..functions.columns import qcol
 from ..functions.rounding import round_dp
 from ..functions.special import digamma, kolmogorov_upper, pgamma, pnorm_col, qnorm_col, trigamma
 from .explore import histogram, spread
-from .rank import quantile_map, ranked_counts
+from .rank import quantile_map, ranked_counts, release
 
 FAMILIES = ("norm", "lnorm", "exp", "gamma", "weibull")
 POSITIVE_FAMILIES = ("lnorm", "exp", "gamma", "weibull")
@@ -259,6 +259,7 @@ def ks_statistic(df: DataFrame, col: str, fit: Fit) -> tuple[float, int]:
     n = F.col("total").cast("double")
     d = F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n)
     r = rc.agg(F.max(d).alias("d"), F.max("total").alias("n")).first()
+    release(rc)
     return float(r["d"]), int(r["n"])
 
 
@@ -291,6 +292,7 @@ def ks_many(df: DataFrame, col: str, fits: list[Fit]) -> dict[str, float]:
             aggs.append(F.max(F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n))
                         .alias(f.family))
         r = rc.agg(*aggs, F.max("total").alias("_n")).first()
+        release(rc)
         for f in group:
             out[f.family] = kolmogorov_upper(math.sqrt(r["_n"]) * float(r[f.family]))
     return out

@@ -140,9 +140,18 @@ def ranked_counts(
     res = out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total",
                      *carry)
     res._tablewright_rows = n_rows
+    res._tablewright_cache = vc
     return res
 
 
+def release(*tables: DataFrame) -> None:
+    """Drop the cached value counts behind rank tables once their results have been collected."""
+    for t in tables:
+        cache = getattr(t, "_tablewright_cache", None)
+        if cache is not None:
+            cache.unpersist()
+
+
 def table_size(df: DataFrame) -> int | None:
     """Row count of a table returned by :func:`ranked_counts` (known from its planning pass)."""
     return getattr(df, "_tablewright_rows", None)
@@ -202,16 +211,20 @@ def quantiles_long(
                  F.max(frac).alias(f"_f{i}")]
         parts.append(i)
     agg = rc.where(hit).groupBy(*keys).agg(*aggs)
-    return agg.select(*keys, F.col("n").cast("long").alias("n"), *[
+    out = agg.select(*keys, F.col("n").cast("long").alias("n"), *[
         (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
         for i in parts
     ])
+    out._tablewright_cache = getattr(rc, "_tablewright_cache", None)
+    return out
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *, approx: bool = False
                  ) -> dict[str, list[float | None]]:
     """Driver-side {column: [q...]} for a few columns (summary-sized)."""
-    rows = quantiles_long(df, cols, probs, approx=approx).collect()
+    q = quantiles_long(df, cols, probs, approx=approx)
+    rows = q.collect()
+    release(q)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]
