@@ -101,15 +101,18 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for p_ in parts[1:]:
         long = long.unionByName(p_)
     rc0 = ranked_counts(long, "_v", by=["_key"])
-    size = table_size(rc0)  # rows over all keys: a bound for each key's table
-    rc = rc0.select("_key", F.col("value").alias("_v"), average_rank(rc0).alias("_r")).persist()
+    # per-key table sizes from the cached value counts (a small aggregation) decide broadcast vs merge
+    cache = getattr(rc0, "_tablewright_cache", None)
+    sizes = ({r["_key"]: r["count"] for r in cache.groupBy("_key").count().collect()} if cache is not None
+             else {})
+    rc = rc0.select("_key", F.col("value").alias("_v"), average_rank(rc0).alias("_r"))
     joined = base
     for (i, other), name in rank_cols.items():
         rt = rc.where(F.col("_key") == F.lit(name)).select(F.col("_v").alias(f"{name}_v"), F.col("_r").alias(name))
         cond = F.col(f"_c{i}") == F.col(f"{name}_v")
         if other is not None:
             cond = cond & F.col(f"_c{other}").isNotNull()
-        joined = join_back(joined, rt, cond, size, "left").drop(f"{name}_v")
+        joined = join_back(joined, rt, cond, sizes.get(name, table_size(rc0)), "left").drop(f"{name}_v")
     rows = []
     aggs = []
     pairs = list(pair_cols.items())
@@ -122,7 +125,6 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for i in range(len(cols)):
         aggs += [F.var_samp(F.col(f"_c{i}")).alias(f"v{i}"), F.count(F.col(f"_c{i}")).alias(f"m{i}")]
     row = joined.agg(*aggs).first()
-    rc.unpersist()
     release(rc0)
     for k, ((i, j), _) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
