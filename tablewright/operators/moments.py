@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from ..functions.rounding import round_dp
-from ..functions.special import pnorm, qnorm
+from ..functions.special import qnorm
 from .rank import ranked_counts, unpivot_values
 
 # Direction and advice texts with their cut-offs on skewness.
@@ -145,7 +145,8 @@ def shapiro_wilk_values(x: np.ndarray) -> tuple[float | None, float | None]:
         ln = math.log(n)
         mu = _poly(SW_C5, ln)
         sigma = math.exp(_poly(SW_C6, ln))
-    return W, 1.0 - pnorm((y - mu) / sigma)
+    # upper normal tail computed directly (no 1 - cdf cancellation for small p)
+    return W, 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2.0))
 
 
 def first_values(df: DataFrame, cols: list[str], order_by: str, limit: int = SHAPIRO_MAX_N) -> DataFrame:

@@ -44,7 +44,7 @@ def moments_report(s, sf):
 
 def normality_test(s, sf):
     df = events_num(s, sf)
-    return finish(M.shapiro_wilk(df, ["value", "value_sparse", "user_id"], "event_id"))
+    return finish(M.shapiro_wilk(df, ["value", "value_sparse", "user_id"], "event_id"), 6)
 
 
 QUERIES = {
@@ -140,6 +140,47 @@ def _moments_sql() -> str:
         f"WHEN abs(sk) > 0.5 THEN '{M.ADV_MILD}' ELSE '{M.ADV_NONE}' END AS suggestion FROM mm")
 
 
+def _poly_sql(coefs, x: str) -> str:
+    acc = repr(float(coefs[-1]))
+    for a in reversed(coefs[:-1]):
+        acc = f"({acc} * {x} + {float(a)!r})"
+    return acc
+
+
+def _shapiro_sql() -> str:
+    from ..functions.special import pnorm_sql, qnorm_sql
+
+    cols = ["value", "value_sparse", "user_id"]
+    long = " UNION ALL ".join(f"SELECT '{c}' AS col, event_id, CAST({c} AS DOUBLE) AS x FROM ev WHERE {c} IS NOT NULL"
+                              for c in cols)
+    z = "((y - mu) / sigma)"
+    return (
+        f"WITH ev AS {EVENTS_NUM_SQL}, lg AS ({long}), "
+        "fv AS (SELECT col, x FROM (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY event_id) AS rn "
+        f"FROM lg) WHERE rn <= {M.SHAPIRO_MAX_N}), "
+        "srt AS (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) AS i, count(*) OVER (PARTITION BY col) AS n FROM fv), "
+        f"half AS (SELECT col, i, n, {qnorm_sql('(i - 0.375) / (n + 0.25)')} AS m FROM srt WHERE i <= n // 2), "
+        "ag AS (SELECT col, n, 2 * sum(m * m) AS summ2, max(CASE WHEN i = 1 THEN m END) AS m1, "
+        "max(CASE WHEN i = 2 THEN m END) AS m2 FROM half GROUP BY col, n), "
+        "cf AS (SELECT *, 1.0 / sqrt(n) AS rsn, sqrt(summ2) AS ssumm2 FROM ag), "
+        f"a12 AS (SELECT *, {_poly_sql(M.SW_C1, 'rsn')} - m1 / ssumm2 AS a1, -m2 / ssumm2 + {_poly_sql(M.SW_C2, 'rsn')} AS a2 FROM cf), "
+        "fc AS (SELECT *, CASE WHEN n > 5 THEN sqrt((summ2 - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) "
+        "ELSE sqrt((summ2 - 2 * m1 * m1) / (1 - 2 * a1 * a1)) END AS fac FROM a12), "
+        "ai AS (SELECT h.col, h.i, CASE WHEN h.i = 1 THEN f.a1 WHEN h.i = 2 AND f.n > 5 THEN f.a2 ELSE -h.m / f.fac END AS a "
+        "FROM half h JOIN fc f USING (col)), "
+        "w AS (SELECT s.col, s.x, s.n, CASE WHEN s.i <= s.n // 2 THEN -lo.a WHEN s.i > s.n - s.n // 2 THEN hi.a ELSE 0.0 END AS w "
+        "FROM srt s LEFT JOIN ai lo ON lo.col = s.col AND lo.i = s.i LEFT JOIN ai hi ON hi.col = s.col AND hi.i = s.n + 1 - s.i), "
+        "st AS (SELECT col, avg(x) AS mx, avg(w) AS mw FROM w GROUP BY col), "
+        "ww AS (SELECT w.col, w.n, sum((w.w - mw) * (w.x - mx)) AS sxy, sum((w.w - mw) * (w.w - mw)) AS sww, "
+        "sum((w.x - mx) * (w.x - mx)) AS sxx FROM w JOIN st USING (col) GROUP BY w.col, w.n), "
+        "ws AS (SELECT col, n, least(sxy * sxy / (sww * sxx), 1.0) AS wv FROM ww), "
+        f"pr AS (SELECT col, n, wv, ln(1 - wv) AS y, {_poly_sql(M.SW_C5, 'ln(n)')} AS mu, "
+        f"exp({_poly_sql(M.SW_C6, 'ln(n)')}) AS sigma FROM ws) "
+        f"SELECT col AS \"column\", CAST(n AS BIGINT) AS n, {S('wv', 'w', 6)}, "
+        f"{S(pnorm_sql('-' + z), 'p_value', 6)} FROM pr"
+    )
+
+
 LI = "lineitem"
 ORACLE = {
     "tf_log": f"SELECT event_id, {S('value', 'value')}, {S('ln(value + 1)', 'value_log')} FROM events",
@@ -165,4 +206,5 @@ ORACLE = {
                        f"{S('value - (SELECT avg(value) FROM events)', 'value_centered')} FROM events"),
     "transform_preview": _preview_sql(),
     "moments_report": _moments_sql(),
+    "normality_test": _shapiro_sql(),
 }
