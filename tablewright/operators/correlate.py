@@ -136,17 +136,34 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # -------------------------------------------------------------------- Kendall
-def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
+def kendall_rank_tables(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column, value, rank)``: each column's row rank (count of smaller values) over its non-missing
+    values, for all columns in one distributed ranking pass.
+
+    Ranks only need to preserve order, and a rank over all rows preserves
+    order on any pair's complete rows, so one table serves every pair.
+    """
+    long = df.select(*[qcol(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    rc = ranked_counts(long, "value", by=["column"])
+    out = rc.select("column", "value", F.col("before").alias("rank"), F.col("total").alias("n_col"))
+    out._tablewright_rows = table_size(rc)
+    out._tablewright_cache = getattr(rc, "_tablewright_cache", None)
+    out._tablewright_counts = {r["column"]: r["n"] for r in
+                               rc.groupBy("column").agg(F.max("total").alias("n")).collect()}
+    return out
+
+
+def kendall_pair(df: DataFrame, x: str, y: str, ranks: DataFrame | None = None) -> tuple[float | None, int]:
     """Exact tau-b for one pair in O(n log n) distributed work.
 
     Duplicate (x, y) rows collapse to counts; x and y are replaced by their
-    row ranks (count of smaller values) from the distributed ranking, whose
-    tables also give the tie counts.  A discordant pair (x_i < x_j,
+    row ranks from the distributed ranking.  A discordant pair (x_i < x_j,
     y_i > y_j) differs first at exactly one bit of the y-rank, inside one
     y-prefix: per bit level, the rows of a prefix whose bit is 1 and whose
     x-rank is smaller are counted with the bucketed distributed ranking, so no
     task holds a whole prefix (the top level has a single prefix).
     """
+    ranks = ranks if ranks is not None else kendall_rank_tables(df, [x, y])
     xs, ys = qcol(x).cast("double"), qcol(y).cast("double")
     d = (df.select(xs.alias("_x"), ys.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
          .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("cnt"))).persist()
@@ -160,13 +177,16 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
     if n < 2:
         d.unpersist()
         return None, n
-    rxt = ranked_counts(d, "_x", weight="cnt")
-    ryt = ranked_counts(d, "_y", weight="cnt")
-    ranked = join_back(d, rxt.select(F.col("value").alias("_vx"), F.col("before").alias("rx")),
-                       F.col("_x") == F.col("_vx"), table_size(rxt))
-    ranked = join_back(ranked, ryt.select(F.col("value").alias("_vy"), F.col("before").alias("ry")),
-                       F.col("_y") == F.col("_vy"), table_size(ryt)).select("rx", "ry", "cnt")
-    levels = max(1, (n - 1).bit_length())
+    rx_t = ranks.where(F.col("column") == F.lit(x)).select(F.col("value").alias("_vx"), F.col("rank").alias("rx"))
+    ry_t = ranks.where(F.col("column") == F.lit(y)).select(F.col("value").alias("_vy"), F.col("rank").alias("ry"))
+    size = table_size(ranks)
+    ranked = join_back(d, rx_t, F.col("_x") == F.col("_vx"), size)
+    ranked = join_back(ranked, ry_t, F.col("_y") == F.col("_vy"), size).select("rx", "ry", "cnt")
+    # y-ranks are below the column's non-missing count, which bounds the bit levels
+    n_y = getattr(ranks, "_tablewright_counts", {}).get(y)
+    if n_y is None:
+        n_y = df.where(qcol(y).isNotNull()).count()
+    levels = max(1, (int(n_y) - 1).bit_length())
     lv = ranked.select("rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
     lv = lv.select("b", F.expr("shiftright(ry, b + 1)").alias("prefix"),
                    F.expr("shiftright(ry, b) % 2").alias("bit"), "rx", "cnt")
@@ -178,7 +198,7 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
         F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
     rc = ranked_counts(agg, "rx", by=["b", "prefix"], weight="c1", carry=["c0"])
     res = rc.agg(F.sum(F.col("c0") * F.col("before")).alias("disc")).first()
-    release(rc, rxt, ryt)
+    release(rc)
     d.unpersist()
     disc = float(res["disc"] or 0)
     n0 = n * (n - 1) / 2
@@ -195,9 +215,11 @@ def corr_kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     if len(cols) < 2:
         raise ValueError("need at least two numeric columns")
     rows = []
+    ranks = kendall_rank_tables(df, cols)
     for i, j in _pairs(cols):
-        tau, n = kendall_pair(df, cols[i], cols[j])
+        tau, n = kendall_pair(df, cols[i], cols[j], ranks)
         rows.append((cols[i], cols[j], tau, n))
+    release(ranks)
     counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                     *[F.countDistinct(qcol(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
     for i, c in enumerate(cols):
