@@ -104,7 +104,7 @@ def pnorm_sql(x: str) -> str:
 
 
 # ----------------------------------------------------------- normal quantile
-def _qnorm_parts(p, q, lit, sqrt, log, least, when3):
+def _qnorm_parts(p, q, lit, sqrt, log, least):
     r_c = _add(lit(0.180625), _mul(_mul(q, q), lit(-1.0)))
     central = _mul(q, _div(_horner(AS241_A, r_c, lit), _horner(AS241_B, r_c, lit)))
     r = sqrt(_mul(log(least(p, _add(lit(1.0), _mul(p, lit(-1.0))))), lit(-1.0)))
@@ -123,7 +123,7 @@ def qnorm_col(p: Column) -> Column:
     """Standard normal quantile (AS 241) as a column expression; NULL outside (0,1)."""
     p = p.cast("double")
     q = p - F.lit(0.5)
-    central, r, mid, far = _qnorm_parts(p, q, _col_lit, F.sqrt, F.log, F.least, None)
+    central, r, mid, far = _qnorm_parts(p, q, _col_lit, F.sqrt, F.log, F.least)
     tail = F.when(r <= 5.0, mid).otherwise(far)
     signed = F.when(q < 0, -tail).otherwise(tail)
     return (F.when(p.isNull() | (p <= 0) | (p >= 1), F.lit(None).cast("double"))
@@ -136,7 +136,7 @@ def qnorm_sql(p: str) -> str:
     q = f"({p} - 0.5)"
     central, r, mid, far = _qnorm_parts(
         p, q, _sql_lit, lambda a: f"sqrt({a})", lambda a: f"ln({a})",
-        lambda a, b: f"least({a}, {b})", None)
+        lambda a, b: f"least({a}, {b})")
     tail = f"(CASE WHEN {r} <= 5.0 THEN {mid} ELSE {far} END)"
     return (f"(CASE WHEN {p} IS NULL OR {p} <= 0 OR {p} >= 1 THEN NULL "
             f"WHEN abs({q}) <= 0.425 THEN {central} "

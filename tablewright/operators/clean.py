@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol, string_columns
 from ..functions.rounding import round_dp
-from .rank import join_back, quantile_map, quantiles_long, ranked_counts, table_size
+from .rank import join_back, quantile_map, ranked_counts, table_size
 
 
 # ------------------------------------------------------------------ missing
@@ -382,7 +382,3 @@ def long_numeric(df: DataFrame, max_cols: int = 8) -> DataFrame:
     cols = numeric_columns(df)[:max_cols]
     return (df.select(*[qcol(c).cast("double").alias(c) for c in cols])
             .unpivot([], cols, "variable", "value"))
-
-
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None):
-    return quantiles_long(df, cols, probs, by or [])

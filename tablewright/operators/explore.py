@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import categorical_columns, is_numeric, numeric_columns, qcol, string_columns
+from ..functions.columns import is_numeric, numeric_columns, qcol, string_columns
 from ..functions.special import qnorm_col, qt
 from .rank import quantiles_long, ranked_counts
 
@@ -454,6 +454,3 @@ def summary_other(df: DataFrame, factor_cols: list[str] | None = None, time_cols
                              F.date_format(F.timestamp_micros(F.floor("median_epoch_us")), "yyyy-MM-dd HH:mm:ss"))
                       .alias("median"), "top_counts")
 
-
-def categorical(df: DataFrame) -> list[str]:
-    return categorical_columns(df)

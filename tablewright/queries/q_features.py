@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as D
 from ..operators import moments as M
 from .common import EVENTS_NUM_SQL, S, events_num, finish, table
-from .sqlgen import SQRT_2PI, dbl, density_sql, histogram_sql
+from .sqlgen import SQRT_2PI, density_sql, histogram_sql
 
 
 def _tf(tbl, keys, col, kind):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from ..operators import spectrum as T
 from .common import S, finish, table
 
