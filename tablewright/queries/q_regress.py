@@ -27,7 +27,8 @@ def ols_refit(s, sf):
 QUERIES = {
     "ols_coef": lambda s, sf: finish(G.coef_frame(s, _model(s, sf))),
     "ols_summary": lambda s, sf: G.summary_frame(s, _model(s, sf)),
-    "ols_full_summary": lambda s, sf: finish(G.full_summary(_li(s, sf), _model(s, sf))),
+    # tail probabilities come from a continued fraction: compare at 6 significant digits
+    "ols_full_summary": lambda s, sf: finish(G.full_summary(_li(s, sf), _model(s, sf)), 6),
     "influence": lambda s, sf: G.influence(_li(s, sf), _model(s, sf), IDS),
     "influence_counts": lambda s, sf: finish(G.influence_counts(_li(s, sf), _model(s, sf), IDS)),
     "influential_top": lambda s, sf: G.influential_top(_li(s, sf), _model(s, sf), IDS),
@@ -98,6 +99,72 @@ def _refit_sql() -> str:
             f" SELECT t.*, CAST((SELECT n FROM qk) AS BIGINT) AS n FROM ({_coef_select('qk')}) t")
 
 
+BETA_ITER = 3000
+
+
+def _betainc_ctes(inputs: str) -> str:
+    """CTEs computing I_x(a, b) for rows ``(id, a, b, x)`` of ``inputs`` by the continued fraction
+    (modified Lentz, fixed iteration count), using the symmetry I_x(a,b) = 1 - I_{1-x}(b,a) so the
+    fraction converges.  Result: CTE ``bi(id, ix)``."""
+    return (
+        f"bin AS ({inputs}), "
+        "bsw AS (SELECT id, a, b, x, x < (a + 1) / (a + b + 2) AS direct FROM bin), "
+        "bp AS (SELECT id, direct, CASE WHEN direct THEN a ELSE b END AS pa, CASE WHEN direct THEN b ELSE a END AS pb, "
+        "CASE WHEN direct THEN x ELSE 1 - x END AS px, a, b, x FROM bsw), "
+        # anchor columns typed DOUBLE: a recursive CTE keeps the anchor's types (1.0 alone is a DECIMAL)
+        "lz(id, m, c, d, h) AS (SELECT id, 0, CAST(1.0 AS DOUBLE), CAST(1.0 / (1 - (pa + pb) * px / (pa + 1)) AS DOUBLE), "
+        "CAST(1.0 / (1 - (pa + pb) * px / (pa + 1)) AS DOUBLE) FROM bp "
+        "UNION ALL SELECT lz.id, lz.m + 1, "
+        # even step then odd step, folded into one recursion row
+        "1 + (-(pa + lz.m + 1) * (pa + pb + lz.m + 1) * px / ((pa + 2 * (lz.m + 1)) * (pa + 1 + 2 * (lz.m + 1)))) / "
+        "(1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) / lz.c), "
+        "1.0 / (1 + (-(pa + lz.m + 1) * (pa + pb + lz.m + 1) * px / ((pa + 2 * (lz.m + 1)) * (pa + 1 + 2 * (lz.m + 1)))) * "
+        "(1.0 / (1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) * lz.d))), "
+        "lz.h * (1.0 / (1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) * lz.d)) "
+        "* (1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) / lz.c) "
+        "* (1.0 / (1 + (-(pa + lz.m + 1) * (pa + pb + lz.m + 1) * px / ((pa + 2 * (lz.m + 1)) * (pa + 1 + 2 * (lz.m + 1)))) * "
+        "(1.0 / (1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) * lz.d)))) "
+        "* (1 + (-(pa + lz.m + 1) * (pa + pb + lz.m + 1) * px / ((pa + 2 * (lz.m + 1)) * (pa + 1 + 2 * (lz.m + 1)))) / "
+        "(1 + ((lz.m + 1) * (pb - (lz.m + 1)) * px / ((pa - 1 + 2 * (lz.m + 1)) * (pa + 2 * (lz.m + 1)))) / lz.c)) "
+        f"FROM lz JOIN bp ON bp.id = lz.id WHERE lz.m < {BETA_ITER}), "
+        f"bh AS (SELECT id, h FROM lz WHERE m = {BETA_ITER}), "
+        "bi AS (SELECT bp.id, CASE WHEN x <= 0 THEN 0.0 WHEN x >= 1 THEN 1.0 "
+        "ELSE (CASE WHEN direct THEN 1 ELSE -1 END) * exp(lgamma(pa + pb) - lgamma(pa) - lgamma(pb) + pa * ln(px) "
+        "+ pb * ln(1 - px)) * h / pa + CASE WHEN direct THEN 0.0 ELSE 1.0 END END AS ix FROM bp JOIN bh USING (id))"
+    )
+
+
+def _full_summary_sql() -> str:
+    coef = ("co AS (SELECT 1 AS id, '(Intercept)' AS term, a AS est, "
+            "sqrt(s2 * (1.0 / n + (s22 * m1 * m1 - 2 * s12 * m1 * m2 + s11 * m2 * m2) / det)) AS se FROM k "
+            "UNION ALL SELECT 2, 'l_quantity', b1, sqrt(s2 * s22 / det) FROM k "
+            "UNION ALL SELECT 3, 'l_discount', b2, sqrt(s2 * s11 / det) FROM k), "
+            "ct AS (SELECT co.*, est / se AS t, k.n - 3 AS df FROM co, k), "
+            "fs AS (SELECT ((syy - sse) / 2) / s2 AS f, n - 3 AS df2 FROM k), ")
+    inputs = ("SELECT id, df / 2.0 AS a, 0.5 AS b, df / (df + t * t) AS x FROM ct "
+              "UNION ALL SELECT 4, df2 / 2.0, 1.0, df2 / (df2 + 2 * f) FROM fs")
+    res = ("rq AS (SELECT quantile_cont(e, 0.0) AS r0, quantile_cont(e, 0.25) AS r1, quantile_cont(e, 0.5) AS r2, "
+           "quantile_cont(e, 0.75) AS r3, quantile_cont(e, 1.0) AS r4 FROM d) ")
+    rows = []
+    for term in ("(Intercept)", "l_quantity", "l_discount"):
+        rows += [f"SELECT 'coefficient' AS section, '{term}:estimate' AS name, est AS value FROM ct WHERE term = '{term}'",
+                 f"SELECT 'coefficient', '{term}:std_error', se FROM ct WHERE term = '{term}'",
+                 f"SELECT 'coefficient', '{term}:t_value', t FROM ct WHERE term = '{term}'",
+                 f"SELECT 'coefficient', '{term}:p_value', ix FROM ct JOIN bi USING (id) WHERE term = '{term}'"]
+    rows += ["SELECT 'fit', 'residual_std_error', sqrt(s2) FROM k",
+             "SELECT 'fit', 'df_residual', CAST(n - 3 AS DOUBLE) FROM k",
+             "SELECT 'fit', 'r_squared', 1 - sse / syy FROM k",
+             "SELECT 'fit', 'adj_r_squared', 1 - (sse / syy) * (n - 1) / (n - 3) FROM k",
+             "SELECT 'fit', 'f_statistic', f FROM fs",
+             "SELECT 'fit', 'f_p_value', ix FROM bi WHERE id = 4",
+             "SELECT 'residuals', 'min', r0 FROM rq", "SELECT 'residuals', 'q1', r1 FROM rq",
+             "SELECT 'residuals', 'median', r2 FROM rq", "SELECT 'residuals', 'q3', r3 FROM rq",
+             "SELECT 'residuals', 'max', r4 FROM rq"]
+    body = " UNION ALL ".join(rows)
+    return ("WITH RECURSIVE " + _fit_ctes("lineitem") + ", " + _diag_ctes() + ", " + coef + _betainc_ctes(inputs)
+            + ", " + res + f"SELECT section, name, {S('value', digits=6)} AS value FROM ({body})")
+
+
 def _residual_sql() -> str:
     p = "(mid - a_) / (n + 1 - 2 * a_)"
     return (BASE + ", rk AS (SELECT *, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS mid, "
@@ -108,6 +175,7 @@ def _residual_sql() -> str:
 
 
 ORACLE = {
+    "ols_full_summary": _full_summary_sql(),
     "ols_coef": "WITH " + _fit_ctes("lineitem") + " " + _coef_select("k"),
     "ols_summary": ("WITH " + _fit_ctes("lineitem") + f" SELECT {R4('1 - sse / syy')} AS r_squared, "
                     f"{R4('1 - (sse / syy) * (n - 1) / (n - 3)')} AS adj_r_squared, CAST(n AS BIGINT) AS n FROM k"),
