@@ -47,7 +47,8 @@ def test_registry_and_entry(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 @pytest.mark.parametrize("name", ["column_profile", "clean_pipeline", "bin_quantile", "corr_spearman",
-                                  "periodogram_smoothed", "cullen_frey_boot", "influence"])
+                                  "periodogram_smoothed", "cullen_frey_boot", "influence", "fit_compare",
+                                  "ols_full_summary", "normality_test"])
 def test_oracle_subset(spark, name):
     """A cross-section of queries against their SQL twins (the full set: tools/check_oracle.py)."""
     import duckdb
