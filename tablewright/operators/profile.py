@@ -42,6 +42,31 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
+#: above this many columns, exact distinct counts go through an unpivot instead of one wide aggregation
+WIDE_PROFILE_COLUMNS = 16
+
+
+def _distinct_counts_long(df: DataFrame) -> DataFrame:
+    """``(position, n_unique)`` with NULL counted as one value, via ``(column, value)`` cells.
+
+    Multiple exact distinct aggregates in one ``agg`` are planned as an
+    Expand that copies every row once per column; for wide tables this path
+    turns cells into rows instead (linear in cells) and counts groups.
+    Values are compared through a canonical string (shortest round-trip
+    text; -0.0 folded into 0.0), so distinctness matches value equality.
+    """
+    fields = df.schema.fields
+    cells = []
+    for i, f in enumerate(fields):
+        c = qcol(f.name)
+        if is_numeric(f.dataType) and f.dataType.typeName() in ("float", "double"):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+        cells.append(F.struct(F.lit(i).alias("position"), c.cast("string").alias("value")))
+    long = df.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.position", "_cell.value")
+    return (long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy("position").agg(F.count(F.lit(1)).cast("long").alias("n_unique")))
+
+
 def column_profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """Per column: type, missing count and share, distinct count (NULL counts as one value), alert.
 
@@ -50,15 +75,19 @@ def column_profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
     HyperLogLog++ (no shuffle of values) for very wide or very large tables.
     """
     fields = df.schema.fields
+    wide = not approx and len(fields) > WIDE_PROFILE_COLUMNS
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
         c = qcol(f.name)
-        distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-        aggs += [
-            F.sum(c.isNull().cast("long")).alias(f"_m{i}"),
-            (distinct + F.max(c.isNull().cast("int"))).alias(f"_u{i}"),
-        ]
+        aggs.append(F.sum(c.isNull().cast("long")).alias(f"_m{i}"))
+        if not wide:
+            distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+            aggs.append((distinct + F.max(c.isNull().cast("int"))).alias(f"_u{i}"))
     one = df.agg(*aggs)
+    if wide:
+        # per-column distinct counts are summary-sized (one number per column): inline them
+        uniq = {r["position"]: r["n_unique"] for r in _distinct_counts_long(df).collect()}
+        one = one.select("*", *[F.lit(uniq.get(i, 0)).cast("long").alias(f"_u{i}") for i in range(len(fields))])
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("position"),

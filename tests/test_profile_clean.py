@@ -100,3 +100,12 @@ def test_parallel_removal_differs_from_sequential(spark):
     seq, n_seq = C.remove_outliers_sequential(df, "iqr")
     assert n_par == 21 - par.count() and n_seq == 21 - seq.count()
     assert par.count() <= 21
+
+
+def test_wide_profile_path_matches_narrow(spark, monkeypatch):
+    rows = [(i, float(i % 3) if i % 4 else None, "ab"[i % 2], -0.0 if i == 1 else 0.0, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "a long, b double, c string, z double, n string")
+    narrow = {r["column"]: (r["n_unique"], r["n_missing"]) for r in P.column_profile(df).collect()}
+    monkeypatch.setattr(P, "WIDE_PROFILE_COLUMNS", 2)
+    wide = {r["column"]: (r["n_unique"], r["n_missing"]) for r in P.column_profile(df).collect()}
+    assert wide == narrow and narrow["z"] == (1, 0) and narrow["n"] == (1, 12)
