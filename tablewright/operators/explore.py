@@ -357,15 +357,26 @@ def summary_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def summary_string(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per text column: missing, complete rate, min/max length, empty, distinct, whitespace-only counts."""
+    from .profile import WIDE_PROFILE_COLUMNS, _distinct_counts_long
+
     cols = cols or string_columns(df)
+    wide = len(cols) > WIDE_PROFILE_COLUMNS
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = qcol(c)
         aggs += [F.sum(x.isNull().cast("long")).alias(f"_m{i}"), F.min(F.length(x)).alias(f"_lo{i}"),
                  F.max(F.length(x)).alias(f"_hi{i}"), F.sum((x == "").cast("long")).alias(f"_e{i}"),
-                 F.count_distinct(x).alias(f"_u{i}"),
                  F.sum(((F.length(x) > 0) & (F.trim(x) == "")).cast("long")).alias(f"_w{i}")]
+        if not wide:
+            aggs.append(F.count_distinct(x).alias(f"_u{i}"))
     one = df.agg(*aggs)
+    if wide:
+        # distinct non-missing values per column through (column, value) cells; inlined (one per column)
+        sub = df.select(*[qcol(c).alias(c) for c in cols])
+        with_null = {r["position"]: r["n_unique"] for r in _distinct_counts_long(sub).collect()}
+        has_null = one.select(*[(F.col(f"_m{i}") > 0).alias(f"h{i}") for i in range(len(cols))]).first()
+        one = one.select("*", *[F.lit(with_null.get(i, 0) - (1 if has_null[f"h{i}"] else 0)).cast("long")
+                                .alias(f"_u{i}") for i in range(len(cols))])
     rows = F.array(*[F.struct(
         F.lit(c).alias("column"), F.coalesce(F.col(f"_m{i}"), F.lit(0)).cast("long").alias("n_missing"),
         (F.lit(1.0) - F.coalesce(F.col(f"_m{i}"), F.lit(0)) / F.col("_n")).alias("complete_rate"),

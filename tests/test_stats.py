@@ -201,3 +201,13 @@ def test_top_counts_ties_beyond_k(spark):
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     got = [(r["value"], r["count"]) for r in E.top_counts(df, ["s"]).orderBy("rank").collect()]
     assert got == [("a", 3), ("b", 3), ("c", 3), ("d", 2)]
+
+
+def test_summary_string_wide_path(spark, monkeypatch):
+    from tablewright.operators import profile as P
+
+    df = spark.createDataFrame([("a", None), ("b", " "), ("a", ""), (None, "x")], "s string, t string")
+    narrow = [tuple(r) for r in E.summary_string(df).collect()]
+    monkeypatch.setattr(P, "WIDE_PROFILE_COLUMNS", 1)
+    assert [tuple(r) for r in E.summary_string(df).collect()] == narrow
+    assert narrow[0][6] == 2 and narrow[1][6] == 3 and narrow[1][7] == 1
