@@ -276,7 +276,17 @@ def formula(df: DataFrame, name: str, expr: str) -> DataFrame:
             last = e
         out.append(expr[last:])
         expr = "".join(out)
-    return df.withColumn(name, F.expr(expr))
+    # R-style arithmetic: a division by zero or an invalid cast gives a missing value, not an error.
+    # The expression is parsed and analysed with ANSI mode off; its operators keep that mode when run.
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        out = df.withColumn(name, F.expr(expr))
+        out.schema  # force analysis while the setting applies
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", prev)
+    return out
 
 
 # ------------------------------------------------------------------ preview

@@ -85,3 +85,11 @@ def test_shapiro_wilk_behaviour(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=6000))], "id long, x double")
     r = M.shapiro_wilk(df, ["x"], "id").first()
     assert r["n"] == 5000 and 0 < r["p_value"] <= 1
+
+
+def test_formula_division_by_zero_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (4.0, 2.0)], "a double, b double")
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    out = [r["r"] for r in D.formula(df, "r", "a / b").collect()]
+    assert out == [None, 2.0]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
