@@ -65,8 +65,8 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """
     if rows is not None and rows > SPREAD_MAX_ROWS:
         return df
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # one partition per task slot: the point is to occupy every core, not to follow the shuffle setting
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
