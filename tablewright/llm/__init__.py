@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "toxicity", "bpe", "quality", "exact_dedup"]
+MODULES = ["line_dedup", "html_text", "ngram_join", "mixing", "url_filter", "toxicity", "bpe", "licences",
+           "quality", "exact_dedup"]
 
 
 def _collect(attribute: str) -> dict:

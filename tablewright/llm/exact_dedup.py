@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table, written
+from .store import row_key, table, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_CHUNK = 256
@@ -40,15 +40,16 @@ def chunk_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """Per row: id, original code points, digest of the normalised text, chunk identifiers and chunk digests."""
+    """Per row: id, row key, original code points, digest of the normalised text, chunk identifiers and chunk digests."""
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     cut = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.length(raw).cast("long").alias("n_points"),
         F.regexp_replace(raw, F.lit(WHITE), F.lit("")).alias("norm"),
-    ).select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
+        row_key(id_col, text_col).alias("row_key"),
+    ).select("doc_id", "row_key", "n_points", F.sha2("norm", 256).alias("text_sha256"),
              F.expr(f"regexp_extract_all(norm, '{chunk_pattern(least, most)}', 0)").alias("chunks"))
     return cut.select(
-        "doc_id", "n_points", "text_sha256",
+        "doc_id", "row_key", "n_points", "text_sha256",
         F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"),
         F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("proofs"))
 
@@ -62,27 +63,32 @@ def unverified(made: DataFrame) -> DataFrame:
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, row_key, keep_key``.
+
+    ``keep_key`` names the one row of the group that stays by its
+    :func:`~tablewright.llm.store.row_key`, also where an id is used twice.
+    """
     made = written(recipes(docs, id_col, text_col, least, most), "recipes")
+    # a recipe is named by its hash here; a false match would only add the digest to its group's key
     marked = (made.select("recipe").distinct()
-              .select("recipe", F.explode(F.array_distinct("recipe")).alias("chunk_id"))
-              .join(unverified(made), "chunk_id", "left_semi").select("recipe").distinct()
+              .select(F.xxhash64("recipe").alias("recipe_key"), F.explode(F.array_distinct("recipe")).alias("chunk_id"))
+              .join(unverified(made), "chunk_id", "left_semi").select("recipe_key").distinct()
               .withColumn("marked", F.lit(True)))
     by_length = (made.groupBy("recipe", "text_sha256", "n_points")
-                 .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    groups = (by_length.join(marked, "recipe", "left")
+                 .agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first"), F.count("*").alias("n")))
+    groups = (by_length.withColumn("recipe_key", F.xxhash64("recipe")).join(marked, "recipe_key", "left")
               .groupBy("recipe", F.when(F.col("marked"), F.col("text_sha256")).alias("tie"))
-              .agg(F.min("text_sha256").alias("text_sha256"), F.max_by("first_id", "n_points").alias("keep_id"),
+              .agg(F.min("text_sha256").alias("text_sha256"), F.max_by("first", "n_points").alias("stays"),
                    F.sum("n").alias("group_size"))
-              .select("recipe", "text_sha256", "keep_id", "group_size"))
-    return (made.select("doc_id", "recipe", "text_sha256").join(groups, ["recipe", "text_sha256"])
+              .select("recipe", "text_sha256", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row_key").alias("keep_key"), "group_size"))
+    return (made.select("doc_id", "row_key", "recipe", "text_sha256").join(groups, ["recipe", "text_sha256"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                    "text_sha256"))
+                    "text_sha256", "row_key", "keep_key"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The ``documents`` table's copies: which row of each group of equal texts stays."""
-    return dedup_exact(table(spark, sf, "documents").select("doc_id", "text"))
+    return dedup_exact(table(spark, sf, "documents").select("doc_id", "text")).drop("row_key", "keep_key")
 
 
 OP10_SQL = rf"""

@@ -8,7 +8,7 @@ whatever its lines say.
 A word is ``[^\x20\x09-\x0D]+``.  Line rules, for a line with at least one word:
 
 * punctuation: fails when more than ``max_symbol_share`` of its code points
-  are ``#*$%&|<>{}[]\^~=_`` (code points that are not white space count);
+  are ``#*$%&|<>{}[]\^~=_!`` (code points that are not white space count);
 * navigation: fails when it has 3 or more entries between the separators
   ``|``, ``»``, ``›``, ``•`` or ``·``, or consists of one menu word or phrase;
 * boilerplate: fails when it holds a stock phrase (cookies, JavaScript,
@@ -33,7 +33,7 @@ from .store import table
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-LINE_SYMBOLS = r"[#*$%&|<>{}\[\]\\^~=_]"
+LINE_SYMBOLS = r"[#*$%&|<>{}\[\]\\^~=_!]"
 #: Menu words and stock phrases, lower case.
 MENU = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "contact", "contact us",
         "about", "about us", "sitemap", "next", "previous", "back to top", "read more", "share", "print", "skip to content"]
@@ -50,7 +50,7 @@ def stock_pattern() -> str:
     return "(" + "|".join(STOCK) + ")"
 
 
-def line_passes(line: Column, max_symbol_share: float = 0.5) -> Column:
+def line_passes(line: Column, max_symbol_share: float = 0.2) -> Column:
     """Whether one line passes the three rules."""
     solid = F.length(F.regexp_replace(line, F.lit(SPACE), F.lit("")))
     symbols = solid - F.length(F.regexp_replace(line, F.lit(rf"({LINE_SYMBOLS}|[\x20\x09-\x0D])+"), F.lit("")))
@@ -86,7 +86,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "n_repeat_words", lines.alias("lines"))
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_symbol_share: float = 0.5,
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_symbol_share: float = 0.2,
                   max_lost_share: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """Per row: id, base figures, ``n_lines``, ``n_lines_removed``, ``lost_chars``, ``clean_text`` and the verdicts.
 
@@ -115,7 +115,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PASSES = rf"""(length(regexp_replace(l, '{SPACE}', '', 'g')) - length(regexp_replace(l, '({LINE_SYMBOLS}|[\x20\x09-\x0D])+', '', 'g'))
-      <= 0.5 * length(regexp_replace(l, '{SPACE}', '', 'g'))
+      <= 0.2 * length(regexp_replace(l, '{SPACE}', '', 'g'))
   AND len(string_split_regex(l, '[|»›•·]')) < 4
   AND NOT regexp_matches(trim(lower(l)), '{menu_pattern()}') AND NOT regexp_matches(lower(l), '{stock_pattern()}'))"""
 OP9_SQL = rf"""

@@ -81,7 +81,7 @@ def fit_nnpu(rows: list[list[int]], positive: np.ndarray, prior: float, n_featur
             sizes = starts[take + 1] - starts[take]
             owner = np.repeat(np.arange(len(take)), sizes)
             at = flat[np.repeat(starts[take] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-            g = np.bincount(owner, weights=w[at], minlength=len(take)) + w[-1]
+            g = np.bincount(owner, weights=w[at], minlength=len(take)).astype(float) + w[-1]
             is_p = np.arange(len(take)) < len(part_p)
             s = sigmoid(g)
             loss_neg = np.logaddexp(0, g)  # l(-g)
@@ -91,7 +91,7 @@ def fit_nnpu(rows: list[list[int]], positive: np.ndarray, prior: float, n_featur
                 d = -grad_neg
             else:
                 d = grad_neg + np.where(is_p, prior / len(part_p), 0.0) * (s - 1)
-            grad = np.bincount(at, weights=d[owner], minlength=n_features + 1)
+            grad = np.bincount(at, weights=d[owner], minlength=n_features + 1).astype(float)
             grad[-1] = d.sum()
             grad[:-1] += decay * w[:-1]
             t += 1
