@@ -12,7 +12,7 @@
 4. Surge and dive points are moved to the borders of the element that holds
    the runs, out so that short first and last lines stay and in so that
    neighbouring text outside goes: the page's marked article (``article`` or
-   ``main``) with the most run weight, else the innermost container with
+   ``main``) with the most run weight, if that is ``ARTICLE_SHARE`` of all, else the innermost container with
    ``CONTAINER_SHARE`` of it, else the runs stand as they are and those of a
    third of the heaviest one's weight or more are kept.
 
@@ -54,10 +54,14 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
                "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo",
                "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup",
-               "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "alert", "reviews", "review",
-               "recommended", "header", "responses", "feedback", "overlay", "toc"}
+               "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "alert", "recommended", "header",
+               "responses", "overlay", "toc"}
+#: Of these, the ones that also tell an article element from the page's main one.
+ARTICLE_ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "sponsored"}
 #: Elements that may hold a page's main text when it marks no article.
 CONTAINERS = {"body", "div", "section", "td", "center", "table"}
+#: Least share of the runs' weight with which a marked article is the main one (teasers are articles, too).
+ARTICLE_SHARE = 0.25
 #: Share of the runs' weight that the smallest container of the main text holds.
 CONTAINER_SHARE = 0.8
 #: An open p ends where another block begins.
@@ -75,13 +79,15 @@ def is_aside(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element opens a container without main text."""
     if name in ASIDE or (name == "header" and not in_article):
         return True
-    if name in ("article", "main", "body", "html", "p") or not attributes:
-        return bool(attributes and _HIDDEN.search(attributes))
+    if not attributes:
+        return False
     if _HIDDEN.search(attributes):
         return True
+    if name in ("body", "html"):
+        return False
+    listed = ARTICLE_ASIDE_WORDS if name in ("article", "main") else ASIDE_WORDS
     for found in _MARKS.finditer(attributes):
-        words = {w.lower() for w in _WORD.findall(found[1] or found[2] or found[3] or "")}
-        hit = words & ASIDE_WORDS
+        hit = listed.intersection(w.lower() for w in _WORD.findall(found[1] or found[2] or found[3] or ""))
         if hit and not (in_article and hit <= {"header"}):
             return True
     return False
@@ -215,8 +221,8 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         for i in range(start, end):
             if lines[i][2]:
                 marked[lines[i][2]] = marked.get(lines[i][2], 0) + weights[i]
-    if marked:
-        chosen = max(marked, key=lambda a: (marked[a], -a))
+    chosen = max(marked, key=lambda a: (marked[a], -a), default=None)
+    if chosen is not None and marked[chosen] >= ARTICLE_SHARE * sum(map(weight, runs)):
         kept = [i for i, line in enumerate(lines) if line[2] == chosen and not line[3]]
     else:
         held: dict[int, int] = {}

@@ -32,6 +32,15 @@ def test_main_text(element):
                     "Second paragraph, unclosed <b>.\nShort.")
 
 
+def test_teasers_and_comment_articles_are_not_the_text():
+    body = "<p>" + "A long paragraph of the main text with many words in it. " * 6 + "</p><p>End.</p>"
+    page = f"<body><div id=content>{body}<article class='comment'><p>{'A comment that is long enough to be seen. ' * 5}</p></article></div>"
+    want = " ".join(["A long paragraph of the main text with many words in it."] * 6) + "\nEnd."
+    assert html_text.main_text(page) == want
+    teasers = "".join(f"<article><h3>Teaser {i}</h3></article>" for i in range(4))
+    assert html_text.main_text(f"<body><div>{teasers}</div><div class=text>{body}<p class=ad>Buy.</p></div>") == want
+
+
 def test_main_text_matches_the_articles(spark):
     """The pages mark their articles: brute force cuts them out and strips the tags."""
     from html import unescape
