@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import struct
 import unicodedata
@@ -241,8 +240,11 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
         import numpy as np
         import pyarrow as pa
 
-        path = vocabulary if vocabulary and os.path.exists(vocabulary) else default_vocabulary()
-        made = encoder(path)
+        try:  # the installed module keeps its encoder from task to task; a pickled copy of it would not
+            from tablewright.llm.bpe import encoder as shared
+        except ImportError:
+            shared = encoder
+        made = shared(vocabulary or default_vocabulary())
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
