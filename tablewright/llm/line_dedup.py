@@ -124,20 +124,20 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 _WORDS = rf"list_transform(list_filter(string_split_regex(line, '[{SPACE}]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)"
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM d),
-w AS (SELECT doc_id, text, at, line, {_WORDS} AS words FROM l),
+l AS (SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+w AS (SELECT doc_id, text, pos, line, {_WORDS} AS words FROM l),
 u AS (SELECT words, count(*) AS docs FROM (SELECT DISTINCT doc_id, text, words FROM w WHERE len(words) >= {MIN_WORDS}) GROUP BY words),
-f AS (SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead, sum(docs) OVER (PARTITION BY len(words), words[1:{DEPTH}]) AS in_leaf FROM u),
-p AS (SELECT words, n, lead, docs, unnest(words) AS word, unnest(range(n)) AS at FROM f WHERE in_leaf >= {MIN_DOCS}),
-c AS (SELECT *, word = '<*>' AS masked, at < {DEPTH} OR (word <> '<*>' AND sum(docs) OVER (PARTITION BY n, lead, at, word) >= {MIN_DOCS}) AS stays FROM p),
-t AS (SELECT words, n, list(CASE WHEN stays THEN word ELSE '<*>' END ORDER BY at) AS template,
+f AS (SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead_words, sum(docs) OVER (PARTITION BY len(words), words[1:{DEPTH}]) AS in_leaf FROM u),
+p AS (SELECT words, n, lead_words, docs, unnest(words) AS word, unnest(range(n)) AS pos FROM f WHERE in_leaf >= {MIN_DOCS}),
+c AS (SELECT *, word = '<*>' AS masked, pos < {DEPTH} OR (word <> '<*>' AND sum(docs) OVER (PARTITION BY n, lead_words, pos, word) >= {MIN_DOCS}) AS stays FROM p),
+t AS (SELECT words, n, list(CASE WHEN stays THEN word ELSE '<*>' END ORDER BY pos) AS template,
              count(*) FILTER (WHERE NOT stays AND NOT masked) AS wild, count(*) FILTER (WHERE stays AND NOT masked) AS kept
       FROM c GROUP BY words, n),
 v AS (SELECT words, template FROM t WHERE kept > 0 AND wild <= {1 - SIMILARITY + 1e-9} * n),
 r AS (SELECT template FROM (SELECT DISTINCT doc_id, text, template FROM w JOIN v USING (words)) GROUP BY template HAVING count(*) >= {MIN_DOCS}),
 x AS (SELECT words FROM v JOIN r USING (template)),
 k AS (SELECT w.doc_id, w.text, count(*) AS n_lines, count(x.words) AS n_dropped,
-             coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE x.words IS NULL), '') AS clean_text
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE x.words IS NULL), '') AS clean_text
       FROM w LEFT JOIN x ON x.words = w.words GROUP BY w.doc_id, w.text)
 SELECT doc_id, text, n_lines, n_dropped, clean_text FROM k
 """

@@ -144,13 +144,13 @@ e(t, done, i, turn) AS (
     SELECT t, done, list_min(list_filter(list_transform(done, lambda d, j: CASE WHEN d < q[j] AND d * p < (t + 2) * q[j]
       THEN {{'due': ((d + 1) * p + q[j] - 1) // q[j], 'j': CAST(j AS BIGINT)}} END), lambda x: x IS NOT NULL)).j AS k
     FROM e, l WHERE t + 1 < p)),
-s AS (SELECT keys[e.i] AS key, q[e.i] AS share, p AS period, e.turn, e.t AS at FROM e, l WHERE e.t >= 0),
-x AS (SELECT min((b // h.share) * s.period + s.at) AS stop FROM
+s AS (SELECT keys[e.i] AS key, q[e.i] AS share, p AS period, e.turn, e.t AS slot_at FROM e, l WHERE e.t >= 0),
+x AS (SELECT min((b // h.share) * s.period + s.slot_at) AS stop FROM
       (SELECT key, share, (n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS b FROM h) h JOIN s ON s.key = h.key AND s.turn = b % h.share),
 r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY o, doc_id) - 1 AS i FROM d),
 b AS (SELECT *, i // {BLOCK_ROWS} + 1 AS block, i % {BLOCK_ROWS} AS block_row FROM r),
-f AS (SELECT b.doc_id, b.source, s.share, s.period, b.block, b.block_row, ((block - 1) * period) // share AS release,
-        (block * period + share - 1) // share AS deadline, ((block - 1) // share) * period + s.at AS slot
+f AS (SELECT b.doc_id, b.source, h.share, s.period, b.block, b.block_row, ((block - 1) * s.period) // h.share AS release,
+        (block * s.period + h.share - 1) // h.share AS deadline, ((block - 1) // h.share) * s.period + s.slot_at AS slot
       FROM b JOIN h ON h.key = b.key JOIN s ON s.key = b.key AND s.turn = (block - 1) % h.share)
 SELECT f.*, slot < stop AS in_mix FROM f, x
 """
