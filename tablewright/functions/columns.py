@@ -21,6 +21,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
 
+def is_integral(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def is_string(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
 

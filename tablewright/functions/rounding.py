@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 
 
 def round_dp(c: Column, digits: int) -> Column:
-    """Round half-up to ``digits`` decimals."""
+    """Round half-up to ``digits`` decimals; NULL and NaN give NULL.
+
+    Magnitudes from ``2**52 / scale`` up hold no digit to round and pass
+    through unchanged (so do infinities).
+    """
     scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
+    x = c.cast("double")
+    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
+            .when(F.abs(x) >= F.lit(2.0 ** 52 / scale), x)
+            .otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)))
 
 
 def round_dp_sql(expr: str, digits: int) -> str:
     scale = f"{float(10 ** digits)!r}"
-    return f"(CAST(floor(({expr}) * {scale} + 0.5) AS DOUBLE) / {scale})"
+    return (f"(CASE WHEN ({expr}) IS NULL OR isnan(CAST(({expr}) AS DOUBLE)) THEN NULL "
+            f"WHEN abs({expr}) >= {2.0 ** 52 / 10 ** digits!r} THEN CAST(({expr}) AS DOUBLE) "
+            f"ELSE CAST(floor(({expr}) * {scale} + 0.5) AS DOUBLE) / {scale} END)")
 
 
 def sig_round(c: Column, digits: int = 9) -> Column:

@@ -226,16 +226,29 @@ def pgamma(x: float, shape: float, rate: float = 1.0) -> float:
     return max(0.0, 1.0 - math.exp(lg) * h)
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+def lgamma_step(a: float, b: float) -> float:
+    """lgamma(a + b) - lgamma(a) for b <= a, without cancellation at large a (difference of Stirling series)."""
+    if a < 30.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + tail(a + b) - tail(a)
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where the caller knows it more exactly."""
+    if y is None:
+        y = 1.0 - x
     if x <= 0:
         return 0.0
-    if x >= 1:
+    if y <= 0:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    big, small = max(a, b), min(a, b)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    lbt = lgamma_step(big, small) - math.lgamma(small) + a * log_x + b * log_y
     if x < (a + 1.0) / (a + b + 2.0):
         return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    return 1.0 - math.exp(lbt) * _betacf(b, a, y) / b
 
 
 def _betacf(a, b, x):
@@ -271,7 +284,7 @@ def pt_two_sided(t: float, df: float) -> float:
     """P(|T| > |t|) for Student t with ``df`` degrees of freedom."""
     if df <= 0 or t is None or math.isnan(t):
         return float("nan")
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+    return betainc(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def pt(t: float, df: float) -> float:
@@ -280,10 +293,16 @@ def pt(t: float, df: float) -> float:
 
 
 def qt(p: float, df: float) -> float:
-    """Student t quantile by bisection on the CDF."""
+    """Student t quantile by bisection on the CDF, in a bracket widened until it holds the answer."""
     lo, hi = -1e3, 1e3
-    for _ in range(200):
+    while pt(lo, df) > p and lo > -1e300:
+        lo *= 1e3
+    while pt(hi, df) < p and hi < 1e300:
+        hi *= 1e3
+    for _ in range(1100):
         mid = 0.5 * (lo + hi)
+        if mid in (lo, hi):
+            break
         if pt(mid, df) < p:
             lo = mid
         else:
@@ -295,7 +314,7 @@ def pf_upper(f: float, d1: float, d2: float) -> float:
     """P(F > f) for the F distribution."""
     if f <= 0:
         return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def kolmogorov_upper(x: float) -> float:
@@ -315,3 +334,67 @@ def kolmogorov_upper_sql(x: str) -> str:
     return (f"(CASE WHEN ({x}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * "
             f"(SELECT sum(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * ({x}) * ({x}))) "
             f"FROM range(1, 101) AS kk(k)))) END)")
+
+
+def pgamma_array(x, a: float, rate: float):
+    """Gamma CDF over a NumPy array: power series below ``a + 1``, continued fraction above, all values at once."""
+    import numpy as np
+
+    x = np.asarray(x, dtype=float) * rate
+    out = np.where(np.isnan(x), np.nan, 0.0)
+    with np.errstate(all="ignore"):
+        front = np.exp(a * np.log(x) - x - math.lgamma(a))
+        low = (x > 0) & (x < a + 1)
+        if low.any():
+            z = x[low]
+            term = total = np.full(len(z), 1.0 / a)
+            for k in range(1, 100_000):
+                term = term * z / (a + k)
+                total = total + term
+                if (term < total * 1e-17).all():
+                    break
+            out[low] = np.minimum(front[low] * total, 1.0)
+        high = x >= a + 1
+        if high.any():
+            z = x[high]
+            b = z + 1.0 - a
+            c, d = np.full(len(z), 1e300), 1.0 / b
+            h = d
+            for k in range(1, 100_000):
+                an = -k * (k - a)
+                b = b + 2.0
+                d = an * d + b
+                d = 1.0 / np.where(np.abs(d) < 1e-300, 1e-300, d)
+                c = b + an / c
+                c = np.where(np.abs(c) < 1e-300, 1e-300, c)
+                h = h * d * c
+                if (np.abs(d * c - 1.0) < 1e-16).all():
+                    break
+            out[high] = np.clip(1.0 - np.where(np.isinf(z), 0.0, front[high] * h), 0.0, 1.0)
+    return out
+
+
+def qgamma_array(p, a: float, rate: float):
+    """Gamma quantiles over a NumPy array: Newton steps on :func:`pgamma_array` inside a shrinking bracket."""
+    import numpy as np
+
+    p = np.asarray(p, dtype=float)
+    out = np.where(p <= 0, 0.0, np.where(p >= 1, np.inf, np.nan))
+    todo = (p > 0) & (p < 1)
+    q = p[todo]
+    lo, hi = np.zeros(len(q)), np.full(len(q), max(a, 1.0))
+    while len(q) and (pgamma_array(hi, a, 1.0) < q).any():
+        hi = np.where(pgamma_array(hi, a, 1.0) < q, hi * 2, hi)
+    x = np.minimum(np.maximum(a * 0.999, 1e-300), hi)
+    for _ in range(200):
+        f = pgamma_array(x, a, 1.0) - q
+        lo, hi = np.where(f < 0, x, lo), np.where(f < 0, hi, x)
+        with np.errstate(all="ignore"):
+            step = x - f / np.exp((a - 1) * np.log(x) - x - math.lgamma(a))
+        new = np.where((step > lo) & (step < hi), step, 0.5 * (lo + hi))
+        if len(q) == 0 or (np.abs(new - x) <= 1e-15 * np.abs(new)).all():
+            x = new
+            break
+        x = new
+    out[todo] = x
+    return out / rate

@@ -189,12 +189,18 @@ def encode_label(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+def onehot_long(df: DataFrame, id_cols: list[str], cols: list[str]) -> DataFrame:
+    """``(*id_cols, column, level)``: one row per 1 of a one-hot encoding, for any number of levels."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("level")) for c in cols])
+    return df.select(*[qcol(c).alias(c) for c in id_cols], F.inline(cells)).where(F.col("level").isNotNull())
+
+
 def encode_onehot(df: DataFrame, cols: list[str], *, max_levels: int = 200) -> DataFrame:
     """Replace each column by 0/1 dummies ``<col>_<level>`` (sorted levels) appended at the end.
 
     The output schema depends on the data, so the distinct levels are
     collected first; more than ``max_levels`` levels raises instead of
-    building an unbounded schema.  A missing cell gives all-zero dummies.
+    building an unbounded schema (:func:`onehot_long` has no limit).  A missing cell gives all-zero dummies.
     """
     out = df
     for c in cols:
@@ -377,8 +383,8 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     return table_facts(before, "before").unionByName(table_facts(after, "after"))
 
 
-def long_numeric(df: DataFrame, max_cols: int = 8) -> DataFrame:
-    """The first ``max_cols`` numeric columns as ``(variable, value)`` rows."""
+def long_numeric(df: DataFrame, max_cols: int | None = None) -> DataFrame:
+    """All numeric columns (or the first ``max_cols``) as ``(variable, value)`` rows."""
     cols = numeric_columns(df)[:max_cols]
     return (df.select(*[qcol(c).cast("double").alias(c) for c in cols])
             .unpivot([], cols, "variable", "value"))

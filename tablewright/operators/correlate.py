@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from .clean import null_counts
-from .rank import average_rank, join_back, ranked_counts, release, table_size
+from .rank import average_rank, join_back, ranked_counts, table_size, written
 
 #: aggregates per pass; keeps generated code under the JVM method size limit on wide tables
 PAIRS_PER_PASS = 60
@@ -78,55 +78,36 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     if len(cols) < 2:
         raise ValueError("need at least two numeric columns")
     nulls = null_counts(df, cols)
+    gaps = [j for j in range(len(cols)) if nulls[cols[j]] > 0]
     base = df.select(*[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
-    rank_cols: dict[tuple[int, int | None], str] = {}
-
-    def need(i: int, other: int | None) -> str:
-        key = (i, other if (other is not None and nulls[cols[other]] > 0) else None)
-        if key not in rank_cols:
-            rank_cols[key] = f"_r{i}_{'a' if key[1] is None else key[1]}"
-        return rank_cols[key]
-
-    pair_cols = {}
-    for i, j in _pairs(cols):
-        pair_cols[(i, j)] = (need(i, j), need(j, i))
-    for i in range(len(cols)):
-        need(i, None)
-    # every rank table (one per column, plus one per pair whose partner has gaps) in one ranking pass
-    parts = []
-    for (i, other), name in rank_cols.items():
-        src = base if other is None else base.where(F.col(f"_c{other}").isNotNull())
-        parts.append(src.select(F.lit(name).alias("_key"), F.col(f"_c{i}").alias("_v")))
-    long = parts[0]
-    for p_ in parts[1:]:
-        long = long.unionByName(p_)
-    rc0 = ranked_counts(long, "_v", by=["_key"])
-    # per-key table sizes from the cached value counts (a small aggregation) decide broadcast vs merge
-    cache = getattr(rc0, "_tablewright_cache", None)
-    sizes = ({r["_key"]: r["count"] for r in cache.groupBy("_key").count().collect()} if cache is not None
-             else {})
-    rc = rc0.select("_key", F.col("value").alias("_v"), average_rank(rc0).alias("_r"))
+    # one scan and one ranking: each distinct value of a column counts its rows, and those in which a
+    # partner with gaps is present; both counts cumulate to ranks
+    present = [F.col(f"_c{j}").isNotNull().cast("long").alias(f"p{j}") for j in gaps]
+    cells = F.array(*[F.struct(F.lit(i).alias("_key"), F.col(f"_c{i}").alias("_v")) for i in range(len(cols))])
+    long = base.select(F.inline(cells), *[F.col(f"_c{j}") for j in gaps]).select("_key", "_v", *present)
+    rc = ranked_counts(long, "_v", by=["_key"], cumulate=[f"p{j}" for j in gaps])
+    size = table_size(rc)
     joined = base
-    for (i, other), name in rank_cols.items():
-        rt = rc.where(F.col("_key") == F.lit(name)).select(F.col("_v").alias(f"{name}_v"), F.col("_r").alias(name))
-        cond = F.col(f"_c{i}") == F.col(f"{name}_v")
-        if other is not None:
-            cond = cond & F.col(f"_c{other}").isNotNull()
-        joined = join_back(joined, rt, cond, sizes.get(name, table_size(rc0)), "left").drop(f"{name}_v")
+    for i in range(len(cols)):
+        own = rc.where((F.col("_key") == F.lit(i)))
+        ranks = [average_rank(own).alias(f"_r{i}")]
+        ranks += [(F.col(f"before_p{j}") + (F.col(f"p{j}") + F.lit(1)) / F.lit(2.0)).alias(f"_r{i}_{j}") for j in gaps if j != i]
+        rt = own.select(F.col("value").alias(f"_v{i}"), *ranks)
+        joined = join_back(joined, rt, F.col(f"_c{i}") == F.col(f"_v{i}"), size, "left").drop(f"_v{i}")
     rows = []
     aggs = []
-    pairs = list(pair_cols.items())
-    for k, ((i, j), (ri, rj)) in enumerate(pairs):
-        a, b = F.col(ri), F.col(rj)
-        both = a.isNotNull() & b.isNotNull()
+    pairs = _pairs(cols)
+    for k, (i, j) in enumerate(pairs):
+        a = F.col(f"_r{i}_{j}") if j in gaps else F.col(f"_r{i}")
+        b = F.col(f"_r{j}_{i}") if i in gaps else F.col(f"_r{j}")
+        both = F.col(f"_c{i}").isNotNull() & F.col(f"_c{j}").isNotNull()
         aggs += [F.covar_samp(F.when(both, a), F.when(both, b)).alias(f"c{k}"),
                  F.var_samp(F.when(both, a)).alias(f"vx{k}"), F.var_samp(F.when(both, b)).alias(f"vy{k}"),
                  F.count(F.when(both, F.lit(1))).alias(f"n{k}")]
     for i in range(len(cols)):
         aggs += [F.var_samp(F.col(f"_c{i}")).alias(f"v{i}"), F.count(F.col(f"_c{i}")).alias(f"m{i}")]
     row = joined.agg(*aggs).first()
-    release(rc0)
-    for k, ((i, j), _) in enumerate(pairs):
+    for k, (i, j) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
         r = c / math.sqrt(vx * vy) if c is not None and vx and vy else None
         rows.append((cols[i], cols[j], None if r is None else max(-1.0, min(1.0, r)), int(row[f"n{k}"])))
@@ -136,77 +117,71 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # -------------------------------------------------------------------- Kendall
-def kendall_rank_tables(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(column, value, rank)``: each column's row rank (count of smaller values) over its non-missing
-    values, for all columns in one distributed ranking pass.
-
-    Ranks only need to preserve order, and a rank over all rows preserves
-    order on any pair's complete rows, so one table serves every pair.
+def kendall_pairs(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple[float | None, int]]:
+    """Exact tau-b and number of complete rows of all column pairs, in jobs shared by the pairs.
+
+    Values are replaced by their column's row ranks (one distributed ranking;
+    a rank over all rows keeps the order on any pair's complete rows), and
+    equal ``(pair, x, y)`` rows collapse to counts.  A discordant pair of rows
+    (x_i < x_j, y_i > y_j) differs first at exactly one bit of the y-rank,
+    inside one y-prefix: per bit level, the rows of a prefix whose bit is 1 and
+    whose x-rank is smaller are counted with the bucketed ranking, so no task
+    holds a whole prefix (the top level has a single one).  All pair sums are
+    decimals: they outgrow 64 bits from about 3e9 rows.
     """
-    long = df.select(*[qcol(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    rc = ranked_counts(long, "value", by=["column"])
-    out = rc.select("column", "value", F.col("before").alias("rank"), F.col("total").alias("n_col"))
-    out._tablewright_rows = table_size(rc)
-    out._tablewright_cache = getattr(rc, "_tablewright_cache", None)
-    out._tablewright_counts = {r["column"]: r["n"] for r in
-                               rc.groupBy("column").agg(F.max("total").alias("n")).collect()}
-    return out
+    base = df.select(*[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    cells = F.array(*[F.struct(F.lit(i).alias("_key"), F.col(f"_c{i}").alias("_v")) for i in range(len(cols))])
+    rc = ranked_counts(base.select(F.inline(cells)), "_v", by=["_key"])
+    size = table_size(rc)
+    ranked = base
+    for i in range(len(cols)):
+        rt = rc.where(F.col("_key") == F.lit(i)).select(F.col("value").alias(f"_v{i}"), F.col("before").alias(f"_r{i}"))
+        ranked = join_back(ranked, rt, F.col(f"_c{i}") == F.col(f"_v{i}"), size, "left").drop(f"_v{i}")
+    pairs = _pairs(cols)
+    each = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"_r{i}").alias("rx"), F.col(f"_r{j}").alias("ry"))
+                     for k, (i, j) in enumerate(pairs)])
+    d = written(ranked.select(F.inline(each)).where(F.col("rx").isNotNull() & F.col("ry").isNotNull())
+                .groupBy("pair", "rx", "ry").agg(F.count(F.lit(1)).alias("cnt")), "kendall")
+    return kendall_from_counts(d, pairs)
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, ranks: DataFrame | None = None) -> tuple[float | None, int]:
-    """Exact tau-b for one pair in O(n log n) distributed work.
+def _pairs_within(t: str) -> Column:
+    """Sum of t * (t - 1) / 2, exactly."""
+    c = F.col(t).cast("decimal(19,0)")
+    return F.sum((c * (c - F.lit(1).cast("decimal(19,0)"))).cast("decimal(38,0)"))
 
-    Duplicate (x, y) rows collapse to counts; x and y are replaced by their
-    row ranks from the distributed ranking.  A discordant pair (x_i < x_j,
-    y_i > y_j) differs first at exactly one bit of the y-rank, inside one
-    y-prefix: per bit level, the rows of a prefix whose bit is 1 and whose
-    x-rank is smaller are counted with the bucketed distributed ranking, so no
-    task holds a whole prefix (the top level has a single prefix).
-    """
-    ranks = ranks if ranks is not None else kendall_rank_tables(df, [x, y])
-    xs, ys = qcol(x).cast("double"), qcol(y).cast("double")
-    d = (df.select(xs.alias("_x"), ys.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-         .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("cnt"))).persist()
-    # tie sums for x, y and (x, y) plus n in one pass (grouping sets)
+
+def kendall_from_counts(d: DataFrame, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[float | None, int]]:
+    """Tau-b per pair from ``(pair, rx, ry, cnt)``: row ranks and how many rows hold them."""
     ties = {}
-    for r in d.cube("_x", "_y").agg(F.sum("cnt").alias("t"), F.grouping_id().alias("gid")) \
-            .groupBy("gid").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n")) \
-            .collect():
-        ties[r["gid"]] = r
-    n = int(ties[3]["n"]) if 3 in ties else 0
-    if n < 2:
-        d.unpersist()
-        return None, n
-    rx_t = ranks.where(F.col("column") == F.lit(x)).select(F.col("value").alias("_vx"), F.col("rank").alias("rx"))
-    ry_t = ranks.where(F.col("column") == F.lit(y)).select(F.col("value").alias("_vy"), F.col("rank").alias("ry"))
-    size = table_size(ranks)
-    ranked = join_back(d, rx_t, F.col("_x") == F.col("_vx"), size)
-    ranked = join_back(ranked, ry_t, F.col("_y") == F.col("_vy"), size).select("rx", "ry", "cnt")
-    # y-ranks are below the column's non-missing count, which bounds the bit levels
-    n_y = getattr(ranks, "_tablewright_counts", {}).get(y)
-    if n_y is None:
-        n_y = df.where(qcol(y).isNotNull()).count()
-    levels = max(1, (int(n_y) - 1).bit_length())
-    lv = ranked.select("rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
-    lv = lv.select("b", F.expr("shiftright(ry, b + 1)").alias("prefix"),
+    for name, keys in (("x", ["rx"]), ("y", ["ry"]), ("xy", ["rx", "ry"])):
+        for r in (d.groupBy("pair", *keys).agg(F.sum("cnt").alias("t"))
+                  .groupBy("pair").agg(_pairs_within("t").alias("twice"), F.sum("t").alias("n"), F.max(keys[-1]).alias("top")).collect()):
+            ties[r["pair"], name] = r
+    if not ties:
+        return {p: (None, 0) for p in pairs}
+    levels = max(1, max(int(r["top"]) for (_, name), r in ties.items() if name == "y").bit_length())
+    lv = d.select("pair", "rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
+    lv = lv.select("pair", "b", F.expr("shiftright(ry, b + 1)").alias("prefix"),
                    F.expr("shiftright(ry, b) % 2").alias("bit"), "rx", "cnt")
-    # per (level, prefix, x-rank): rows whose bit is 0 and 1; the bit-1 rows with a smaller x-rank in
-    # the same prefix come from the bucketed ranking (weighted by the bit-1 counts), so even the top
-    # level's single prefix is split over tasks by x-rank range.
-    agg = lv.groupBy("b", "prefix", "rx").agg(
+    agg = lv.groupBy("pair", "b", "prefix", "rx").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("cnt")).otherwise(F.lit(0))).alias("c0"),
         F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
-    rc = ranked_counts(agg, "rx", by=["b", "prefix"], weight="c1", carry=["c0"])
-    res = rc.agg(F.sum(F.col("c0") * F.col("before")).alias("disc")).first()
-    release(rc)
-    d.unpersist()
-    disc = float(res["disc"] or 0)
-    n0 = n * (n - 1) / 2
-    # grouping id: 0 = (x, y), 1 = (x), 2 = (y), 3 = ()
-    n1, n2, n3 = float(ties[1]["pairs"] or 0), float(ties[2]["pairs"] or 0), float(ties[0]["pairs"] or 0)
-    s_ = (n0 - n1 - n2 + n3) - 2.0 * disc
-    den = math.sqrt((n0 - n1) * (n0 - n2))
-    return (s_ / den if den > 0 else None), n
+    rc = ranked_counts(agg, "rx", by=["pair", "b", "prefix"], weight="c1", carry=["c0"])
+    found = {r["pair"]: int(r["disc"] or 0) for r in rc.groupBy("pair").agg(
+        F.sum((F.col("c0").cast("decimal(19,0)") * F.col("before").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("disc")).collect()}
+    out: dict[tuple[int, int], tuple[float | None, int]] = {}
+    for k, p in enumerate(pairs):
+        n = int(ties[k, "x"]["n"]) if (k, "x") in ties else 0
+        if n < 2:
+            out[p] = (None, n)
+            continue
+        # exact integers: twice the number of all pairs, of ties in x, y and both, and of concordant minus discordant ones
+        n0, n1, n2, n3 = n * (n - 1), *(int(ties[k, name]["twice"]) for name in ("x", "y", "xy"))
+        score = n0 - n1 - n2 + n3 - 4 * found.get(k, 0)
+        den = math.sqrt(n0 - n1) * math.sqrt(n0 - n2)
+        out[p] = (score / den if den > 0 else None, n)
+    return out
 
 
 def corr_kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -214,14 +189,9 @@ def corr_kendall(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need at least two numeric columns")
-    rows = []
-    ranks = kendall_rank_tables(df, cols)
-    for i, j in _pairs(cols):
-        tau, n = kendall_pair(df, cols[i], cols[j], ranks)
-        rows.append((cols[i], cols[j], tau, n))
-    release(ranks)
+    rows = [(cols[i], cols[j], tau, n) for (i, j), (tau, n) in kendall_pairs(df, cols).items()]
     counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                    *[F.countDistinct(qcol(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
+                    *[(F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"u{i}") for i, c in enumerate(cols)]).first()
     for i, c in enumerate(cols):
-        rows.append((c, c, 1.0 if (counts[f"u{i}"] or 0) > 1 else None, int(counts[f"n{i}"])))
+        rows.append((c, c, 1.0 if counts[f"u{i}"] else None, int(counts[f"n{i}"])))
     return _frame(df, rows)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, numeric_columns, qcol, string_columns
 from ..functions.special import qnorm_col, qt
-from .rank import quantiles_long, ranked_counts
+from .rank import quantiles_long, ranked_counts, unpivot_values, written
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 #: positions per chunk when a tie group's QQ points are expanded
@@ -50,34 +50,19 @@ def filter_domain(df: DataFrame, col: str) -> DataFrame:
     return df.select(qcol(col).alias("value")).distinct()
 
 
-#: above this many rows adaptive partition sizing already gives plenty of tasks
-SPREAD_MAX_ROWS = 20_000_000
-
-
-def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread rows over the cluster's task slots before a CPU-heavy expansion.
 
     Adaptive execution merges small shuffle partitions by byte size, which
     would put a step that multiplies the work by hundreds into one task; an
-    explicit partition count is kept as given.  For large inputs (``rows``
-    above ``SPREAD_MAX_ROWS``) the byte-sized partitions are already many, so
-    no extra shuffle is added.
+    explicit partition count is kept as given.
     """
-    if rows is not None and rows > SPREAD_MAX_ROWS:
-        return df
     # one partition per task slot: the point is to occupy every core, not to follow the shuffle setting
     n = max(1, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
 # ---------------------------------------------------------------- histogram
-def _range_stats(df: DataFrame, col: str, by: str | None) -> list:
-    keys = [qcol(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]
-    return (df.select(*keys, qcol(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-            .groupBy("_g").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-                               F.count("_x").alias("n")).collect())
-
-
 def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) -> DataFrame:
     """Equal-width histogram, first bin centred on the minimum, right-closed bins.
 
@@ -114,102 +99,105 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
 
 
 # ------------------------------------------------------------------ density
-def nrd0(sd: float | None, iqr: float | None, n: int, first_abs: float | None = None) -> float:
-    """Silverman's rule of thumb as in ``bw.nrd0``."""
-    hi = sd or 0.0
-    lo = min(hi, (iqr or 0.0) / 1.34)
-    if not lo:
-        lo = hi or abs(first_abs or 0.0) or 1.0
-    return 0.9 * lo * n ** (-0.2)
+#: fine grid over which a kernel density spreads its values before smoothing (per group, at every size)
+FINE_GRID = 4096
+
+
+def _ranked(df: DataFrame, col: str, by: str | None) -> DataFrame:
+    """Distinct values per group ``_g`` with counts and ranks: all that box and density figures need."""
+    g = qcol(by) if by else F.lit(None).cast("string")
+    return ranked_counts(df.select(g.alias("_g"), qcol(col).cast("double").alias("_x")), "_x", by=["_g"])
 
 
-def _group_stats(df: DataFrame, col: str, by: str | None) -> list[dict]:
-    """Per group: n, min, max, sd, q1, q3 (exact, distributed); summary-sized, returned to the driver."""
-    base = df.select(*([qcol(by).cast("string").alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]),
-                     qcol(col).cast("double").alias("_x"))
-    mom = {r["_g"]: r.asDict() for r in base.where(F.col("_x").isNotNull()).groupBy("_g").agg(
-        F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-        F.stddev_samp("_x").alias("sd")).collect()}
-    for r in quantiles_long(base, ["_x"], [0.25, 0.75], by=["_g"]).collect():
-        if r["_g"] in mom:
-            mom[r["_g"]].update(q1=r["q0"], q3=r["q1"])
-    return list(mom.values())
+def _box(rc: DataFrame) -> DataFrame:
+    """Per group ``_qg``: n, min, max and the three quartiles (type 7) from ranked distinct values."""
+    holds = lambda pos: (F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt"))
+    aggs = []
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        h = (F.col("total") - 1) * F.lit(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs += [F.max(F.when(holds(lo), F.col("value"))).alias(f"_lo{i}"),
+                 F.max(F.when(holds(hi), F.col("value"))).alias(f"_hi{i}"), F.max(h - lo).alias(f"_f{i}")]
+    agg = rc.groupBy(F.col("_g").alias("_qg")).agg(
+        F.max("total").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *aggs)
+    q = [F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(3)]
+    return agg.select("_qg", "n", "lo", "hi", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
 
 
-#: private key standing for a missing group value inside the density plan
-_NULL_GROUP = "\u0000null"
+def _bandwidth(sd: Column, iqr: Column, n: Column, first: Column) -> Column:
+    """Silverman's rule of thumb: 0.9 times the smaller of sd and iqr / 1.34 (whichever is above 0), times n ** -0.2."""
+    spread_ = F.least(sd, iqr / F.lit(1.34))
+    size = (F.when(spread_ > 0, spread_).when(sd > 0, sd).when(first != 0, F.abs(first)).otherwise(F.lit(1.0)))
+    return F.lit(0.9) * size * F.pow(n.cast("double"), F.lit(-0.2))
 
 
 def density(df: DataFrame, col: str, by: str | None = None, n_grid: int = 512) -> DataFrame:
     """Gaussian kernel density on an ``n_grid`` grid from min to max (per group), bandwidth nrd0.
 
-    Exact sum over all rows.  Identical values are counted first (which also
-    spreads the rows over the shuffle partitions); each distinct value is
-    then expanded against the fixed grid with ``explode(sequence(...))``
-    right before a partial aggregation, so the expansion is pipelined inside
-    one stage and only ``n_grid`` partial sums per task and group cross the
-    shuffle.  Per-group parameters join as a broadcast table whose size (the
-    group count) is checked first.
+    Every value is first spread linearly over its two neighbours on a fine
+    grid of ``FINE_GRID`` points from min to max (one map-side aggregation of
+    distinct values); the fine grid is then smoothed onto the output grid.
+    The work after the aggregation is the same for every table size.  Groups
+    are rows of tables throughout; nothing is collected.
     """
-    stats = _group_stats(df, col, by)
-    if len(stats) > 100_000:
-        raise ValueError("too many groups for a density per group")
-    rows = []
-    for r in stats:
-        bw = nrd0(r["sd"], (r["q3"] - r["q1"]) if r.get("q1") is not None else None, r["n"], r["lo"])
-        step = (r["hi"] - r["lo"]) / (n_grid - 1) if n_grid > 1 else 0.0
-        key = _NULL_GROUP if r["_g"] is None else r["_g"]
-        rows.append((key, float(r["lo"]), float(step), float(bw), int(r["n"])))
-    spark = df.sparkSession
-    params = spark.createDataFrame(rows, "_pg string, _lo double, _step double, _bw double, _n long")
-    g = qcol(by).cast("string") if by else F.lit(None).cast("string")
-    base = df.select(F.coalesce(g, F.lit(_NULL_GROUP)).alias("_g"), qcol(col).cast("double").alias("_x")) \
-        .where(F.col("_x").isNotNull())
-    total = sum(r[4] for r in rows)
-    weighted = spread(base.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w")), "_g", "_x", rows=total)
-    joined = weighted.join(F.broadcast(params), F.col("_g") == F.col("_pg"))
-    grid_x = F.col("_lo") + F.col("_idx") * F.col("_step")
-    u = (grid_x - F.col("_x")) / F.col("_bw")
-    sums = (joined.select("_g", "_x", "_w", "_lo", "_step", "_bw", "_n",
-                          F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("_idx"))
-            .groupBy("_g", "_idx")
-            .agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * u * u)).alias("_k"),
-                 F.first("_lo").alias("_lo"), F.first("_step").alias("_step"), F.first("_bw").alias("_bw"),
-                 F.first("_n").alias("_n")))
+    return _density(_ranked(df, col, by), df, col, by, n_grid)
+
+
+def _density(rc: DataFrame, df: DataFrame, col: str, by: str | None, n_grid: int) -> DataFrame:
+    g = qcol(by) if by else F.lit(None).cast("string")
+    x = qcol(col).cast("double")
+    sd = (df.select(g.alias("_sg"), x.alias("_x")).groupBy("_sg").agg(F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("sd")))
+    par = _box(rc).join(sd, F.col("_qg").eqNullSafe(F.col("_sg")))
+    par = written(par.select(
+        F.col("_qg").alias("_pg"), F.col("n").alias("_n"), F.col("lo").alias("_lo"), (F.col("hi") - F.col("lo")).alias("_span"),
+        _bandwidth(F.col("sd"), F.col("q3") - F.col("q1"), F.col("n"), F.col("lo")).alias("_bw")), "density-groups")
+    at = F.when(F.col("_span") > 0, (F.col("value") - F.col("_lo")) / F.col("_span") * F.lit(FINE_GRID - 1)).otherwise(F.lit(0.0))
+    near = F.least(F.floor(F.col("_at")), F.lit(FINE_GRID - 2)).cast("int")
+    part = F.col("_at") - F.col("_bin")
+    fine = (rc.join(par.select("_pg", "_lo", "_span"), F.col("_g").eqNullSafe(F.col("_pg")))
+            .select("_g", "cnt", at.alias("_at")).withColumn("_bin", near)
+            .select("_g", F.inline(F.array(F.struct(F.col("_bin").alias("_b"), (F.col("cnt") * (F.lit(1.0) - part)).alias("_w")),
+                                           F.struct((F.col("_bin") + 1).alias("_b"), (F.col("cnt") * part).alias("_w")))))
+            .groupBy("_g", "_b").agg(F.sum("_w").alias("_w")).where(F.col("_w") > 0))
+    step = F.col("_span") / F.lit(float(max(n_grid - 1, 1)))
+    grid_x = F.col("_lo") + F.col("_idx") * step
+    u = (grid_x - (F.col("_lo") + F.col("_b") * (F.col("_span") / F.lit(float(FINE_GRID - 1))))) / F.col("_bw")
+    # at most FINE_GRID rows a group from here on
+    sums = (spread(fine, "_g", "_b").join(par, F.col("_g").eqNullSafe(F.col("_pg")))
+            .select("_pg", "_n", "_lo", "_span", "_bw", "_b", "_w", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("_idx"))
+            .groupBy("_pg", "_n", "_lo", "_span", "_bw", "_idx").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * u * u)).alias("_k")))
     out = sums.select(
-        F.when(F.col("_g") != F.lit(_NULL_GROUP), F.col("_g")).alias("group"),
-        F.col("_idx").cast("long").alias("idx"), grid_x.alias("x"),
-        (F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(SQRT_2PI))).alias("density"),
-        F.col("_bw").alias("bandwidth"))
+        F.col("_pg").alias("group"), F.col("_idx").cast("long").alias("idx"), grid_x.alias("x"),
+        (F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(SQRT_2PI))).alias("density"), F.col("_bw").alias("bandwidth"))
     return out if by else out.drop("group")
 
 
 # ------------------------------------------------------------------ boxplot
 def boxplot_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
-    """Per group: n, q1, median, q3, whiskers (extreme values within 1.5 IQR), outlier count."""
-    g = qcol(by).alias("_g") if by else F.lit(None).cast("string").alias("_g")
-    base = df.select(g, qcol(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    q = quantiles_long(base, ["_x"], [0.25, 0.5, 0.75], by=["_g"]).select(
-        F.col("_g").alias("_qg"), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-        F.col("q2").alias("q3"))
-    lo_f = F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    hi_f = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    x = F.col("_x")
-    j = base.join(q, base["_g"].eqNullSafe(q["_qg"]))
-    out = j.groupBy("_g", "n", "q1", "median", "q3").agg(
-        F.min(F.when(x >= lo_f, x)).alias("whisker_low"),
-        F.max(F.when(x <= hi_f, x)).alias("whisker_high"),
-        F.sum(((x < lo_f) | (x > hi_f)).cast("long")).alias("n_outliers"))
-    out = out.select(F.col("_g").alias("group"), F.col("n").cast("long").alias("n"), "q1", "median", "q3",
-                     "whisker_low", "whisker_high", F.col("n_outliers").cast("long").alias("n_outliers"))
+    """Per group: n, q1, median, q3, whiskers (extreme values within 1.5 IQR), outlier count.
+
+    Everything comes from the ranked distinct values; rows are read once.
+    """
+    out = _boxes(_ranked(df, col, by))
     return out if by else out.drop("group")
 
 
+def _boxes(rc: DataFrame) -> DataFrame:
+    q = _box(rc)
+    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
+    lo_f, hi_f, x = F.col("q1") - reach, F.col("q3") + reach, F.col("value")
+    return (rc.join(q, F.col("_g").eqNullSafe(F.col("_qg"))).groupBy("_qg", "n", "q1", "median", "q3").agg(
+        F.min(F.when(x >= lo_f, x)).alias("whisker_low"), F.max(F.when(x <= hi_f, x)).alias("whisker_high"),
+        F.sum(F.when((x < lo_f) | (x > hi_f), F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("n_outliers"))
+        .select(F.col("_qg").alias("group"), F.col("n").cast("long").alias("n"), "q1", "median", "q3",
+                "whisker_low", "whisker_high", "n_outliers"))
+
+
 def violin(df: DataFrame, col: str, by: str, n_grid: int = 512) -> DataFrame:
-    """Per group: density curve rows with the group's box statistics attached."""
-    d = density(df, col, by, n_grid)
-    b = boxplot_stats(df, col, by).withColumnRenamed("group", "_bg")
-    return d.join(b, d["group"].eqNullSafe(b["_bg"])).drop("_bg")
+    """Per group: density curve rows with the group's box statistics attached (one ranking for both)."""
+    rc = _ranked(df, col, by)
+    b = _boxes(rc).withColumnRenamed("group", "_bg")
+    return _density(rc, df, col, by, n_grid).join(b, F.col("group").eqNullSafe(F.col("_bg"))).drop("_bg")
 
 
 # -------------------------------------------------------------------- bars
@@ -233,6 +221,33 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
                     (F.lit(y0) + (F.col("bin_y") + 0.5) * F.lit(wy)).alias("y"), "count")
 
 
+def pairs_panel(df: DataFrame, cols: list[str], bins: int = 20, n_grid: int = 128) -> DataFrame:
+    """All parts of a pairs panel of 2 to 6 columns in one table.
+
+    ``(part, var1, var2, i, j, x, y, value)``: the correlation of each pair
+    (``corr``), each column's density curve (``density``: x and value) and each
+    pair's two-dimensional bin counts (``points``: bin centres x, y and value).
+    """
+    from .correlate import corr_pearson
+
+    if not 2 <= len(cols) <= 6:
+        raise ValueError("a pairs panel takes 2 to 6 columns")
+    none, whole = F.lit(None).cast("double"), F.lit(None).cast("long")
+    out = corr_pearson(df, cols).where("var1 <> var2").select(
+        F.lit("corr").alias("part"), "var1", "var2", whole.alias("i"), whole.alias("j"), none.alias("x"), none.alias("y"),
+        F.col("corr").alias("value"))
+    for c in cols:
+        out = out.unionByName(density(df, c, None, n_grid).select(
+            F.lit("density").alias("part"), F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.col("idx").alias("i"),
+            whole.alias("j"), "x", none.alias("y"), F.col("density").alias("value")))
+    for k, a in enumerate(cols):
+        for b in cols[k + 1:]:
+            out = out.unionByName(scatter_bins(df, a, b, bins).select(
+                F.lit("points").alias("part"), F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col("bin_x").alias("i"),
+                F.col("bin_y").alias("j"), "x", "y", F.col("count").cast("double").alias("value")))
+    return out
+
+
 # -------------------------------------------------------------------- trend
 def trend_fit(df: DataFrame, x: str, y: str) -> dict:
     xs, ys = qcol(x).cast("double"), qcol(y).cast("double")
@@ -248,6 +263,8 @@ def trend_line(df: DataFrame, x: str, y: str, grid: int = 80, level: float = 0.9
     """Least-squares line with a pointwise confidence band on a ``grid``-point x grid."""
     f = trend_fit(df, x, y)
     n = f["n"]
+    if not n or not f["sxx"]:
+        raise ValueError(f"no line through {x!r}: it needs two different values beside {y!r}")
     sse = max(f["syy"] - f["b"] * f["sxy"], 0.0)
     s = math.sqrt(sse / (n - 2)) if n > 2 else float("nan")
     tcrit = qt(0.5 + level / 2, n - 2) if n > 2 else float("nan")
@@ -315,41 +332,31 @@ HIST_BINS = 8
 
 
 def summary_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Per numeric column: missing, complete rate, mean, sd, p0/p25/p50/p75/p100, 8-bin histogram counts."""
+    """Per numeric column: missing, complete rate, mean, sd, p0/p25/p50/p75/p100, 8-bin histogram counts.
+
+    Columns are rows of a long form throughout, so a wide table needs no wide
+    aggregation: moments from one grouped pass, quantiles and histogram from
+    the ranked distinct values.
+    """
     cols = cols or numeric_columns(df)
-    n_all = F.count(F.lit(1))
-    aggs = [n_all.alias("_n")]
-    for i, c in enumerate(cols):
-        x = qcol(c).cast("double")
-        aggs += [F.sum(x.isNull().cast("long")).alias(f"_m{i}"), F.avg(x).alias(f"_a{i}"),
-                 F.stddev_samp(x).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    st = df.agg(*aggs).first()
-    q = {r["column"]: r for r in quantiles_long(df, cols, [0.25, 0.5, 0.75]).collect()}
-    # 8-bin histogram counts per column in one more pass
-    hist_aggs = []
-    for i, c in enumerate(cols):
-        lo, hi = st[f"_lo{i}"], st[f"_hi{i}"]
-        x = qcol(c).cast("double")
-        if lo is None:
-            continue
-        w = (hi - lo) / HIST_BINS if hi > lo else 1.0
-        # least() skips NULL, so guard missing cells explicitly
-        b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(HIST_BINS - 1)))
-        for k in range(HIST_BINS):
-            hist_aggs.append(F.sum((b == k).cast("long")).alias(f"_h{i}_{k}"))
-    hrow = df.agg(*hist_aggs).first() if hist_aggs else None
-    n = st["_n"]
+    long = unpivot_values(df, cols)
+    moments = {r["column"]: r for r in long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).collect()}
+    rc = ranked_counts(long, "value", by=["column"]).withColumnRenamed("column", "_g")
+    box = written(_box(rc), "summary")
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(HIST_BINS))).otherwise(F.lit(1.0))
+    at = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(HIST_BINS - 1)).cast("int")
+    # one row per column; HIST_BINS counts for each
+    counts = {(r["_g"], r["bin"]): r["cnt"] for r in rc.join(F.broadcast(box), F.col("_g") == F.col("_qg"))
+              .groupBy("_g", at.alias("bin")).agg(F.sum("cnt").alias("cnt")).collect()}
+    found = {r["_qg"]: r for r in box.collect()}
     rows = []
-    for i, c in enumerate(cols):
-        qr = q.get(c)
-        hist = None
-        if hrow is not None and st[f"_lo{i}"] is not None:
-            hist = ",".join(str(hrow[f"_h{i}_{k}"] or 0) for k in range(HIST_BINS))
-        m = st[f"_m{i}"] or 0
-        rows.append((c, int(m), (n - m) / n if n else None, st[f"_a{i}"], st[f"_s{i}"],
-                     None if st[f"_lo{i}"] is None else float(st[f"_lo{i}"]),
-                     qr["q0"] if qr else None, qr["q1"] if qr else None, qr["q2"] if qr else None,
-                     None if st[f"_hi{i}"] is None else float(st[f"_hi{i}"]), hist))
+    for c in cols:
+        m, q = moments.get(c), found.get(c)
+        n, known = (m["rows"] if m else 0), (q["n"] if q else 0)
+        hist = ",".join(str(counts.get((c, k), 0)) for k in range(HIST_BINS)) if q else None
+        rows.append((c, int(n - known), known / n if n else None, m["mean"] if m else None, m["sd"] if m else None,
+                     *([q["lo"], q["q1"], q["median"], q["q3"], q["hi"]] if q else [None] * 5), hist))
     schema = ("column string, n_missing long, complete_rate double, mean double, sd double, p0 double, "
               "p25 double, p50 double, p75 double, p100 double, hist string")
     return df.sparkSession.createDataFrame(rows, schema)
@@ -357,26 +364,20 @@ def summary_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def summary_string(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per text column: missing, complete rate, min/max length, empty, distinct, whitespace-only counts."""
-    from .profile import WIDE_PROFILE_COLUMNS, _distinct_counts_long
+    from .profile import _distinct_counts
 
     cols = cols or string_columns(df)
-    wide = len(cols) > WIDE_PROFILE_COLUMNS
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = qcol(c)
         aggs += [F.sum(x.isNull().cast("long")).alias(f"_m{i}"), F.min(F.length(x)).alias(f"_lo{i}"),
                  F.max(F.length(x)).alias(f"_hi{i}"), F.sum((x == "").cast("long")).alias(f"_e{i}"),
                  F.sum(((F.length(x) > 0) & (F.trim(x) == "")).cast("long")).alias(f"_w{i}")]
-        if not wide:
-            aggs.append(F.count_distinct(x).alias(f"_u{i}"))
     one = df.agg(*aggs)
-    if wide:
-        # distinct non-missing values per column through (column, value) cells; inlined (one per column)
-        sub = df.select(*[qcol(c).alias(c) for c in cols])
-        with_null = {r["position"]: r["n_unique"] for r in _distinct_counts_long(sub).collect()}
-        has_null = one.select(*[(F.col(f"_m{i}") > 0).alias(f"h{i}") for i in range(len(cols))]).first()
-        one = one.select("*", *[F.lit(with_null.get(i, 0) - (1 if has_null[f"h{i}"] else 0)).cast("long")
-                                .alias(f"_u{i}") for i in range(len(cols))])
+    # distinct values per column through (column, value) cells, a missing one not counted; one number per column
+    with_null = {r["position"]: r["n_unique"] for r in _distinct_counts(df.select(*[qcol(c).alias(c) for c in cols])).collect()}
+    one = one.select("*", *[(F.lit(with_null.get(i, 0)) - (F.coalesce(F.col(f"_m{i}"), F.lit(0)) > 0).cast("int")).cast("long")
+                            .alias(f"_u{i}") for i in range(len(cols))])
     rows = F.array(*[F.struct(
         F.lit(c).alias("column"), F.coalesce(F.col(f"_m{i}"), F.lit(0)).cast("long").alias("n_missing"),
         (F.lit(1.0) - F.coalesce(F.col(f"_m{i}"), F.lit(0)) / F.col("_n")).alias("complete_rate"),

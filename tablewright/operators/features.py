@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import qcol
+from ..functions.columns import as_double, numeric_columns, qcol
 from .rank import quantile_map
 
 TRANSFORMS = ("log", "sqrt", "square", "boxcox", "reciprocal", "cbrt")
@@ -46,6 +48,9 @@ def boxcox_profile(df: DataFrame, col: str, shift: float | None = None) -> DataF
     x = qcol(col).cast("double") + F.lit(shift)
     st = df.agg(F.count(qcol(col)).alias("n"), F.avg(F.log(x)).alias("g")).first()
     n, g = st["n"], st["g"]
+    if g is None:
+        return df.sparkSession.createDataFrame([(i, lam, None) for i, lam in enumerate(boxcox_lambdas())],
+                                               "idx long, lambda double, loglik double")
     gm = math.exp(g)
     z = x / F.lit(gm)
     lams = boxcox_lambdas()
@@ -232,7 +237,8 @@ def formula(df: DataFrame, name: str, expr: str) -> DataFrame:
 
     Whole-column aggregates inside the expression (``value - mean(value)``)
     are computed first in one aggregation pass and inlined as literals, so the
-    final step is a plain row-wise projection.
+    final step is a plain row-wise projection; they may be nested.  Numeric
+    columns enter as doubles; division by zero and NaN give missing values.
     """
     if _FORBIDDEN.search(expr):
         raise ValueError("formula may only be an expression over the table's columns")
@@ -240,53 +246,61 @@ def formula(df: DataFrame, name: str, expr: str) -> DataFrame:
         fn = m.group(1).lower()
         if fn not in ALLOWED_FUNCTIONS and fn not in AGGREGATES:
             raise ValueError(f"function {fn!r} is not allowed in a formula")
-    # replace aggregate calls (outermost first) by literals computed in one pass
-    pieces: list[tuple[int, int, str, str]] = []
-    i = 0
-    while True:
-        m = _CALL.search(expr, i)
-        if not m:
-            break
-        fn = m.group(1).lower()
-        open_idx = m.end() - 1
-        close = _matching_paren(expr, open_idx)
-        if fn in AGGREGATES:
-            pieces.append((m.start(), close + 1, AGGREGATES[fn], expr[open_idx + 1:close]))
-            i = close + 1
-        else:
-            i = m.end()
-    if pieces:
-        plain = [p for p in pieces if p[2] != "median"]
-        values: dict[int, object] = {}
-        if plain:
-            row = df.agg(*[F.expr(f"{fn}({arg})").alias(f"_a{k}") for k, (_, _, fn, arg) in enumerate(pieces)
-                           if fn != "median"]).first()
-            for k, p in enumerate(pieces):
-                if p[2] != "median":
-                    values[k] = row[f"_a{k}"]
-        for k, p in enumerate(pieces):
-            if p[2] == "median":
-                tmp = df.select(F.expr(p[3]).cast("double").alias("_m"))
-                values[k] = quantile_map(tmp, ["_m"], [0.5])["_m"][0]
-        out, last = [], 0
-        for k, (s, e, _, _) in enumerate(pieces):
-            v = values[k]
-            out.append(expr[last:s])
-            out.append("CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)")
-            last = e
-        out.append(expr[last:])
-        expr = "".join(out)
-    # R-style arithmetic: a division by zero or an invalid cast gives a missing value, not an error.
-    # The expression is parsed and analysed with ANSI mode off; its operators keep that mode when run.
+    # numbers are computed as doubles (no integer overflow); a temporary view in a session of its own has
+    # division by zero and invalid casts give missing values, without touching the caller's settings
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.ansi.enabled", "false")
+    view = f"formula_{uuid.uuid4().hex}"
+    kept = {f"__kept{i}": c for i, c in enumerate(df.columns)}
+    (as_double(df.select("*", *[qcol(c).alias(k) for k, c in kept.items()]), numeric_columns(df)).createGlobalTempView(view))
+    source = f"global_temp.{view}"
     try:
-        out = df.withColumn(name, F.expr(expr))
-        out.schema  # force analysis while the setting applies
+        # innermost aggregates first: each round computes those that hold no other aggregate, as literals
+        while True:
+            inner = _inner_aggregates(expr)
+            if not inner:
+                break
+            values: list[object] = [None] * len(inner)
+            plain = [k for k, (_, _, fn, _) in enumerate(inner) if fn != "median"]
+            if plain:
+                row = own.sql("SELECT " + ", ".join(f"{inner[k][2]}({inner[k][3]}) AS a{k}" for k in plain) + f" FROM {source}").first()
+                for k in plain:
+                    values[k] = row[f"a{k}"]
+            for k, (_, _, fn, arg) in enumerate(inner):
+                if fn == "median":
+                    values[k] = quantile_map(own.sql(f"SELECT CAST({arg} AS DOUBLE) AS m FROM {source}"), ["m"], [0.5])["m"][0]
+            out, last = [], 0
+            for (start, end, _, _), v in zip(inner, values):
+                out.append(expr[last:start])
+                out.append("CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)")
+                last = end
+            expr = "".join([*out, expr[last:]])
+        hidden = ", ".join(kept)
+        made = own.sql(f"SELECT {hidden}, ({expr}) AS `{name.replace('`', '``')}` FROM {source}")
+        value = qcol(name)
+        if isinstance(made.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            value = _nan_to_null(value)
+        # the caller's columns come back as they were
+        return made.select(*[F.col(k).alias(c) for k, c in kept.items() if c != name], value.alias(name))
     finally:
-        spark.conf.set("spark.sql.ansi.enabled", prev)
-    return out
+        own.catalog.dropGlobalTempView(view)
+
+
+def _inner_aggregates(expr: str) -> list[tuple[int, int, str, str]]:
+    """``(start, end, function, argument)`` of the aggregate calls that hold no other aggregate call."""
+    found = []
+    for m in _CALL.finditer(expr):
+        fn = m.group(1).lower()
+        if fn in AGGREGATES:
+            close = _matching_paren(expr, m.end() - 1)
+            arg = expr[m.end():close]
+            if not any(c.group(1).lower() in AGGREGATES for c in _CALL.finditer(arg)):
+                found.append((m.start(), close + 1, AGGREGATES[fn], arg))
+    return found
 
 
 # ------------------------------------------------------------------ preview

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.columns import qcol
+from ..functions.columns import is_integral, qcol
 from ..functions.rounding import round_dp
-from ..functions.special import digamma, kolmogorov_upper, pgamma, pnorm_col, qnorm_col, trigamma
+from ..functions.special import (
+    digamma, kolmogorov_upper, pgamma_array, pnorm_col, qgamma_array, qnorm_col, trigamma,
+)
 from .explore import histogram, spread
-from .rank import quantile_map, ranked_counts, release
+from .rank import quantile_map, ranked_counts
 
 FAMILIES = ("norm", "lnorm", "exp", "gamma", "weibull")
 POSITIVE_FAMILIES = ("lnorm", "exp", "gamma", "weibull")
@@ -199,15 +201,11 @@ def _fit_all(df: DataFrame, col: str, families) -> list[Fit]:
             fits.append(fit_family(df, col, fam, shift=shift, st=st1 if shift else st0))
         except (ValueError, ZeroDivisionError, OverflowError, ArithmeticError) as e:
             # a family that cannot be fitted is left out of the comparison, as a warning
-            warnings.warn(f"Could not fit {fam}: {e}", stacklevel=2)
+            warnings.warn(f"{fam} left out of the comparison: {e}", stacklevel=2)
     return fits
 
 
 # ------------------------------------------------------------- CDF / pdf
-def _pgamma_np(x: np.ndarray, a: float, rate: float) -> np.ndarray:
-    return np.array([pgamma(float(v), a, rate) if v == v else np.nan for v in x])
-
-
 def cdf_col(fit: Fit, x: Column) -> Column:
     """Fitted CDF at (already shifted) x as a column expression (gamma: vectorised pandas UDF)."""
     p = fit.params
@@ -224,7 +222,7 @@ def cdf_col(fit: Fit, x: Column) -> Column:
 
         @pandas_udf("double")
         def gcdf(v: pd.Series) -> pd.Series:
-            return pd.Series(_pgamma_np(v.to_numpy(dtype=float), a, b))
+            return pd.Series(pgamma_array(v.to_numpy(dtype=float), a, b))
 
         return gcdf(x)
     raise ValueError(fit.family)
@@ -259,7 +257,6 @@ def ks_statistic(df: DataFrame, col: str, fit: Fit) -> tuple[float, int]:
     n = F.col("total").cast("double")
     d = F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n)
     r = rc.agg(F.max(d).alias("d"), F.max("total").alias("n")).first()
-    release(rc)
     return float(r["d"]), int(r["n"])
 
 
@@ -278,24 +275,15 @@ def parameters_text(fit: Fit) -> str:
 
 
 def ks_many(df: DataFrame, col: str, fits: list[Fit]) -> dict[str, float]:
-    """KS statistics of several fits: one distributed ranking per distinct shift, one aggregation for all."""
-    out = {}
-    by_shift: dict[float, list[Fit]] = {}
+    """KS statistics of several fits: one distributed ranking and one aggregation for all."""
+    rc = ranked_counts(df, qcol(col).cast("double"))  # a shift leaves ranks as they are
+    n = F.col("total").cast("double")
+    aggs = []
     for f in fits:
-        by_shift.setdefault(f.shift, []).append(f)
-    for shift, group in by_shift.items():
-        rc = ranked_counts(df, qcol(col).cast("double") + F.lit(shift))
-        n = F.col("total").cast("double")
-        aggs = []
-        for f in group:
-            fx = cdf_col(f, F.col("value"))
-            aggs.append(F.max(F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n))
-                        .alias(f.family))
-        r = rc.agg(*aggs, F.max("total").alias("_n")).first()
-        release(rc)
-        for f in group:
-            out[f.family] = kolmogorov_upper(math.sqrt(r["_n"]) * float(r[f.family]))
-    return out
+        fx = cdf_col(f, F.col("value") + F.lit(f.shift))
+        aggs.append(F.max(F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n)).alias(f.family))
+    r = rc.agg(*aggs, F.max("total").alias("_n")).first()
+    return {f.family: kolmogorov_upper(math.sqrt(r["_n"]) * float(r[f.family])) for f in fits}
 
 
 def fit_compare(df: DataFrame, col: str, families=FAMILIES, *, with_ks: bool = True) -> DataFrame:
@@ -352,6 +340,10 @@ def cullen_frey(df: DataFrame, col: str) -> DataFrame:
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("sd")).first()
     n, m = st["n"], st["mean"]
+    schema = ("column string, n long, min double, max double, median double, mean double, sd double, "
+              "skewness double, kurtosis double")
+    if not n:
+        return df.sparkSession.createDataFrame([(col, 0, *[None] * 7)], schema)
     d = x - F.lit(m)
     c = df.agg(F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4")).first()
     med = quantile_map(df, [col], [0.5])[col][0]
@@ -360,9 +352,7 @@ def cullen_frey(df: DataFrame, col: str) -> DataFrame:
     skew = math.sqrt(n * (n - 1)) / (n - 2) * g1 if g1 is not None and n > 2 else None
     kurt = ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * b2 - 3 * (n - 1)) + 3) if b2 is not None and n > 3 else None
     return df.sparkSession.createDataFrame(
-        [(col, int(n), float(st["min"]), float(st["max"]), med, m, st["sd"], skew, kurt)],
-        "column string, n long, min double, max double, median double, mean double, sd double, "
-        "skewness double, kurtosis double")
+        [(col, int(n), float(st["min"]), float(st["max"]), med, m, st["sd"], skew, kurt)], schema)
 
 
 # ---------------------------------------------------------------- bootstrap
@@ -370,13 +360,27 @@ POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) fo
 _M32 = 4294967296
 
 
-def hash_uniform(key: Column, rep: Column) -> Column:
-    """A reproducible uniform in [0, 1) from an integer key and a replicate id (pure integer arithmetic)."""
-    a = F.pmod(key.cast("long") * F.lit(2654435761) + rep.cast("long") * F.lit(40503) + F.lit(12345), F.lit(_M32))
-    b = F.pmod((a.bitwiseXOR(F.shiftright(a, 16))) * F.lit(73244475), F.lit(_M32))
-    c = F.pmod((b.bitwiseXOR(F.shiftright(b, 16))) * F.lit(73244475), F.lit(_M32))
-    d = c.bitwiseXOR(F.shiftright(c, 16))
-    return d.cast("double") / F.lit(float(_M32))
+_MULTIPLIER = 73244475
+
+
+def _mix32(x: Column) -> Column:
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_MULTIPLIER), F.lit(_M32))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def with_uniform(rows: DataFrame, key: str, rep: str, name: str) -> DataFrame:
+    """Add a reproducible uniform in [0, 1) from a 64-bit key and a replicate id.
+
+    Replicate, high and low half of the key are mixed in turn (one projection
+    each); every product stays below 2**59, so no key overflows and no two
+    keys share their draws.
+    """
+    k = F.col(key).cast("long")
+    out = rows.withColumn("_h", _mix32(F.col(rep).cast("long") + F.lit(12345)))
+    out = out.withColumn("_h", F.shiftrightunsigned(k, 32).bitwiseXOR(F.col("_h"))).withColumn("_h", _mix32(F.col("_h")))
+    out = out.withColumn("_h", k.bitwiseAND(F.lit(_M32 - 1)).bitwiseXOR(F.col("_h")))
+    return out.withColumn(name, _mix32(F.col("_h")).cast("double") / F.lit(float(_M32))).drop("_h")
 
 
 def poisson1(u: Column) -> Column:
@@ -397,14 +401,14 @@ def cullen_frey_boot(df: DataFrame, col: str, id_col: str, reps: int = 500) -> D
     """
     x = qcol(col).cast("double")
     m = df.agg(F.avg(x)).first()[0]
-    base = df.select(qcol(id_col).alias("_id"), (x - F.lit(m)).alias("_d")).where(F.col("_d").isNotNull())
+    key = qcol(id_col) if is_integral(df.schema[id_col].dataType) else F.xxhash64(qcol(id_col))
+    base = df.select(key.alias("_id"), (x - F.lit(m)).alias("_d")).where(F.col("_d").isNotNull())
     if base.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
         # few input splits (small files): spread rows before the 500-fold expansion
         base = spread(base, "_id")
     ex = base.select("_id", "_d", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    w = poisson1(hash_uniform(F.col("_id"), F.col("rep"))).cast("double")
     d = F.col("_d")
-    sums = ex.select("rep", w.alias("w"), d).groupBy("rep").agg(
+    sums = with_uniform(ex, "_id", "rep", "_u").select("rep", poisson1(F.col("_u")).cast("double").alias("w"), d).groupBy("rep").agg(
         F.sum("w").alias("s0"), F.sum(F.col("w") * d).alias("s1"), F.sum(F.col("w") * d * d).alias("s2"),
         F.sum(F.col("w") * d * d * d).alias("s3"), F.sum(F.col("w") * d * d * d * d).alias("s4"))
     return boot_moments(sums)
@@ -425,6 +429,15 @@ def boot_moments(sums: DataFrame) -> DataFrame:
                        kurt.alias("kurtosis"))
 
 
+def gof_many(df: DataFrame, col: str, fits: list[Fit]) -> DataFrame:
+    """:func:`gof_points` of several fits, stacked under their ``distribution``."""
+    out = None
+    for f in fits:
+        one = gof_points(df, col, f).select(F.lit(f.family).alias("distribution"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def gof_points(df: DataFrame, col: str, fit: Fit) -> DataFrame:
     """Per sorted position: sample value, empirical CDF, fitted CDF (PP), fitted quantile of ppoints (QQ)."""
     from .explore import expand_positions, ppoints_a
@@ -451,4 +464,12 @@ def quantile_col(fit: Fit, p: Column) -> Column:
         return -F.log1p(-p) / F.lit(q["rate"])
     if fit.family == "weibull":
         return F.lit(q["scale"]) * F.pow(-F.log1p(-p), F.lit(1.0 / q["shape"]))
-    return F.lit(None).cast("double")
+    if fit.family == "gamma":
+        a, b = q["shape"], q["rate"]
+
+        @pandas_udf("double")
+        def quantile(v: pd.Series) -> pd.Series:
+            return pd.Series(qgamma_array(v.to_numpy(dtype=float), a, b))
+
+        return quantile(p)
+    raise ValueError(fit.family)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from ..functions.rounding import round_dp
-from ..functions.special import qnorm
+from ..functions.special import qnorm, qnorm_col
 from .rank import ranked_counts, unpivot_values
 
 # Direction and advice texts with their cut-offs on skewness.
@@ -111,9 +110,7 @@ def shapiro_wilk_values(x: np.ndarray) -> tuple[float | None, float | None]:
         a1 = _poly(SW_C1, rsn) - m[0] / ssumm2
         a = np.empty(nn2)
         if n > 5:
-            a2 = -m[1] / ssumm2 + _poly(SW_C2, rsn)
-            fac = math.sqrt((summ2 - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
-            a[1] = a2
+            a1, a[1], fac = _extreme_weights(n, summ2, m[0], m[1])
             start = 2
         else:
             fac = math.sqrt((summ2 - 2 * m[0] ** 2) / (1 - 2 * a1 ** 2))
@@ -127,17 +124,20 @@ def shapiro_wilk_values(x: np.ndarray) -> tuple[float | None, float | None]:
     wc = w - w.mean()
     W = float(np.dot(wc, xc) ** 2 / (np.dot(wc, wc) * np.dot(xc, xc)))
     W = min(W, 1.0)
+    return W, shapiro_wilk_p(W, n)
+
+
+def shapiro_wilk_p(w: float, n: int) -> float:
+    """Royston's p-value of W for n values."""
     if n == 3:
-        p = max(0.0, 1.90985931710274 * (math.asin(math.sqrt(W)) - 1.04719755119660))
-        return W, p
-    w1 = 1.0 - W
-    if w1 <= 0:
-        return W, 1.0
-    y = math.log(w1)
+        return max(0.0, 1.90985931710274 * (math.asin(math.sqrt(w)) - 1.04719755119660))
+    if w >= 1.0:
+        return 1.0
+    y = math.log(1.0 - w)
     if n <= 11:
         gamma = _poly(SW_G, n)
         if y >= gamma:
-            return W, 1e-99
+            return 1e-99
         y = -math.log(gamma - y)
         mu = _poly(SW_C3, n)
         sigma = math.exp(_poly(SW_C4, n))
@@ -146,14 +146,14 @@ def shapiro_wilk_values(x: np.ndarray) -> tuple[float | None, float | None]:
         mu = _poly(SW_C5, ln)
         sigma = math.exp(_poly(SW_C6, ln))
     # upper normal tail computed directly (no 1 - cdf cancellation for small p)
-    return W, 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2.0))
+    return 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2.0))
 
 
-def first_values(df: DataFrame, cols: list[str], order_by: str, limit: int = SHAPIRO_MAX_N) -> DataFrame:
+def first_values(df: DataFrame, cols: list[str], order_by: str, limit: int) -> DataFrame:
     """``(column, value)``: the first ``limit`` non-missing values of each column in ``order_by`` order.
 
     The order key is ranked per column with the distributed ranking (no
-    single-partition window); ``limit`` is the feature here (the test's cap).
+    single-partition window).
     """
     long = unpivot_values(df.select(qcol(order_by).alias("_ord"), *[qcol(c).alias(c) for c in cols]), cols,
                           by=["_ord"])
@@ -163,19 +163,51 @@ def first_values(df: DataFrame, cols: list[str], order_by: str, limit: int = SHA
     return long.join(rc, ["column", "_ord"], "left_semi").select("column", "value")
 
 
-def shapiro_wilk(df: DataFrame, cols: list[str], order_by: str, limit: int = SHAPIRO_MAX_N) -> DataFrame:
-    """Per column: n, W and p-value on the first ``limit`` values.
+def shapiro_wilk(df: DataFrame, cols: list[str], order_by: str | None = None, limit: int | None = None) -> DataFrame:
+    """Per column: n, W and p-value on all values (or the first ``limit`` in ``order_by`` order).
 
-    The per-column sample is bounded by ``limit``, so one group per column in
-    ``applyInPandas`` is a bounded task; all columns run in parallel.
+    W needs only ranks and two sums: the values' distributed ranking gives
+    each position's normal score, and one aggregation per column the rest.
+    Royston's p-value was fitted for 3 to 5000 values; beyond, it is an
+    extrapolation (see :func:`jarque_bera`).
     """
-    sample = first_values(df, cols, order_by, limit)
-
-    def per_column(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk_values(pdf["value"].to_numpy())
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p]})
-
-    return sample.groupBy("column").applyInPandas(per_column, "column string, n long, w double, p_value double")
+    from .explore import expand_positions
+
+    long = first_values(df, cols, order_by, limit) if limit is not None else unpivot_values(df, cols)
+    rc = ranked_counts(long, "value", by=["column"])
+    # one row per column
+    means = rc.groupBy(F.col("column").alias("_c")).agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("_mean"))
+    pts = expand_positions(rc).select("column", "position", F.col("total").alias("n"), "value")
+    pts = pts.join(F.broadcast(means), F.col("column") == F.col("_c"))
+    n, i, x = F.col("n"), F.col("position"), F.col("value") - F.col("_mean")
+    m = qnorm_col((i - F.lit(0.375)) / (n + F.lit(0.25)))
+    at = lambda k: F.max(F.when(i == k, x))
+    rows = (pts.select("column", "position", "n", "value", "_mean", m.alias("m")).groupBy("column", "n").agg(
+        F.sum(x * x).alias("sxx"), F.sum(F.col("m") * F.col("m")).alias("summ2"),
+        F.sum(F.when((i > 2) & (i < n - 1), F.col("m") * x)).alias("smx"),
+        F.max(F.when(i == 1, F.col("m"))).alias("m1"), F.max(F.when(i == 2, F.col("m"))).alias("m2"),
+        at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(n - 1).alias("y2"), at(n).alias("y1"),
+        F.collect_list(F.when(n <= 5, F.col("value"))).alias("few")).collect())
+    out = []
+    for r in rows:
+        if r["n"] <= 5 or r["y1"] - r["x1"] <= 0:
+            w, p = shapiro_wilk_values(np.array(r["few"] or [0.0, 0.0]))
+        else:
+            a1, a2, fac = _extreme_weights(r["n"], r["summ2"], r["m1"], r["m2"])
+            top = a1 * (r["y1"] - r["x1"]) + a2 * (r["y2"] - r["x2"]) + (r["smx"] or 0.0) / fac
+            size = 2 * (a1 ** 2 + a2 ** 2) + (r["summ2"] - 2 * r["m1"] ** 2 - 2 * r["m2"] ** 2) / fac ** 2
+            w = min(top * top / (size * r["sxx"]), 1.0)
+            p = shapiro_wilk_p(w, r["n"])
+        out.append((r["column"], r["n"], w, p))
+    return df.sparkSession.createDataFrame(out, "column string, n long, w double, p_value double")
+
+
+def _extreme_weights(n: int, summ2: float, m1: float, m2: float) -> tuple[float, float, float]:
+    """Weights of the two largest values and the divisor of all other scores (more than 5 values)."""
+    rsn, root = 1.0 / math.sqrt(n), math.sqrt(summ2)
+    a1 = _poly(SW_C1, rsn) - m1 / root
+    a2 = _poly(SW_C2, rsn) - m2 / root
+    return a1, a2, math.sqrt((summ2 - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
 
 
 def jarque_bera(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, is_string, qcol, type_name
 from ..functions.rounding import round_dp
-from .rank import positions
+from .rank import exact_key, ranked_counts
 
 # Profile alert texts, first matching rule wins.
 ALERT_OVER_50 = "!! >50% missing - consider dropping"
@@ -42,51 +42,45 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
-#: above this many columns, exact distinct counts go through an unpivot instead of one wide aggregation
-WIDE_PROFILE_COLUMNS = 16
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """``(position, n_unique)`` with NULL counted as one value.
 
-
-def _distinct_counts_long(df: DataFrame) -> DataFrame:
-    """``(position, n_unique)`` with NULL counted as one value, via ``(column, value)`` cells.
-
-    Multiple exact distinct aggregates in one ``agg`` are planned as an
-    Expand that copies every row once per column; for wide tables this path
-    turns cells into rows instead (linear in cells) and counts groups.
-    Values are compared through a canonical string (shortest round-trip
-    text; -0.0 folded into 0.0), so distinctness matches value equality.
+    Exact distinct counts of many columns in one ``agg`` are planned as an
+    Expand that copies every row once per column.  Here the columns of each
+    data type become one stream of ``(position, value)`` cells, so values are
+    compared as what they are and the work is linear in cells at any width.
     """
-    fields = df.schema.fields
-    cells = []
-    for i, f in enumerate(fields):
-        c = qcol(f.name)
-        if is_numeric(f.dataType) and f.dataType.typeName() in ("float", "double"):
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
-        cells.append(F.struct(F.lit(i).alias("position"), c.cast("string").alias("value")))
-    long = df.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.position", "_cell.value")
-    return (long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy("position").agg(F.count(F.lit(1)).cast("long").alias("n_unique")))
+    kinds: dict[str, list[int]] = {}
+    for i, f in enumerate(df.schema.fields):
+        kinds.setdefault(f.dataType.simpleString(), []).append(i)
+    out = None
+    for at in kinds.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("position"), qcol(df.columns[i]).alias("value")) for i in at])
+        part = (df.select(F.inline(cells)).groupBy("position", "value").agg(F.count(F.lit(1)).alias("_c"))
+                .groupBy("position").agg(F.count(F.lit(1)).cast("long").alias("n_unique")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def column_profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """Per column: type, missing count and share, distinct count (NULL counts as one value), alert.
 
-    All statistics come from a single aggregation over the table; its one-row
-    result is unpivoted.  ``approx=True`` swaps the exact distinct count for
+    Counts come from a single aggregation over the table, whose one-row result
+    is unpivoted; exact distinct counts from one stream of typed cells per data
+    type (see :func:`_distinct_counts`).  ``approx=True`` swaps the exact distinct count for
     HyperLogLog++ (no shuffle of values) for very wide or very large tables.
     """
     fields = df.schema.fields
-    wide = not approx and len(fields) > WIDE_PROFILE_COLUMNS
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
         c = qcol(f.name)
         aggs.append(F.sum(c.isNull().cast("long")).alias(f"_m{i}"))
-        if not wide:
-            distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-            aggs.append((distinct + F.max(c.isNull().cast("int"))).alias(f"_u{i}"))
+        if approx:
+            aggs.append((F.approx_count_distinct(c) + F.max(c.isNull().cast("int"))).alias(f"_u{i}"))
     one = df.agg(*aggs)
-    if wide:
-        # per-column distinct counts are summary-sized (one number per column): inline them
-        uniq = {r["position"]: r["n_unique"] for r in _distinct_counts_long(df).collect()}
+    if not approx:
+        # one number per column
+        uniq = {r["position"]: r["n_unique"] for r in _distinct_counts(df).collect()}
         one = one.select("*", *[F.lit(uniq.get(i, 0)).cast("long").alias(f"_u{i}") for i in range(len(fields))])
     rows = F.array(*[
         F.struct(
@@ -128,14 +122,32 @@ def missing_rows(df: DataFrame, id_col: str) -> DataFrame:
 def missing_map(df: DataFrame, order_by: str, blocks: int = 100) -> DataFrame:
     """Missingness grid with bounded output: ``(block, column, missing_rate)``.
 
-    Rows are placed by their global position in ``order_by`` order (computed
-    without a single-partition window) into ``blocks`` equal row blocks.
+    Rows stand in ``order_by`` order and are cut into ``blocks`` blocks of
+    equal size; rows of the same value stand in the block of the first of
+    them, rows without a value after all others in the block where they begin.
+    The ranking only yields the first value of each block; the rows then need
+    one narrow projection and one aggregation.
     """
     names = df.columns
-    pos = positions(df.select(*[qcol(c).alias(c) for c in names],
-                              qcol(order_by).alias("_order")), "_order")
-    block = F.floor((F.col("_pos") - 1) * F.lit(blocks) / F.col("_n")).cast("long")
+    total, n_known = df.agg(F.count(F.lit(1)), F.count(qcol(order_by))).first()
+    order = exact_key(qcol(order_by), df.schema[order_by].dataType)
+    rc = ranked_counts(df.select(order.alias("_order")), "_order")
+    block_of = lambda p: F.floor(p * F.lit(blocks) / F.lit(total)).cast("long")
+    # at most ``blocks`` rows
+    starts = (rc.select(block_of(F.col("before")).alias("block"), "value")
+              .groupBy("block").agg(F.min("value").alias("first")).orderBy("block").collect()) if n_known else []
+
+    def place(lo: int, hi: int):
+        """Binary search of the order value among the blocks' first values."""
+        if hi - lo == 1:
+            return F.lit(starts[lo]["block"])
+        mid = (lo + hi) // 2
+        return F.when(F.col("_order") < F.lit(starts[mid]["first"]), place(lo, mid)).otherwise(place(mid, hi))
+
+    after = F.lit(int(n_known * blocks // total) if total else 0).cast("long")
+    block = F.when(F.col("_order").isNull(), after).otherwise(place(0, len(starts))) if starts else after
     flags = [qcol(c).isNull().cast("double").alias(c) for c in names]
-    per = pos.select(block.alias("block"), *flags).groupBy("block").agg(
+    rows = df.select(order.alias("_order"), *[f.alias(f"_f{i}") for i, f in enumerate(flags)])
+    per = rows.select(block.alias("block"), *[F.col(f"_f{i}").alias(c) for i, c in enumerate(names)]).groupBy("block").agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.avg(qcol(c)).alias(c) for c in names])
     return per.unpivot(["block", "n_rows"], names, "column", "missing_rate")

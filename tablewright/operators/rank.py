@@ -2,14 +2,17 @@
 
 ``Window.orderBy`` without a partition key sends every row to one task, and
 the exact ``percentile`` aggregate keeps all values of a group in one buffer.
-Neither survives a 100 TB column.  Instead:
+Neither survives a 100 TB column.  Instead, at every size and for every type:
 
 1. ``groupBy(group, value).count()`` collapses duplicates map-side, so a hot
-   value (a third of all rows) becomes a single row with a large count.
-2. When the distinct values outgrow one task, approximate quantiles of the
-   distinct values give split points; every value lands in a bucket of bounded
-   size.  Split points are collected once and used as literals, so recomputing
-   a lost partition gives the same buckets.
+   value (a third of all rows) becomes a single row with a large count.  The
+   counts are written once to the cluster's shared folder: all later steps
+   read that table, a lost executor only costs a re-read, and nothing stays
+   cached.
+2. Every value lands in a bucket of bounded size.  Buckets are ranges of an
+   order-preserving numeric key of the value (days, microseconds, the bytes
+   after a common text prefix, ...), split at approximate quantiles of that
+   key.  One bucket is just the case without split points.
 3. Per-(group, bucket) totals (a small table) give bucket offsets; a window
    partitioned by (group, bucket) gives the exact running count inside.
 
@@ -21,55 +24,74 @@ type-7 quantiles all follow from it.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import qcol
-
-#: distinct values per window task once a ranking is split into value ranges (windows sort and spill,
-#: and the split points every task carries stay under ~1 MB even at 1e12 distinct values)
-TARGET_BUCKET_ROWS = 10_000_000
-#: below this many distinct values a single window task is cheaper than bucketing
-SINGLE_TASK_ROWS = 1_000_000
-
-
-def bucket_count(spark, n_rows: int, target_rows: int = TARGET_BUCKET_ROWS) -> int:
-    """Buckets for ``n_rows`` distinct values: none when small, else enough to bound each window task
-    and at least one per task slot so the windows run in parallel."""
-    if n_rows <= SINGLE_TASK_ROWS:
-        return 1
-    return max(math.ceil(n_rows / target_rows), spark.sparkContext.defaultParallelism)
-
-
-def _bucketize(vc: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
-    n_buckets = bucket_count(vc.sparkSession, n_rows, target_rows)
-    if n_buckets == 1:
+from ..functions.columns import is_numeric, qcol
+from ..session import scratch_path
+
+#: distinct values per window task (windows sort and spill, and the split points every task carries
+#: stay under ~1 MB even at 1e12 distinct values)
+TARGET_BUCKET_ROWS = 1_000_000
+#: bytes of a text that its numeric key holds, from the first byte in which the column's texts differ
+KEY_BYTES = 6
+
+
+def bucket_count(n_rows: int, target_rows: int | None = None) -> int:
+    """Buckets for ``n_rows`` distinct values: enough to bound each window task."""
+    return max(1, math.ceil(n_rows / (target_rows or TARGET_BUCKET_ROWS)))
+
+
+def order_key(c: Column, dtype: T.DataType, skip: int = 0) -> Column:
+    """A double that never decreases as the value grows; ``skip`` leading bytes of a text are left out."""
+    if is_numeric(dtype):
+        return c.cast("double")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", start, c).cast("double")
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType, T.BinaryType)):
+        part = F.hex(F.substring(c.cast("binary"), skip + 1, KEY_BYTES))
+        return F.conv(F.rpad(part, 2 * KEY_BYTES, "0"), 16, 10).cast("double")
+    raise TypeError(f"cannot rank values of type {dtype.simpleString()}")
+
+
+def exact_key(c: Column, dtype: T.DataType) -> Column:
+    """A column in the order of ``c`` whose values can be written as literals: days and microseconds for dates and times."""
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return c
+
+
+def _bucketize(vc: DataFrame, n_buckets: int) -> DataFrame:
+    dtype, skip, splits = vc.schema["_value"].dataType, 0, []
+    if n_buckets > 1:
+        if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType, T.BinaryType)):
+            ends = vc.select(F.col("_value").cast("binary").alias("v")).agg(F.min("v"), F.max("v")).first()
+            skip = len(os.path.commonprefix([bytes(e) for e in ends if e is not None]))
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        # rank error n/accuracy stays below a quarter bucket, so buckets stay within ~1.5x of the target
+        found = vc.agg(F.percentile_approx(order_key(F.col("_value"), dtype, skip), probs, max(10_000, 4 * n_buckets))).first()[0]
+        splits = sorted({float(x) for x in found or [] if x is not None and not math.isnan(x)})
+    if not splits:
         return vc.withColumn("_bucket", F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    # rank error n/accuracy stays below a quarter bucket, so buckets stay within ~1.5x of the target
-    accuracy = max(10_000, 4 * n_buckets)
-    vtype = vc.schema["_value"].dataType
-    if isinstance(vtype, T.StringType):
-        # strings: sort a deterministic hash-chosen subset of the distinct values for splits
-        sample = (vc.select("_value").where(F.xxhash64("_value") % F.lit(max(1, n_rows // (50 * n_buckets))) == 0)
-                  .orderBy("_value").collect())
-        vals = [r[0] for r in sample]
-        splits = sorted({vals[int(len(vals) * p)] for p in probs if vals})
-        arr = F.array(*[F.lit(s) for s in splits])
-        return vc.withColumn("_bucket", F.size(F.filter(arr, lambda s: s < F.col("_value"))))
-    splits = vc.agg(F.percentile_approx(F.col("_value").cast("double"), probs, accuracy)).first()[0]
-    splits = sorted({float(s) for s in splits if s is not None and not math.isnan(s)})
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *splits, math.inf], inputCol="_value_d", outputCol="_bucket_d",
-        handleInvalid="keep",
-    )
-    out = bucketizer.transform(vc.withColumn("_value_d", F.col("_value").cast("double")))
-    return out.withColumn("_bucket", F.col("_bucket_d").cast("int")).drop("_value_d", "_bucket_d")
+    bucketizer = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_key_d", outputCol="_bucket_d", handleInvalid="keep")
+    keyed = vc.withColumn("_key_d", order_key(F.col("_value"), dtype, skip))
+    return bucketizer.transform(keyed).withColumn("_bucket", F.col("_bucket_d").cast("int")).drop("_key_d", "_bucket_d")
 
 
 #: rank tables up to this many rows are broadcast when joined back to row-level data
@@ -94,8 +116,9 @@ def ranked_counts(
     by: Sequence[str] = (),
     *,
     weight: str | Column | None = None,
-    target_rows: int = TARGET_BUCKET_ROWS,
+    target_rows: int | None = None,
     carry: Sequence[str] = (),
+    cumulate: Sequence[str] = (),
 ) -> DataFrame:
     """Distinct values per group with exact ranks.
 
@@ -103,53 +126,47 @@ def ranked_counts(
     same group with a strictly smaller value, ``total`` the group's non-null
     rows.  NULL values are dropped.  ``weight`` (a count column) lets callers
     feed pre-aggregated rows; ``carry`` columns are summed per distinct value
-    and passed through.
+    and passed through; ``cumulate`` columns as well, and their sums over the
+    smaller values come as ``before_<name>``.  Buckets hold about
+    ``target_rows`` distinct values (default ``TARGET_BUCKET_ROWS``).
     """
-    by = list(by)
+    by, carry, cumulate = list(by), list(carry), list(cumulate)
     vcol = qcol(value) if isinstance(value, str) else value
     wcol = F.lit(1).cast("long") if weight is None else (qcol(weight) if isinstance(weight, str) else weight)
-    vc = (
+    extra = [*carry, *cumulate]
+    vc = written(
         df.select(*[qcol(b).alias(b) for b in by], vcol.alias("_value"), wcol.cast("long").alias("_w"),
-                  *[qcol(c).alias(c) for c in carry])
+                  *[qcol(c).alias(c) for c in extra])
         .where(F.col("_value").isNotNull())
         .groupBy(*by, "_value")
-        .agg(F.sum("_w").alias("cnt"), *[F.sum(c).alias(c) for c in carry])
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+        .agg(F.sum("_w").alias("cnt"), *[F.sum(c).alias(c) for c in extra]), "ranking")
     n_rows = vc.count()
-    vcb = _bucketize(vc, n_rows, target_rows)
-    grp = Window.partitionBy(*[F.col(b) for b in by]) if by else Window.partitionBy()
-    if bucket_count(vc.sparkSession, n_rows, target_rows) == 1:
-        # one bucket: a group's distinct values fit in a task
-        w = grp.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-        out = (vcb.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)).cast("long"))
-               .withColumn("total", F.sum("cnt").over(grp).cast("long")))
-    else:
-        btot = vcb.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_btot"))
-        wb = grp.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offs = (btot.withColumn("_offset", F.coalesce(F.sum("_btot").over(wb), F.lit(0)))
-                .withColumn("_total", F.sum("_btot").over(grp))
-                .select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col("_bucket").alias("_o_bucket"),
-                        "_offset", "_total"))
-        cond = [F.col("_bucket") == F.col("_o_bucket")] + [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in by]
-        joined = vcb.join(offs, on=cond, how="inner")
-        w = Window.partitionBy(*[F.col(b) for b in by], F.col("_bucket")).orderBy("_value").rowsBetween(
-            Window.unboundedPreceding, -1)
-        out = (joined.withColumn("before", (F.col("_offset") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).cast("long"))
-               .withColumn("total", F.col("_total").cast("long")))
-    res = out.select(*by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"), "before", "total",
-                     *carry)
+    vcb = _bucketize(vc, bucket_count(n_rows, target_rows))
+    grp = Window.partitionBy(*[F.col(b) for b in by])
+    sums = ["cnt", *cumulate]
+    wb = grp.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (vcb.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+            .select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col("_bucket").alias("_o_bucket"),
+                    *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_before_{c}") for c in sums],
+                    F.sum("_t_cnt").over(grp).alias("_total")))
+    cond = [F.col("_bucket") == F.col("_o_bucket")] + [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in by]
+    w = Window.partitionBy(*[F.col(b) for b in by], F.col("_bucket")).orderBy("_value").rowsBetween(
+        Window.unboundedPreceding, -1)
+    inside = vcb.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_in_{c}") for c in sums])
+    joined = inside.join(offs, on=cond, how="inner")
+    res = joined.select(
+        *by, F.col("_value").alias("value"), F.col("cnt").cast("long").alias("cnt"),
+        (F.col("_before_cnt") + F.col("_in_cnt")).cast("long").alias("before"), F.col("_total").cast("long").alias("total"),
+        *extra, *[(F.col(f"_before_{c}") + F.col(f"_in_{c}")).cast("long").alias(f"before_{c}") for c in cumulate])
     res._tablewright_rows = n_rows
-    res._tablewright_cache = vc
     return res
 
 
-def release(*tables: DataFrame) -> None:
-    """Drop the cached value counts behind rank tables once their results have been collected."""
-    for t in tables:
-        cache = getattr(t, "_tablewright_cache", None)
-        if cache is not None:
-            cache.unpersist()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the cluster's shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_size(df: DataFrame) -> int | None:
@@ -211,12 +228,10 @@ def quantiles_long(
                  F.max(frac).alias(f"_f{i}")]
         parts.append(i)
     agg = rc.where(hit).groupBy(*keys).agg(*aggs)
-    out = agg.select(*keys, F.col("n").cast("long").alias("n"), *[
+    return agg.select(*keys, F.col("n").cast("long").alias("n"), *[
         (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
         for i in parts
     ])
-    out._tablewright_cache = getattr(rc, "_tablewright_cache", None)
-    return out
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *, approx: bool = False
@@ -224,7 +239,6 @@ def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *,
     """Driver-side {column: [q...]} for a few columns (summary-sized)."""
     q = quantiles_long(df, cols, probs, approx=approx)
     rows = q.collect()
-    release(q)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]

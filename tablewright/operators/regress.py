@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import qcol
 from ..functions.rounding import round_dp
 from ..functions.special import pf_upper, pt_two_sided
+from ..session import ensure_checkpoint_dir
 from .rank import quantile_map
 
 # Influence status labels (in rank order) and threshold rules 4/n, 2p/n.
@@ -28,6 +29,12 @@ STATUS_NORMAL = "Normal"
 STATUS_ORDER = [STATUS_BOTH, STATUS_INFLUENCE, STATUS_LEVERAGE, STATUS_NORMAL]
 
 
+#: smallest singular value of the correlation matrix of a design that counts as independent
+RANK_TOLERANCE = 1e-12
+#: a row with 1 - leverage up to this determines its own fit: its scaled diagnostics are undefined (NULL)
+FULL_LEVERAGE = 1e-12
+
+
 @dataclass
 class OLSModel:
     response: str
@@ -89,7 +96,7 @@ def ols_fit(df: DataFrame, response: str, predictors: list[str]) -> OLSModel:
     """OLS ``response ~ predictors`` on complete rows; the response is removed from the predictors."""
     preds = [p for p in predictors if p != response]
     if not preds:
-        raise ValueError("Predictors must differ from response.")
+        raise ValueError("the response cannot be its own only predictor")
     cols = [response, *preds]
     data = complete_rows(df, cols)
     x = [qcol(c).cast("double") for c in preds]
@@ -115,9 +122,12 @@ def ols_fit(df: DataFrame, response: str, predictors: list[str]) -> OLSModel:
         for j in range(i, k):
             s[i, j] = s[j, i] = r[f"s{i}_{j}"]
     sy = np.array([r[f"sy{i}"] for i in range(k)])
-    if np.linalg.matrix_rank(s) < k:
+    # tested and inverted at unit diagonal: predictors may differ in scale by many orders
+    scale = np.sqrt(np.diag(s))
+    unit = s / np.outer(scale, scale) if (scale > 0).all() else None
+    if unit is None or np.linalg.matrix_rank(unit, tol=RANK_TOLERANCE) < k:
         raise ValueError("predictors are linearly dependent (rank-deficient design)")
-    s_inv = np.linalg.inv(s)
+    s_inv = np.linalg.inv(unit) / np.outer(scale, scale)
     b = s_inv @ sy
     syy = float(r["syy"])
     sse = max(syy - float(b @ sy), 0.0)
@@ -136,7 +146,16 @@ def leverage_col(m: OLSModel) -> Column:
     for i in range(k):
         for j in range(k):
             q = q + F.lit(float(m.s_inv[i, j])) * d[i] * d[j]
-    return q
+    return F.least(q, F.lit(1.0))
+
+
+def _scaled(m: OLSModel) -> tuple[Column, Column, Column, Column, Column]:
+    """Leverage, 1 - leverage (NULL at full leverage), residual, standardised residual and Cook's distance."""
+    h = leverage_col(m)
+    free = F.when(F.lit(1.0) - h > F.lit(FULL_LEVERAGE), F.lit(1.0) - h)
+    e = qcol(m.response).cast("double") - fitted_col(m)
+    r = F.try_divide(e, F.lit(math.sqrt(m.sigma2)) * F.sqrt(free))
+    return h, free, e, r, r * r * h / (free * F.lit(float(m.p)))
 
 
 def fitted_col(m: OLSModel) -> Column:
@@ -147,16 +166,18 @@ def fitted_col(m: OLSModel) -> Column:
 
 
 def diagnostics(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
-    """Unrounded per-row diagnostics on the complete rows: fitted, residual, leverage, r, Cook, DFFITS."""
+    """Unrounded per-row diagnostics on the complete rows: fitted, residual, leverage, r, Cook, DFFITS.
+
+    A row with full leverage has NULL scaled diagnostics, and so has every row
+    of a perfect fit; NULL is never influential.
+    """
     data = complete_rows(df, [m.response, *m.predictors])
-    s = math.sqrt(m.sigma2)
-    h, fit = leverage_col(m), fitted_col(m)
-    e = qcol(m.response).cast("double") - fit
-    r = e / (F.lit(s) * F.sqrt(F.lit(1.0) - h))
-    cook = r * r * h / ((F.lit(1.0) - h) * F.lit(float(m.p)))
-    s_i = F.sqrt((F.lit((m.n - m.p) * m.sigma2) - e * e / (F.lit(1.0) - h)) / F.lit(float(m.n - m.p - 1)))
-    dffits = e / (s_i * F.sqrt(F.lit(1.0) - h)) * F.sqrt(h / (F.lit(1.0) - h))
-    return data.select(*[qcol(c).alias(c) for c in id_cols], fit.alias("fitted"), e.alias("residual"),
+    h, free, e, r, cook = _scaled(m)
+    # without residual variance left after the row goes, DFFITS is undefined
+    left = F.lit((m.n - m.p) * m.sigma2) - e * e / free
+    s_i = F.when(left > 0, F.sqrt(F.try_divide(left, F.lit(float(m.n - m.p - 1)))))
+    dffits = F.try_divide(e, s_i * F.sqrt(free)) * F.sqrt(h / free)
+    return data.select(*[qcol(c).alias(c) for c in id_cols], fitted_col(m).alias("fitted"), e.alias("residual"),
                        h.alias("leverage"), r.alias("std_residual"), cook.alias("cooks_distance"),
                        dffits.alias("dffits"))
 
@@ -164,7 +185,7 @@ def diagnostics(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
 def influence(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
     """Cook's distance, leverage, standardised residual, DFFITS (4 dp), flags on unrounded values, status."""
     d = diagnostics(df, m, id_cols)
-    infl = F.col("cooks_distance") > F.lit(m.cook_threshold)
+    infl = F.coalesce(F.col("cooks_distance") > F.lit(m.cook_threshold), F.lit(False))
     lev = F.col("leverage") > F.lit(m.leverage_threshold)
     status = (F.when(infl & lev, F.lit(STATUS_BOTH)).when(infl, F.lit(STATUS_INFLUENCE))
               .when(lev, F.lit(STATUS_LEVERAGE)).otherwise(F.lit(STATUS_NORMAL)))
@@ -218,11 +239,8 @@ def influence_counts(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFram
 def remove_influential(df: DataFrame, m: OLSModel) -> DataFrame:
     """Complete rows that are not influential: a plain filter (the flag is a row expression)."""
     data = complete_rows(df, [m.response, *m.predictors])
-    h, fit = leverage_col(m), fitted_col(m)
-    e = qcol(m.response).cast("double") - fit
-    r = e / (F.lit(math.sqrt(m.sigma2)) * F.sqrt(F.lit(1.0) - h))
-    cook = r * r * h / ((F.lit(1.0) - h) * F.lit(float(m.p)))
-    return data.where(~(cook > F.lit(m.cook_threshold)))
+    cook = _scaled(m)[-1]
+    return data.where(~F.coalesce(cook > F.lit(m.cook_threshold), F.lit(False)))
 
 
 def ols_refit(df: DataFrame, response: str, predictors: list[str], rounds: int = 1) -> tuple[OLSModel, DataFrame]:
@@ -233,6 +251,7 @@ def ols_refit(df: DataFrame, response: str, predictors: list[str], rounds: int =
     for i in range(rounds):
         cur = remove_influential(cur, m)
         if i + 1 < rounds:
+            ensure_checkpoint_dir(cur.sparkSession)
             cur = cur.checkpoint(eager=True)
         m = ols_fit(cur, response, predictors)
     return m, cur
@@ -293,6 +312,18 @@ def residual_points(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame
                     qnorm_col((mid - F.lit(a)) / F.lit(n + 1 - 2 * a)).alias("theoretical"))
 
 
+def residual_trend(df: DataFrame, m: OLSModel, bins: int = 20) -> DataFrame:
+    """Trend of the residuals over the fitted values: ``bin, n, fitted, residual, sqrt_abs_std_residual`` means of
+    ``bins`` equal-width bins from the smallest to the largest fitted value (empty bins are left out)."""
+    d = diagnostics(df, m, []).select("fitted", "residual", "std_residual")
+    lo, hi = d.agg(F.min("fitted"), F.max("fitted")).first()
+    width = (hi - lo) / bins if hi is not None and hi > lo else 1.0
+    at = F.least(F.floor((F.col("fitted") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    return d.groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("fitted").alias("fitted"), F.avg("residual").alias("residual"),
+        F.avg(F.sqrt(F.abs(F.col("std_residual")))).alias("sqrt_abs_std_residual"))
+
+
 def leverage_points(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
     """Cook bar and leverage scatter data: id, Cook, leverage, r, status with the reference lines."""
     inf = influence(df, m, id_cols)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import numeric_columns
 from ..operators import clean as C
+from ..operators.rank import written
 
 # Cleaning log texts.
 LOG_ROWS_REMOVED = "Removed {n} rows with missing values"
@@ -62,9 +62,8 @@ class CleaningSpec:
 
         if self.remove_dups:
             n0 = out.count()
-            # the de-duplicated table feeds every later fit pass: keep it (memory, spilling to disk;
-            # a lost block is recomputed from its lineage) instead of repeating the shuffle
-            out = C.dedup(out).persist(StorageLevel.MEMORY_AND_DISK)
+            # the de-duplicated table feeds every later fit pass: it is written once to the shared folder
+            out = written(C.dedup(out), "deduplicated")
             removed = n0 - out.count()
             if removed > 0:
                 log.append(LOG_DUPLICATES.format(n=removed))

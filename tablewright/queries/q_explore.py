@@ -29,8 +29,7 @@ QUERIES = {
     "density": lambda s, sf: finish(E.density(_ev(s, sf), "value")),
     "density_grouped": lambda s, sf: finish(E.density(_ev(s, sf), "value", by="event_type")),
     "scatter_bins": lambda s, sf: finish(E.scatter_bins(table(s, sf, "lineitem"), "l_quantity", "l_extendedprice", 50)),
-    "trend_line": lambda s, sf: finish(E.trend_line(table(s, sf, "lineitem"), "l_quantity", "l_extendedprice")
-                                       .select("idx", "x", "fit", "se_fit")),
+    "trend_line": lambda s, sf: finish(E.trend_line(table(s, sf, "lineitem"), "l_quantity", "l_extendedprice")),
     "boxplot_stats": lambda s, sf: finish(E.boxplot_stats(_ev(s, sf), "value", by="event_type")),
     "violin": lambda s, sf: finish(E.violin(_ev(s, sf), "value", "event_type")),
     "bar_counts": lambda s, sf: E.bar_counts(table(s, sf, "orders"), "o_orderpriority"),
@@ -42,6 +41,9 @@ QUERIES = {
     "corr_spearman_missing": lambda s, sf: finish(K.corr_spearman(events_num(s, sf), ["user_id", "value", "value_sparse"])),
     "corr_kendall": lambda s, sf: finish(K.corr_kendall(table(s, sf, "customer"), CUST_NUM)),
     "pairs_corr": lambda s, sf: finish(K.corr_pearson(table(s, sf, "lineitem"), ["l_quantity", "l_extendedprice"])),
+    "pairs_panel": lambda s, sf: finish(E.pairs_panel(table(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])),
+    "summary_logical": lambda s, sf: finish(E.summary_logical(events_na(s, sf).select(
+        (F.col("value") > 50).alias("large"), (F.col("event_type") == "click").alias("is_click")))),
     "summary_numeric": lambda s, sf: finish(E.summary_numeric(events_num(s, sf))),
     "summary_string": lambda s, sf: finish(E.summary_string(events_na(s, sf))),
     "summary_other": lambda s, sf: E.summary_other(events_na(s, sf), factor_cols=["event_type"], time_cols=["ts"]),
@@ -92,17 +94,44 @@ def _kendall_sql(src: str, key: str, cols: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _scatter_sql() -> str:
-    return ("WITH st AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, "
-            "max(l_extendedprice) AS y1 FROM lineitem), w AS (SELECT x0, y0, "
-            "CASE WHEN x1 > x0 THEN (x1 - x0) / 50.0 ELSE 1.0 END AS wx, "
-            "CASE WHEN y1 > y0 THEN (y1 - y0) / 50.0 ELSE 1.0 END AS wy FROM st), "
-            "b AS (SELECT CAST(least(floor((l_quantity - x0) / wx), 49) AS BIGINT) AS bin_x, "
-            "CAST(least(floor((l_extendedprice - y0) / wy), 49) AS BIGINT) AS bin_y FROM lineitem, w) "
+def _scatter_sql(x: str = "l_quantity", y: str = "l_extendedprice", bins: int = 50) -> str:
+    return (f"WITH st AS (SELECT min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, "
+            f"max({y}) AS y1 FROM lineitem), w AS (SELECT x0, y0, "
+            f"CASE WHEN x1 > x0 THEN (x1 - x0) / {bins}.0 ELSE 1.0 END AS wx, "
+            f"CASE WHEN y1 > y0 THEN (y1 - y0) / {bins}.0 ELSE 1.0 END AS wy FROM st), "
+            f"b AS (SELECT CAST(least(floor(({x} - x0) / wx), {bins - 1}) AS BIGINT) AS bin_x, "
+            f"CAST(least(floor(({y} - y0) / wy), {bins - 1}) AS BIGINT) AS bin_y FROM lineitem, w) "
             f"SELECT bin_x, bin_y, {S('x0 + (bin_x + 0.5) * wx', 'x')}, {S('y0 + (bin_y + 0.5) * wy', 'y')}, "
             "CAST(count(*) AS BIGINT) AS count FROM b, w GROUP BY bin_x, bin_y, x0, y0, wx, wy")
 
 
+_SE = "s * sqrt(1.0 / n + (x - xbar) * (x - xbar) / sxx)"
+#: the 97.5 % point of Student's t by its series in 1 / df (df is in the thousands here) around the normal one
+_Z = 1.959963984540054
+_T975 = (f"({_Z!r} + {(_Z**3 + _Z) / 4!r} / (n - 2) + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / ((n - 2.0) * (n - 2)) "
+         f"+ {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / ((n - 2.0) * (n - 2) * (n - 2)))")
+
+
+def _pairs_sql(cols: list[str]) -> str:
+    null = "CAST(NULL AS DOUBLE)"
+    parts = [f"SELECT 'corr' AS part, var1, var2, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, {null} AS x, {null} AS y, corr AS value "
+             f"FROM ({_pearson_sql('lineitem', cols)}) WHERE var1 <> var2"]
+    for c in cols:
+        parts.append(f"SELECT 'density', '{c}', '{c}', idx, CAST(NULL AS BIGINT), x, {null}, density FROM "
+                     f"(WITH {density_sql('lineitem', c, None, 128)}{density_select(False)})")
+    for k, a in enumerate(cols):
+        for b in cols[k + 1:]:
+            parts.append(f"SELECT 'points', '{a}', '{b}', bin_x, bin_y, x, y, CAST(count AS DOUBLE) FROM ({_scatter_sql(a, b, 20)})")
+    return " UNION ALL ".join(parts)
+
+
+def _logical_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(count(*) - count(v) AS BIGINT) AS n_missing, {S('1.0 - (count(*) - count(v)) / count(*)', 'complete_rate')}, "
+        f"{S('avg(CAST(v AS DOUBLE))', 'mean')}, CAST(count(*) FILTER (WHERE v) AS BIGINT) AS n_true, CAST(count(*) FILTER (WHERE NOT v) AS BIGINT) AS n_false "
+        f"FROM (SELECT {e} AS v FROM {EVENTS_NA_SQL} ev)" for c, e in (("large", "value > 50"), ("is_click", "event_type = 'click'")))
+
+
 def _trend_sql() -> str:
     return ("WITH f AS (SELECT regr_count(l_extendedprice, l_quantity) AS n, regr_slope(l_extendedprice, l_quantity) AS b, "
             "regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, "
@@ -110,8 +139,8 @@ def _trend_sql() -> str:
             "regr_avgx(l_extendedprice, l_quantity) AS xbar, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), "
             "g AS (SELECT i AS idx, lo + i * ((hi - lo) / 79.0) AS x, a, b, n, xbar, sxx, "
             "sqrt(greatest(syy - b * sxy, 0.0) / (n - 2)) AS s FROM f, range(0, 80) t(i)) "
-            f"SELECT CAST(idx AS BIGINT) AS idx, {S('x', 'x')}, {S('a + b * x', 'fit')}, "
-            f"{S('s * sqrt(1.0 / n + (x - xbar) * (x - xbar) / sxx)', 'se_fit')} FROM g")
+            f"SELECT CAST(idx AS BIGINT) AS idx, {S('x', 'x')}, {S('a + b * x', 'fit')}, {S(_SE, 'se_fit')}, "
+            f"{S(f'a + b * x - {_T975} * {_SE}', 'lower')}, {S(f'a + b * x + {_T975} * {_SE}', 'upper')} FROM g")
 
 
 def _qq_sql() -> str:
@@ -201,6 +230,8 @@ ORACLE = {
     "corr_spearman_missing": _spearman_sql(EVN, ["user_id", "value", "value_sparse"]),
     "corr_kendall": _kendall_sql("customer", "c_custkey", CUST_NUM),
     "pairs_corr": _pearson_sql("lineitem", ["l_quantity", "l_extendedprice"]),
+    "pairs_panel": _pairs_sql(["l_quantity", "l_extendedprice", "l_tax"]),
+    "summary_logical": _logical_sql(),
     "summary_numeric": _summary_numeric_sql(),
     "summary_string": _summary_string_sql(),
     "summary_other": _summary_other_sql(),

@@ -44,7 +44,22 @@ def moments_report(s, sf):
 
 def normality_test(s, sf):
     df = events_num(s, sf)
-    return finish(M.shapiro_wilk(df, ["value", "value_sparse", "user_id"], "event_id"), 6)
+    return finish(M.shapiro_wilk(df, ["value", "value_sparse", "user_id"], "event_id", M.SHAPIRO_MAX_N), 6)
+
+
+def normality_all_rows(s, sf):
+    return finish(M.shapiro_wilk(events_num(s, sf), ["value", "value_sparse", "user_id"]), 6)
+
+
+def jarque_bera(s, sf):
+    return finish(M.jarque_bera(events_num(s, sf), ["value", "value_sparse", "user_id"]), 6)
+
+
+def formula_large_int(s, sf):
+    big = table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + 2000000000).cast("int").alias("a"),
+                                          (F.col("l_linenumber") + 2000000000).cast("int").alias("b"))
+    out = D.formula(big, "product", "a * b")
+    return finish(D.formula(out, "spread", "mean(abs(a - mean(a))) / (l_linenumber - 1)"))
 
 
 QUERIES = {
@@ -68,6 +83,9 @@ QUERIES = {
     "transform_preview": transform_preview,
     "moments_report": moments_report,
     "normality_test": normality_test,
+    "normality_all_rows": normality_all_rows,
+    "jarque_bera": jarque_bera,
+    "formula_large_int": formula_large_int,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -147,7 +165,7 @@ def _poly_sql(coefs, x: str) -> str:
     return acc
 
 
-def _shapiro_sql() -> str:
+def _shapiro_sql(limit: int | None) -> str:
     from ..functions.special import pnorm_sql, qnorm_sql
 
     cols = ["value", "value_sparse", "user_id"]
@@ -157,7 +175,7 @@ def _shapiro_sql() -> str:
     return (
         f"WITH ev AS {EVENTS_NUM_SQL}, lg AS ({long}), "
         "fv AS (SELECT col, x FROM (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY event_id) AS rn "
-        f"FROM lg) WHERE rn <= {M.SHAPIRO_MAX_N}), "
+        f"FROM lg){'' if limit is None else f' WHERE rn <= {limit}'}), "
         "srt AS (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) AS i, count(*) OVER (PARTITION BY col) AS n FROM fv), "
         f"half AS (SELECT col, i, n, {qnorm_sql('(i - 0.375) / (n + 0.25)')} AS m FROM srt WHERE i <= n // 2), "
         "ag AS (SELECT col, n, 2 * sum(m * m) AS summ2, max(CASE WHEN i = 1 THEN m END) AS m1, "
@@ -182,6 +200,8 @@ def _shapiro_sql() -> str:
 
 
 LI = "lineitem"
+_JB = ("count(x) / 6.0 * (power(avg(power(x - m, 3)) / power(avg(power(x - m, 2)), 1.5), 2) "
+       "+ power(avg(power(x - m, 4)) / power(avg(power(x - m, 2)), 2) - 3, 2) / 4.0)")
 ORACLE = {
     "tf_log": f"SELECT event_id, {S('value', 'value')}, {S('ln(value + 1)', 'value_log')} FROM events",
     "tf_sqrt": f"SELECT c_custkey, {S('c_acctbal', 'c_acctbal')}, {S('sqrt(abs(c_acctbal))', 'c_acctbal_sqrt')} FROM customer",
@@ -206,5 +226,14 @@ ORACLE = {
                        f"{S('value - (SELECT avg(value) FROM events)', 'value_centered')} FROM events"),
     "transform_preview": _preview_sql(),
     "moments_report": _moments_sql(),
-    "normality_test": _shapiro_sql(),
+    "normality_test": _shapiro_sql(M.SHAPIRO_MAX_N),
+    "normality_all_rows": _shapiro_sql(None),
+    "jarque_bera": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(count(x) AS BIGINT) AS n, {S(_JB, 'jb', 6)}, {S(f'exp(-({_JB}) / 2.0)', 'p_value', 6)} "
+        f"FROM (SELECT CAST({c} AS DOUBLE) AS x, avg(CAST({c} AS DOUBLE)) OVER () AS m FROM {EVENTS_NUM_SQL} e)"
+        for c in ["value", "value_sparse", "user_id"]),
+    "formula_large_int": (
+        f"SELECT l_orderkey, l_linenumber, l_orderkey + 2000000000 AS a, l_linenumber + 2000000000 AS b, "
+        f"{S('CAST(l_orderkey + 2000000000 AS DOUBLE) * (l_linenumber + 2000000000)', 'product')}, "
+        f"{S('(SELECT avg(abs(l_orderkey - m)) FROM lineitem, (SELECT avg(l_orderkey) AS m FROM lineitem)) / nullif(l_linenumber - 1, 0)', 'spread')} FROM {LI}"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import rank as RK
 from ..session import scratch_path
 from ..sources import readers as R
 from .common import EVENTS_NA_SQL, S, events_na, finish, table
@@ -41,12 +42,37 @@ def scan_tsv(spark, sf):
     return _orders_canonical(R.load(spark, path))
 
 
+def scan_csv_text(spark, sf):
+    """Free text with quotes and line breaks through the CSV sink and back."""
+    path = scratch_path(spark, "documents-csv") + "/documents.csv"
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('"q", '), "text", F.lit(' "e"')).alias("text"), "lang")
+    R.write_csv(docs, path)
+    back = R.load(spark, path, multi_line=True)
+    return back.select(F.col("doc_id").cast("long"), "text", "lang")
+
+
+EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def _events_back(back):
+    return back.select(F.col("event_id").cast("long"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("long"),
+                       "event_type", F.col("value").cast("double"), "props")
+
+
 def scan_json(spark, sf):
     path = scratch_path(spark, "events-json") + "/events.json"
-    R.write_json(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"), path)
-    back = R.load(spark, path)
-    return back.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "event_type",
-                       F.col("value").cast("double"), "props")
+    R.write_json(table(spark, sf, "events").select(*EVENT_COLS), path)
+    return _events_back(R.load(spark, path))
+
+
+def scan_json_array(spark, sf):
+    """Files that each hold one array of records (10,000 at most here)."""
+    path = scratch_path(spark, "events-json-array") + "/events.json"
+    rows = table(spark, sf, "events").select(*EVENT_COLS)
+    arrays = (rows.groupBy(F.expr("event_id div 10000").alias("part"))
+              .agg(F.to_json(F.collect_list(F.struct(*EVENT_COLS)), R.JSON_TIMES).alias("value")))
+    arrays.write.partitionBy("part").text(path)
+    return _events_back(R.load(spark, path))
 
 
 def load_dispatch(spark, sf):
@@ -61,11 +87,11 @@ def sample_fixed(spark, sf):
 
 def sink_roundtrip(spark, sf):
     path = scratch_path(spark, "events-na-csv") + "/events_na.csv"
-    src = events_na(spark, sf).select("event_id", "user_id", "event_type", "value", "value_sparse")
+    src = events_na(spark, sf).select("event_id", "user_id", "event_type", "value", "props", "value_sparse")
     R.write_csv(src, path)
     back = R.load(spark, path)
     return back.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "event_type",
-                       F.col("value").cast("double"), F.col("value_sparse").cast("double"))
+                       F.col("value").cast("double"), "props", F.col("value_sparse").cast("double"))
 
 
 def page_table(spark, sf):
@@ -87,6 +113,20 @@ def column_profile(spark, sf):
     return P.column_profile(events_na(spark, sf))
 
 
+def column_profile_wide(spark, sf):
+    """20 columns, with arrays and timestamps among them: the same rule as for a narrow table."""
+    ev = events_na(spark, sf)
+    return P.column_profile(ev.select(
+        "*", *[(F.col("event_id") % k).alias(f"mod_{k}") for k in range(2, 13)],
+        F.array("event_type", F.lit("x")).alias("pair"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")))
+
+
+def _ranked(spark, sf, name, col):
+    df = table(spark, sf, name)
+    buckets = RK.ranked_counts(df, col, target_rows=max(1, df.select(col).distinct().count() // 40))
+    return buckets.select("value", "cnt", "before", "total")
+
+
 def missing_rows(spark, sf):
     return P.missing_rows(events_na(spark, sf), "event_id")
 
@@ -99,7 +139,12 @@ QUERIES = {
     "scan_csv": scan_csv, "scan_tsv": scan_tsv, "scan_json": scan_json, "load_dispatch": load_dispatch,
     "sample_fixed": sample_fixed, "sink_roundtrip": sink_roundtrip, "page_table": page_table,
     "dataset_summary": dataset_summary, "kpi_filtered": kpi_filtered, "column_profile": column_profile,
-    "missing_rows": missing_rows, "missing_map": missing_map,
+    "missing_rows": missing_rows, "missing_map": missing_map, "scan_csv_text": scan_csv_text, "scan_json_array": scan_json_array,
+    "column_profile_wide": column_profile_wide,
+    # about 40 buckets each, whatever the table's size
+    "rank_bucketed_numeric": lambda s, sf: _ranked(s, sf, "lineitem", "l_extendedprice"),
+    "rank_bucketed_timestamp": lambda s, sf: _ranked(s, sf, "events", "ts"),
+    "rank_bucketed_text": lambda s, sf: _ranked(s, sf, "customer", "c_name"),
 }
 
 EV_COLS = [("event_id", "bigint", False), ("ts", "timestamp_ntz", False), ("user_id", "bigint", False),
@@ -117,14 +162,14 @@ def _summary_sql(where: str = "") -> str:
     )
 
 
-def _profile_sql() -> str:
+def _profile_sql(cols=EV_COLS, src: str = EVENTS_NA_SQL) -> str:
     parts = []
-    for i, (c, t, text) in enumerate(EV_COLS):
+    for i, (c, t, text) in enumerate(cols):
         parts.append(
             f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{t}' AS type, "
             f"CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
             f"CAST(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unique, "
-            f"CAST(count(*) AS BIGINT) AS n_total, {str(text).upper()} AS is_text FROM {EVENTS_NA_SQL} ev"
+            f"CAST(count(*) AS BIGINT) AS n_total, {str(text).upper()} AS is_text FROM {src} ev"
         )
     body = " UNION ALL ".join(parts)
     return (
@@ -137,6 +182,18 @@ def _profile_sql() -> str:
     )
 
 
+def _wide_sql() -> str:
+    mods = [(f"mod_{k}", "bigint", False) for k in range(2, 13)]
+    extra = ", ".join(f"event_id % {k} AS mod_{k}" for k in range(2, 13))
+    cols = EV_COLS + mods + [("pair", "array<string>", False), ("hour", "timestamp_ntz", False)]
+    return _profile_sql(cols, f"(SELECT *, {extra}, [event_type, 'x'] AS pair, date_trunc('hour', ts) AS hour FROM {EVENTS_NA_SQL} e0)")
+
+
+def _rank_sql(table_: str, col: str) -> str:
+    return (f"SELECT {col} AS value, cnt, CAST(sum(cnt) OVER (ORDER BY {col}) - cnt AS BIGINT) AS before, "
+            f"CAST(sum(cnt) OVER () AS BIGINT) AS total FROM (SELECT {col}, count(*) AS cnt FROM {table_} WHERE {col} IS NOT NULL GROUP BY 1)")
+
+
 def _missing_rows_sql() -> str:
     n = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c, _, _ in EV_COLS)
     names = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c, _, _ in EV_COLS)
@@ -168,11 +225,17 @@ def _orders_sql(src: str = "orders") -> str:
 ORACLE = {
     "scan_csv": ORDERS_CANONICAL_SQL,
     "scan_tsv": ORDERS_CANONICAL_SQL,
-    "scan_json": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "scan_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "scan_json_array": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "scan_csv_text": """SELECT doc_id, '"q", ' || text || ' "e"' AS text, lang FROM documents""",
+    "column_profile_wide": _wide_sql(),
+    "rank_bucketed_numeric": _rank_sql("lineitem", "l_extendedprice"),
+    "rank_bucketed_timestamp": _rank_sql("events", "ts"),
+    "rank_bucketed_text": _rank_sql("customer", "c_name"),
     "load_dispatch": "SELECT * FROM customer",
     "sample_fixed": _orders_sql(
         "(SELECT * FROM orders ORDER BY (o_orderkey * 1103515245 + 12345) % 2147483647, o_orderkey LIMIT 2000)"),
-    "sink_roundtrip": f"SELECT event_id, user_id, event_type, value, value_sparse FROM {EVENTS_NA_SQL} ev",
+    "sink_roundtrip": f"SELECT event_id, user_id, event_type, value, props, value_sparse FROM {EVENTS_NA_SQL} ev",
     "page_table": (
         "SELECT * FROM customer WHERE lower(CAST(c_custkey AS VARCHAR)) LIKE '%building%' "
         "OR lower(c_name) LIKE '%building%' OR lower(CAST(c_nationkey AS VARCHAR)) LIKE '%building%' "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.special import qnorm_sql
 from ..operators import regress as G
 from .common import S, finish, table
+from .common import S as sig
 
 Y, XS, IDS = "l_extendedprice", ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"]
 
@@ -24,7 +25,28 @@ def ols_refit(s, sf):
     return finish(G.coef_frame(s, m).withColumn("n", F.lit(m.n).cast("long")))
 
 
+def _first_line(s, sf):
+    """The one row (of the least order key and line) that the dummy marks."""
+    return _li(s, sf).orderBy(*IDS).select(*IDS).first()
+
+
+def influence_leverage_one(s, sf):
+    key = _first_line(s, sf)
+    one = (F.col("l_orderkey") == key[0]) & (F.col("l_linenumber") == key[1])
+    df = _li(s, sf).select(*IDS, Y, "l_quantity", one.cast("double").alias("l_discount"))
+    return G.influence(df, G.ols_fit(df, Y, XS), IDS)
+
+
+def ols_mixed_scale(s, sf):
+    """One predictor up to 1e12 and one up to 0.1."""
+    df = _li(s, sf).select(*IDS, Y, (F.col("l_orderkey") * 1e7).alias("l_quantity"), "l_discount")
+    return finish(G.coef_frame(s, G.ols_fit(df, Y, XS)), 6)
+
+
 QUERIES = {
+    "influence_leverage_one": influence_leverage_one,
+    "ols_mixed_scale": ols_mixed_scale,
+    "residual_trend": lambda s, sf: finish(G.residual_trend(_li(s, sf), _model(s, sf)), 6),
     "ols_coef": lambda s, sf: finish(G.coef_frame(s, _model(s, sf))),
     "ols_summary": lambda s, sf: G.summary_frame(s, _model(s, sf)),
     # tail probabilities come from a continued fraction: compare at 6 significant digits
@@ -77,7 +99,10 @@ STATUS = (f"CASE WHEN infl AND lev THEN '{G.STATUS_BOTH}' WHEN infl THEN '{G.STA
 BASE = "WITH " + _fit_ctes("lineitem") + ", " + _diag_ctes() + " "
 
 
-def _coef_select(k: str) -> str:
+def _coef_select(k: str, digits: int = 9) -> str:
+    def S(expr, alias=None):  # noqa: N802
+        return sig(expr, alias, digits)
+
     return (
         f"SELECT '(Intercept)' AS term, {S('a', 'estimate')}, "
         f"{S('sqrt(s2 * (1.0 / n + (s22 * m1 * m1 - 2 * s12 * m1 * m2 + s11 * m2 * m2) / det))', 'std_error')}, "
@@ -174,7 +199,28 @@ def _residual_sql() -> str:
             f"{S('cook', 'cooks_distance', 6)}, {S(qnorm_sql(p), 'theoretical', 6)} FROM rk")
 
 
+_ONE = "(l_orderkey, l_linenumber) = (SELECT (l_orderkey, l_linenumber) FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1)"
+_LEVERAGE_SRC = f"(SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, CAST({_ONE} AS DOUBLE) AS l_discount FROM lineitem)"
+_FULL = "1 - h <= 1e-9"
+_SCALE_SRC = "(SELECT l_orderkey, l_linenumber, l_extendedprice, l_orderkey * 1e7 AS l_quantity, l_discount FROM lineitem)"
+
+
+def _leverage_one_sql() -> str:
+    """Rows of full leverage have no scaled diagnostics and are not influential."""
+    diag = _diag_ctes().replace("e / (sqrt(s2) * sqrt(1 - h)) AS r", f"CASE WHEN {_FULL} THEN NULL ELSE e / (sqrt(s2) * sqrt(greatest(1 - h, 1e-300))) END AS r")
+    diag = diag.replace("e / (sqrt(((n - 3) * s2 - e * e / (1 - h)) / (n - 3 - 1)) * sqrt(1 - h)) * sqrt(h / (1 - h)) AS dffits",
+                        f"CASE WHEN {_FULL} THEN NULL ELSE e / (sqrt(abs((n - 3) * s2 - e * e / (1 - h)) / (n - 3 - 1)) * sqrt(abs(1 - h))) * sqrt(abs(h / (1 - h))) END AS dffits")
+    diag = diag.replace("r * r * h / ((1 - h) * 3) > 4.0 / n AS infl", "coalesce(r * r * h / ((1 - h) * 3) > 4.0 / n, FALSE) AS infl")
+    cols = INFL_COLS.replace(f"{R4('h')} AS leverage", f"{R4('least(h, 1.0)')} AS leverage")
+    return "WITH " + _fit_ctes(_LEVERAGE_SRC) + ", " + diag + f" SELECT {cols} FROM z"
+
+
 ORACLE = {
+    "influence_leverage_one": _leverage_one_sql(),
+    "ols_mixed_scale": "WITH " + _fit_ctes(_SCALE_SRC) + " " + _coef_select("k", 6),
+    "residual_trend": (BASE + ", ft AS (SELECT *, min(fitted) OVER () AS lo, (max(fitted) OVER () - min(fitted) OVER ()) / 20.0 AS w FROM z) "
+                       f"SELECT CAST(least(floor((fitted - lo) / w), 19) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, {S('avg(fitted)', 'fitted', 6)}, "
+                       f"{S('avg(e)', 'residual', 6)}, {S('avg(sqrt(abs(r)))', 'sqrt_abs_std_residual', 6)} FROM ft GROUP BY 1"),
     "ols_full_summary": _full_summary_sql(),
     "ols_coef": "WITH " + _fit_ctes("lineitem") + " " + _coef_select("k"),
     "ols_summary": ("WITH " + _fit_ctes("lineitem") + f" SELECT {R4('1 - sse / syy')} AS r_squared, "

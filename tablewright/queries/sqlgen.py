@@ -1,9 +1,10 @@
-"""SQL text builders shared by several SQL twins (histogram, exact KDE, box statistics)."""
+"""SQL text builders shared by several SQL twins (histogram, KDE, box statistics)."""
 
 from __future__ import annotations
 
 import math
 
+from ..operators.explore import FINE_GRID
 from .common import S
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -34,7 +35,8 @@ def histogram_sql(src: str, x: str, bins: int, group: str | None = None) -> str:
 
 
 def density_sql(src: str, x: str, group: str | None = None, n_grid: int = 512, prefix: str = "") -> str:
-    """Exact Gaussian KDE on an n-point grid from min to max per group with bandwidth nrd0."""
+    """Gaussian KDE on an n-point grid from min to max per group with bandwidth nrd0, values spread over a fine grid."""
+    fine = FINE_GRID
     g = f"CAST({group} AS VARCHAR)" if group else "CAST(NULL AS VARCHAR)"
     p = prefix
     return (
@@ -44,10 +46,15 @@ def density_sql(src: str, x: str, group: str | None = None, n_grid: int = 512, p
         f"{p}dp AS (SELECT grp, n, lo, (hi - lo) / {n_grid - 1}.0 AS step, "
         f"0.9 * CASE WHEN least(coalesce(sd, 0), iqr / 1.34) > 0 THEN least(coalesce(sd, 0), iqr / 1.34) "
         f"WHEN coalesce(sd, 0) > 0 THEN sd WHEN lo <> 0 THEN abs(lo) ELSE 1.0 END * pow(n, -0.2) AS bw FROM {p}ds), "
-        f"{p}dk AS (SELECT {p}dp.grp, i AS idx, lo + i * step AS gx, bw, n, "
-        f"sum(exp(-0.5 * ((lo + i * step - x) / bw) * ((lo + i * step - x) / bw))) AS k "
-        f"FROM {p}dp JOIN {p}db ON {p}dp.grp IS NOT DISTINCT FROM {p}db.grp, range(0, {n_grid}) t(i) "
-        f"GROUP BY {p}dp.grp, i, lo, step, bw, n) "
+        f"{p}da AS (SELECT d.grp, n, lo, step, bw, step * {n_grid - 1} AS span, CASE WHEN step > 0 THEN (x - lo) / (step * {n_grid - 1}) * {fine - 1} "
+        f"ELSE 0.0 END AS pos FROM {p}dp d JOIN {p}db b ON d.grp IS NOT DISTINCT FROM b.grp), "
+        f"{p}di AS (SELECT *, least(floor(pos), {fine - 2}) AS bin FROM {p}da), "
+        f"{p}df AS (SELECT grp, n, lo, step, span, bw, b, sum(w) AS w FROM ("
+        f"SELECT grp, n, lo, step, span, bw, bin AS b, 1.0 - (pos - bin) AS w FROM {p}di UNION ALL "
+        f"SELECT grp, n, lo, step, span, bw, bin + 1, pos - bin FROM {p}di) GROUP BY ALL), "
+        f"{p}dk AS (SELECT grp, i AS idx, lo + i * step AS gx, bw, n, "
+        f"sum(w * exp(-0.5 * ((lo + i * step - (lo + b * (span / {fine - 1}.0))) / bw) * ((lo + i * step - (lo + b * (span / {fine - 1}.0))) / bw))) AS k "
+        f"FROM {p}df, range(0, {n_grid}) t(i) GROUP BY grp, i, lo, step, bw, n) "
     )
 
 

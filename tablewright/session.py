@@ -32,8 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) do we pick one ourselves.
+    The cluster names it in ``spark.checkpoint.dir``; only on a local master,
+    as in tests, do we pick one ourselves.  On a cluster a machine-local
+    folder would not be shared, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tablewright-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

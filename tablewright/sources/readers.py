@@ -13,6 +13,9 @@ from ..functions.columns import normalize_missing, qcol
 # Text read as a missing cell, and written for one.
 NA_TEXT = "NA"
 
+#: timestamps in JSON keep their microseconds
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 FORMATS = ("csv", "tsv", "json", "parquet", "orc")
 
 
@@ -24,14 +27,16 @@ def _ext(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, *, sep: str = ",", schema: T.StructType | None = None,
-             na_text: str = NA_TEXT) -> DataFrame:
+             na_text: str = NA_TEXT, multi_line: bool = False) -> DataFrame:
     """Delimited text with a header row; types inferred unless a schema is given.
 
-    ``NA`` and empty fields read as NULL.  Schema inference costs one extra
+    A quote inside a quoted field is doubled.  ``multi_line`` allows line
+    breaks inside quoted fields; such a file cannot be split between tasks, so
+    it is off by default.  ``NA`` and empty fields read as NULL.  Schema inference costs one extra
     pass over the files; production jobs should pass ``schema``.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("nullValue", na_text)
-    reader = reader.option("emptyValue", None)
+    reader = reader.option("emptyValue", None).option("escape", '"').option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalize_missing(reader.csv(path))
 
@@ -74,14 +79,15 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", na_text: str = NA_TEXT, mode: str = "overwrite") -> str:
-    """CSV with a header, no row names, missing cells written as ``NA``."""
+    """CSV with a header, no row names, missing cells written as ``NA``; quotes in a field are doubled."""
     (df.write.mode(mode).option("header", True).option("sep", sep).option("nullValue", na_text)
-     .option("emptyValue", "").csv(path))
+     .option("emptyValue", "").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 def write_json(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    (df.write.mode(mode).option("ignoreNullFields", False).options(**JSON_TIMES).json(path))
     return path
 
 

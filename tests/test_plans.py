@@ -40,7 +40,7 @@ def test_influence_scoring_is_a_narrow_projection(lineitem):
 
 
 def test_large_rankings_never_use_a_single_partition(spark, monkeypatch):
-    monkeypatch.setattr(RK, "SINGLE_TASK_ROWS", 100)
+    monkeypatch.setattr(RK, "TARGET_BUCKET_ROWS", 100)
     df = spark.range(5000).select((F.col("id") % 1700).cast("double").alias("x"))
     plan = _plan(RK.ranked_counts(df, "x"))
     # the per-value running count is partitioned by value range ...
@@ -55,7 +55,15 @@ def test_density_has_no_cartesian_or_nested_loop(spark):
     df = spark.createDataFrame([(float(i % 97), "ab"[i % 2]) for i in range(2000)], "x double, g string")
     plan = _plan(E.density(df, "x", by="g"))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "BroadcastHashJoin" in plan  # per-group parameters: a small, size-checked broadcast
+
+
+def test_box_violin_and_missing_map_do_not_join_raw_rows(lineitem):
+    from tablewright.operators import profile as P
+
+    for out in (E.boxplot_stats(lineitem, "l_quantity", by="l_linenumber"), E.violin(lineitem, "l_quantity", by="l_linenumber")):
+        joins = [line for line in _opt(out).splitlines() if "Join" in line]
+        assert joins and not any("l_quantity" in line for line in joins)
+    assert "Join" not in _plan(P.missing_map(lineitem, "l_orderkey"))
 
 
 def test_sample_is_top_k_without_full_sort(lineitem):

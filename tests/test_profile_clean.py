@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import clean as C
 from tablewright.operators import profile as P
@@ -102,10 +103,10 @@ def test_parallel_removal_differs_from_sequential(spark):
     assert par.count() <= 21
 
 
-def test_wide_profile_path_matches_narrow(spark, monkeypatch):
+def test_wide_profile_matches_narrow(spark):
     rows = [(i, float(i % 3) if i % 4 else None, "ab"[i % 2], -0.0 if i == 1 else 0.0, None) for i in range(12)]
     df = spark.createDataFrame(rows, "a long, b double, c string, z double, n string")
     narrow = {r["column"]: (r["n_unique"], r["n_missing"]) for r in P.column_profile(df).collect()}
-    monkeypatch.setattr(P, "WIDE_PROFILE_COLUMNS", 2)
-    wide = {r["column"]: (r["n_unique"], r["n_missing"]) for r in P.column_profile(df).collect()}
-    assert wide == narrow and narrow["z"] == (1, 0) and narrow["n"] == (1, 12)
+    more = df.select("*", *[F.lit(k).alias(f"c{k}") for k in range(20)])
+    wide = {r["column"]: (r["n_unique"], r["n_missing"]) for r in P.column_profile(more).collect()}
+    assert {c: wide[c] for c in narrow} == narrow and narrow["z"] == (1, 0) and narrow["n"] == (1, 12)

@@ -11,7 +11,6 @@ def _np_type7(x, p):
 @pytest.fixture
 def tiny_buckets(monkeypatch):
     # force the bucketed path (several buckets, parallel windows) on tiny inputs
-    monkeypatch.setattr(RK, "SINGLE_TASK_ROWS", 5)
     monkeypatch.setattr(RK, "TARGET_BUCKET_ROWS", 7)
 
 
@@ -62,3 +61,23 @@ def test_positions_unique(spark):
     df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k long, v long")
     pos = sorted(r["_pos"] for r in RK.positions(df, "k").collect())
     assert pos == list(range(1, 102))
+
+
+@pytest.mark.parametrize("dtype", ["timestamp", "timestamp_ntz", "date", "string", "decimal(20,4)", "bigint", "double", "boolean"])
+def test_many_buckets_rank_every_type(spark, dtype):
+    """The same ranks in one bucket and in many, whatever the type; equal to a plain window's."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ids = spark.range(400).select(((F.col("id") * 7919) % 173).alias("v"))
+    base = {"timestamp": F.timestamp_seconds(F.col("v") * 1801 + 1698500000),
+            "timestamp_ntz": F.timestamp_seconds(F.col("v") * 1801 + 1698500000).cast("timestamp_ntz"),
+            "date": F.date_add(F.lit("1969-06-01").cast("date"), F.col("v").cast("int") * 3),
+            "string": F.concat(F.lit("common prefix "), F.repeat(F.lit("é"), F.pmod(F.col("v"), F.lit(3)).cast("int")), F.hex("v")),
+            "boolean": F.col("v") % 2 == 0}.get(dtype, (F.col("v") - 80).cast(dtype))
+    df = ids.select(base.alias("x"))
+    w = Window.orderBy("x")
+    want = {r["x"]: r["b"] for r in df.select("x", (F.rank().over(w) - 1).alias("b")).distinct().collect()}
+    for target in (10_000, 9):
+        got = {r["value"]: r["before"] for r in RK.ranked_counts(df, "x", target_rows=target).collect()}
+        assert got == want
