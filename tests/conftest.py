@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tablewright.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8)
+    s = local_session(cores="*", shuffle_partitions=4)
     yield s
     s.stop()
