@@ -42,8 +42,10 @@ OUTPUTS = ["n_lines", "n_dropped", "clean_text"]
 
 def masked_lines(text: Column) -> Column:
     """The text's lines with words separated by one space and words holding a digit replaced by ``<*>``."""
-    one_space = F.regexp_replace(text, F.lit(rf"[{SPACE}&&[^\n]]+"), F.lit(" "))
-    masked = F.regexp_replace(one_space, F.lit(rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit("<*>"))
+    # runs that are one space already stay as they are
+    odd = r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20{2,}"
+    one_space = F.regexp_replace(text, F.lit(odd), F.lit(" "))
+    masked = F.regexp_replace(one_space, F.lit(rf"(^|[{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit("$1<*>"))
     return F.transform(F.split(masked, "\n"), lambda line: F.trim(line))
 
 
@@ -97,8 +99,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns of ``docs`` plus ``n_lines``, ``n_dropped`` and ``clean_text``."""
     columns = [c for c in docs.columns if c not in OUTPUTS]
     text = F.col(f"`{text_col}`")
-    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), masked_lines(text).alias("lines"))
-    named = named.filter("lines IS NOT NULL")
+    # filtered on the text itself: a filter on its lines would cut every text twice
+    named = docs.filter(text.isNotNull()).select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), masked_lines(text).alias("lines"))
     hashes = F.transform("lines", lambda line: F.xxhash64(line))
     known = written(named.select("doc_id", "text_hash", hashes.alias("hashes")), "line-hashes")
     dropped = recurring_lines(named.select("doc_id", "text_hash", "lines"), known, min_docs, depth, min_words, similarity)
