@@ -47,7 +47,7 @@ THRESHOLD = 0.8
 TREES = 8
 DEPTH = 8
 TARGET_RECALL = 0.995
-BLOCK = 512
+BLOCK = 256
 SCREEN = 0.5
 
 _U = np.uint64
