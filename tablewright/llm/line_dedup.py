@@ -9,11 +9,11 @@ A line's *template* is what remains.  It is valid if at most
 constant word is left.  Lines whose template occurs in ``min_docs`` or more
 documents are dropped, all of them, as recurring boilerplate.
 
-Scale: equal lines are pre-aggregated to one row before their text is shuffled;
-only leaves that occur often enough are looked into; apart from that one
-shuffle of distinct lines and the final meeting of rows and their dropped line
-numbers, only 64-bit hashes move.  A line shared by a third of all rows costs
-one row per task.
+Scale: leaves are counted on 64-bit hashes; only lines in leaves that occur
+often enough are looked into.  Line texts move once to meet those leaves (a
+join that can be split when a line is frequent; equal lines are then counted
+with a partial aggregation), and texts once to meet their dropped line numbers;
+otherwise only hashes move.
 
 Words are ``[^\x20\x09-\x0D]+``; lines with fewer than ``min_words`` words are
 never dropped.  A document is a distinct (id, text) pair.
@@ -42,11 +42,15 @@ OUTPUTS = ["n_lines", "n_dropped", "clean_text"]
 
 def masked_lines(text: Column) -> Column:
     """The text's lines with words separated by one space and words holding a digit replaced by ``<*>``."""
-    # runs that are one space already stay as they are
     odd = r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20{2,}"
-    one_space = F.regexp_replace(text, F.lit(odd), F.lit(" "))
-    masked = F.regexp_replace(one_space, F.lit(rf"(^|[{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit("$1<*>"))
-    return F.transform(F.split(masked, "\n"), lambda line: F.trim(line))
+    # most texts hold no odd space and most lines no digit: a plain search is cheaper than a replacement
+    some = F.lit(False)
+    for mark in ("  ", "\t", "\x0b", "\f", "\r"):
+        some = some | F.contains(text, F.lit(mark))
+    one_space = F.when(some, F.regexp_replace(text, F.lit(odd), F.lit(" "))).otherwise(text)
+    digits = rf"(^|[{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+    return F.transform(F.split(one_space, "\n"), lambda line: F.trim(
+        F.when(line.rlike("[0-9]"), F.regexp_replace(line, F.lit(digits), F.lit("$1<*>"))).otherwise(line)))
 
 
 def _leaf(line: str, depth: int) -> str:
@@ -57,15 +61,16 @@ def recurring_lines(texts: DataFrame, known: DataFrame, min_docs: int, depth: in
     """``line_hash`` of every masked line whose template recurs.
 
     ``texts`` has the masked ``lines`` of every row, ``known`` its
-    ``doc_id, text_hash`` and the lines' ``hashes``.
+    ``doc_id, text_hash`` and the lines' ``hashes`` and ``leaves``.
     """
-    distinct = (texts.select(F.explode(F.array_distinct("lines")).alias("line"))
-                .filter(f"size(split(line, ' ')) >= {min_words}")
-                .groupBy("line").agg(F.count("*").alias("docs"))
-                .withColumn("leaf", F.expr(_leaf("line", depth))))
-    distinct = written(distinct, "lines")
-    leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("in_leaf")).filter(F.col("in_leaf") >= min_docs).select("leaf")
-    filed = written(distinct.join(leaves, "leaf", "left_semi")
+    # leaves are counted on hashes alone; the text of lines moves once, and stays only where its leaf occurs often enough
+    leaves = (known.select(F.explode(F.array_distinct(F.arrays_zip("hashes", "leaves"))).alias("x"))
+              .groupBy(F.col("x.leaves").alias("leaf")).agg(F.count("*").alias("in_leaf"))
+              .filter(F.col("in_leaf") >= min_docs).select("leaf"))
+    lines = (texts.select(F.explode(F.array_distinct("lines")).alias("line"))
+             .filter(f"size(split(line, ' ')) >= {min_words}").withColumn("leaf", F.expr(_leaf("line", depth))))
+    filed = written(lines.join(leaves.hint("shuffle_hash"), "leaf", "left_semi")
+                    .groupBy("leaf", "line").agg(F.count("*").alias("docs"))
                     .select(F.xxhash64("line").alias("line_hash"), "leaf", "docs", F.split("line", " ").alias("words")), "filed")
     at = filed.select("line_hash", "leaf", "docs", F.size("words").alias("n"), F.posexplode("words").alias("position", "word"))
     constant = (at.filter((F.col("position") >= depth) & (F.col("word") != "<*>"))
@@ -103,9 +108,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.filter(text.isNotNull()).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), masked_lines(text).alias("lines"))
     hashes = F.transform("lines", lambda line: F.xxhash64(line))
-    known = written(named.select("doc_id", "text_hash", hashes.alias("hashes")), "line-hashes")
+    leaves = F.expr("transform(lines, line -> " + _leaf("line", depth) + ")")
+    known = written(named.select("doc_id", "text_hash", hashes.alias("hashes"), leaves.alias("leaves")), "line-hashes")
     dropped = recurring_lines(named.select("doc_id", "text_hash", "lines"), known, min_docs, depth, min_words, similarity)
-    places = (known.distinct().select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "line_hash"))
+    places = (known.drop("leaves").distinct().select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "line_hash"))
               .join(dropped, "line_hash", "left_semi")
               .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("at").alias("__at")))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(text).alias("__text_hash"))
