@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import toxicity
+from tablewright.llm import mixing, toxicity
 from tablewright.llm.store import table
 
 from .helpers import DOC_SCHEMA, SMALL, WORD, brute_near, edge_documents
-from .test_text import library
+from .test_text import brute_schedule, library
 
 
 def test_pipeline_brute_force(spark):
@@ -45,3 +49,26 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_order_is_in_the_result(spark, monkeypatch):
+    monkeypatch.setattr(mixing.mix_sources, "__defaults__", tuple(4 if d == mixing.BLOCK_ROWS else d for d in mixing.mix_sources.__defaults__))
+    source = {r.doc_id: r.source for r in table(spark, SMALL, "documents").collect()}
+    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "slot", "block_row", "in_mix").collect()
+    rows = defaultdict(list)
+    for i in sorted((r.doc_id for r in got), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        rows[source[i]].append(i)
+    roots = {k: len(v) ** 0.5 for k, v in rows.items()}
+    share = {k: max(1, int(w * mixing.QUANTUM / sum(roots.values()) + 0.5)) for k, w in roots.items()}
+    order, period, turns = [], sum(share.values()), brute_schedule(share)
+    ends = min(-(-len(v) // 4) // share[k] * period + turns.index((k, -(-len(v) // 4) % share[k])) for k, v in rows.items())
+    for k, v in rows.items():
+        for n, i in enumerate(v):
+            slot = n // 4 // share[k] * period + turns.index((k, n // 4 % share[k]))
+            order.append((slot, n % 4, i, slot < ends))
+    assert len(rows) > 1 and sorted((r.slot, r.block_row, r.doc_id, r.in_mix) for r in got) == sorted(order)
+    # the head of the mix has the target weights, not the sources' own shares
+    head = [source[i] for _, _, i, inside in sorted(order) if inside]
+    assert head
+    for k in rows:
+        assert head.count(k) / len(head) == pytest.approx(share[k] / period, abs=4 / len(head) + 1e-9)
