@@ -7,8 +7,8 @@ digests of the known licences.  Texts compared are the whole document and, as
 licences mostly stand in a file beside other text, each of its lines and each
 of its paragraphs (between blank lines); each is compared as an entire text.
 
-The list of known licences is a parameter and small, so its digests are
-broadcast; before the digest is taken, texts whose canonical length is that of
+The list of known licences is a parameter and small, so its digests (of
+whole public texts, ``licence_texts``, and of usual notices) are broadcast; before the digest is taken, texts whose canonical length is that of
 no known licence are left out, which changes nothing, as equal digests mean
 equal lengths.
 
@@ -21,6 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,32 @@ KNOWN = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved"),
 ]
+#: Whole public licence texts, one file each, named by licence (an edition may follow it: ``NAME.EDITION.txt``).
+TEXTS = Path(__file__).parent / "licence_texts"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """``(licence, text)`` of the whole texts, with the forms in which their files usually stand."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = re.sub(r"(\.[A-Za-z]+)?\.txt$", "", path.name), path.read_text(encoding="utf-8")
+        forms = [text]
+        # the appendix on how to apply the licence is often left out
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        if end:
+            forms.append(text[:end.end()])
+            forms.append(text[:end.start()])
+        if name.startswith("BSD"):
+            forms += [re.sub(r"(?m)^[0-9]\. ", "* ", t) for t in forms]
+            forms += [re.sub(r"COPYRIGHT(\s+)(HOLDER|OWNER)(?=\s+OR\b)", lambda m: f"COPYRIGHT{m[1]}{'OWNER' if m[2] == 'HOLDER' else 'HOLDER'}", t) for t in forms]
+            forms += ["All rights reserved.\n\n" + t for t in forms]
+        if name == "Unlicense":
+            forms += [text.replace("<https://unlicense.org>", "<https://unlicense.org/>"), text[:text.index("For more information")]]
+        out += [(name, form) for form in dict.fromkeys(forms)]
+    return out
+
+
+KNOWN += whole_texts()
 #: Equivalent spellings, as (pattern, replacement) on the lower-case text.
 SPELLINGS = [("licence", "license"), ("sub-licens", "sublicens"), ("non-infring", "noninfring"), ("organis", "organiz"),
              ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("behaviour", "behavior"),

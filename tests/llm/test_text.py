@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -99,6 +100,19 @@ def test_licences(spark):
     assert licences.scan_licences(edge_documents(spark)).count() == 11
 
 
+def test_whole_licence_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0-Perl", "GFDL-1.3": "GFDL-1.3"}
+    rows = [(k, Path(f"/usr/share/common-licenses/{k}").read_text()) for k in names]
+    apache = dict(rows)["Apache-2.0"]
+    rows += [("bare", apache[:apache.index("APPENDIX")])]
+    bsd = next(t for n, t in licences.KNOWN if n == "BSD-2-Clause" and "1. Redist" in t)
+    rows += [("bsd", "Copyright (c) 2020, Me\n\n" + bsd.replace("1. ", "- ").replace("2. ", "- ")), ("cut", apache[:5000])]
+    want = names | {"bare": "Apache-2.0", "bsd": "BSD-2-Clause", "cut": None}
+    for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        assert r.whole == ([want[r.doc_id]] if want[r.doc_id] else []), r.doc_id
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
