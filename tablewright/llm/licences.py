@@ -1,6 +1,6 @@
 r"""Licence scan by canonical digests (DataFrame functions only).
 
-A text is brought into a canonical form: lower case, copyright lines dropped,
+A text is brought into a canonical form: lower case, copyright statements dropped,
 equivalent spellings unified, everything but letters and digits to one space.
 The SHA-256 digest of the whole canonical text is then hash-joined with the
 digests of the known licences.  Texts compared are the whole document and, as
@@ -100,14 +100,39 @@ def whole_texts() -> list[tuple[str, str]]:
     return out
 
 
-KNOWN += whole_texts()
+#: Titles that often head the files of short licences.
+TITLES = {"MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License"],
+          "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+          "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License",
+                           "New BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+          "Unlicense": ["The Unlicense", "Unlicense"]}
+
+
+def headed(known: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The whole short texts below each of their titles; "All rights reserved" may stand between the two."""
+    out = []
+    for name, text in known:
+        if name in TITLES and len(text) > 500:
+            below = [text] if text.startswith("All rights") else [text, "All rights reserved.\n\n" + text]
+            out += [(name, t) for t in below[1:]] + [(name, f"{title}\n\n{t}") for title in TITLES[name] for t in below]
+    return out
+
+
+KNOWN += [("ISC", t.replace("and/or", "and", 1)) for n, t in KNOWN if n == "ISC"] + whole_texts()
+KNOWN = list(dict.fromkeys(KNOWN + headed(KNOWN)))
 #: Equivalent spellings, as (pattern, replacement) on the lower-case text.
-SPELLINGS = [("licence", "license"), ("sub-licens", "sublicens"), ("non-infring", "noninfring"), ("organis", "organiz"),
+SPELLINGS = [("-\n", "-"), ("licence", "license"), ("sub-licens", "sublicens"), ("non-infring", "noninfring"), ("organis", "organiz"),
              ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("behaviour", "behavior"),
              ("programme", "program"), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "),
              ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("per cent", "percent"), ("https:", "http:"),
              ("&", " and ")]
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|©|\(c\))[^\n]*"
+#: A copyright statement, as a line: with a year, a placeholder or a sign after the word, a sign with a year, or one that
+#: opens a paragraph (and those right below).  A line that merely begins with the word at a wrap point of the text stays.
+_LEAD = r"[^a-z0-9\n\"]*"
+_STATED = (rf"copyright{_LEAD}(\(c\)|©|[0-9]|year|yyyy)|©|\(c\){_LEAD}copyright|\(c\)[^\n]*(19|20)[0-9][0-9]")
+COPYRIGHT = (rf"(^|\n){_LEAD}({_STATED})[^\n]*"
+             rf"|(^|\n[\x20\x09-\x0D]*\n){_LEAD}copyright[^\n]*(\n{_LEAD}copyright[^\n]*)*")
 
 
 def canonical(text: Column) -> Column:

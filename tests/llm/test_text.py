@@ -113,6 +113,25 @@ def test_whole_licence_texts(spark):
         assert r.whole == ([want[r.doc_id]] if want[r.doc_id] else []), r.doc_id
 
 
+def test_headed_and_wrapped_licences(spark):
+    import textwrap
+
+    whole = {n: next(t for m, t in licences.KNOWN if m == n) for n in ("MIT", "ISC")}
+    apache = max((t for n, t in licences.KNOWN if n == "Apache-2.0"), key=len)
+    apache = whole["Apache-2.0"] = apache[:apache.index("APPENDIX")]
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in re.split(r"\n\s*\n", t))
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Me\n\n" + whole["MIT"]), ("MIT", "# The MIT License (MIT)\n\nCopyright 2020 Me\n\n" + wrap(whole["MIT"], 60)),
+            ("MIT", whole["MIT"].replace("OR COPYRIGHT", "OR\nCOPYRIGHT")), ("MIT", "Copyright The Authors\nCopyright: Others\n\n" + whole["MIT"]),
+            ("ISC", "ISC License\n\n(c) 1999, Me\n\n" + whole["ISC"].replace("above copyright", "above\ncopyright")),
+            ("ISC", "Copyright \u00a9 Me\n\n" + whole["ISC"].replace("and/or", "and")), ("Apache-2.0", " ".join(apache.split()))]
+    rows += [(n, wrap(whole[n], width)) for n in ("MIT", "ISC") for width in range(30, 100)]
+    rows += [("Apache-2.0", wrap(apache, width)) for width in range(30, 100, 3)]
+    got = licences.scan_licences(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, name string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.whole == [rows[r.doc_id][0]], rows[r.doc_id][1]
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
