@@ -58,6 +58,11 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "responses", "overlay", "toc"}
 #: Of these, the ones that also tell an article element from the page's main one.
 ARTICLE_ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "sponsored"}
+#: Words that may stand beside these in a name; with any other word ("with-sidebar") it names something else.
+PLAIN_WORDS = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "entry", "global", "group",
+               "icons", "inner", "item", "left", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "posts", "primary",
+               "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that may hold a page's main text when it marks no article.
 CONTAINERS = {"body", "div", "section", "td", "center", "table"}
 #: Least share of the runs' weight with which a marked article is the main one (teasers are articles, too).
@@ -83,13 +88,15 @@ def is_aside(name: str, attributes: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    if name in ("body", "html"):
+    if name in ("body", "html") or name in HEADINGS:
         return False
     listed = ARTICLE_ASIDE_WORDS if name in ("article", "main") else ASIDE_WORDS
     for found in _MARKS.finditer(attributes):
-        hit = listed.intersection(w.lower() for w in _WORD.findall(found[1] or found[2] or found[3] or ""))
-        if hit and not (in_article and hit <= {"header"}):
-            return True
+        for mark in (found[1] or found[2] or found[3] or "").split():
+            words = {w.lower() for w in _WORD.findall(mark)}
+            hit = listed & words
+            if hit and words <= ASIDE_WORDS | PLAIN_WORDS and not (in_article and hit <= {"header"}):
+                return True
     return False
 
 
@@ -99,14 +106,18 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     ``weight`` is the code points outside links, ``article`` the number of the
     outermost open article or main element (0: none), ``dull`` whether the line
     stands in a container without main text, ``containers`` the numbers of the
-    open container elements from the outermost inwards.
+    open container elements from the outermost inwards.  An element marked by
+    its words that holds an article or main element and half the text outside
+    links is no such container; the text of inline ones is left out.
     """
-    lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+    lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, int]] = []  # name, aside, outer article, container number or 0
-    aside, article, articles, containers = 0, 0, 0, 0
-    links = 0
+    stack: list[tuple[str, int, int, int]] = []  # name, aside number or 0, outer article, container number or 0
+    asides, article, articles, containers = 0, 0, 0, 0
+    links = hushed = 0
+    firm: set[int] = set()  # asides by element or hidden
+    holders: set[int] = set()  # other asides that hold an article or main element
 
     def flush() -> None:
         nonlocal linked
@@ -114,15 +125,15 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                lines.append((text, 0 if aside else max(len(text) - linked, 0), article, aside > 0,
+                lines.append((text, max(len(text) - linked, 0), article, tuple(x[1] for x in stack if x[1]),
                               tuple(x[3] for x in stack if x[3])))
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal aside, article, links
+        nonlocal article, links, hushed
         while len(stack) > to:
             name, was_aside, outer, _ = stack.pop()
-            aside -= was_aside
+            hushed -= was_aside > 0 and name not in BLOCK
             article = outer
             links -= name == "a"
 
@@ -130,7 +141,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     while at < len(html):
         m = _TOKENS.search(html, at)
         text = html[at:m.start()] if m else html[at:]
-        if text:
+        if text and not hushed:
             text = unescape(text)
             parts.append(text)
             if links:
@@ -176,14 +187,22 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
                         break
             dull = is_aside(name, attributes, bool(article))
             containers += name in CONTAINERS
-            stack.append((name, dull, article, containers if name in CONTAINERS else 0))
-            aside += dull
+            asides += dull
+            if dull and (name in ASIDE or _HIDDEN.search(attributes)):
+                firm.add(asides)
+            if name in ("article", "main") and not dull:
+                holders.update(x[1] for x in stack if x[1] and x[1] not in firm)
+            stack.append((name, asides if dull else 0, article, containers if name in CONTAINERS else 0))
+            hushed += dull and name not in BLOCK
             links += name == "a"
             if name in ("article", "main") and not article:
                 articles += 1
                 article = articles
     flush()
-    return lines
+    half = sum(line[1] for line in lines) / 2
+    freed = {a for a in holders if sum(line[1] for line in lines if a in line[3]) >= half}
+    dulled = [not freed.issuperset(line[3]) for line in lines]
+    return [(text, 0 if dull else weight, number, dull, held) for (text, weight, number, _, held), dull in zip(lines, dulled, strict=True)]
 
 
 def text_runs(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:

@@ -42,6 +42,19 @@ def test_teasers_and_comment_articles_are_not_the_text():
     assert html_text.main_text(f"<body><div>{teasers}</div><div class=text>{body}<p class=ad>Buy.</p></div>") == want
 
 
+def test_only_whole_names_silence_an_element():
+    body = "<p>" + "A long paragraph of the main text with many words in it. " * 6 + "</p>"
+    want = " ".join(["A long paragraph of the main text with many words in it."] * 6)
+    for mark in ("class='layout with-sidebar'", "class='content no-sidebar'", "id='how-to-share-files'", "class='sidebar'"):
+        assert html_text.main_text(f"<body><div {mark}><article>{body}</article></div></body>") == want, mark
+    for mark in ("id='how-to-share-files'", "id='related-work'", "id='search'"):
+        assert html_text.main_text(f"<article><h2 {mark}>Head</h2>{body}</article>") == "Head\n" + want, mark
+    inline = "<p>Before <button>Press</button><span class='ad'>Buy</span><label>Mail</label> after.</p>"
+    assert html_text.main_text(f"<article>{body}{inline}<div class='site-footer'>Foot</div></article>") == want + "\nBefore after."
+    comments = f"<section id='comments'><article class='comment'>{body * 3}</article></section>"
+    assert html_text.main_text(f"<article>{body}</article>{comments}") == want
+
+
 def test_main_text_matches_the_articles(spark):
     """The pages mark their articles: brute force cuts them out and strips the tags."""
     from html import unescape
