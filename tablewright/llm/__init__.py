@@ -11,7 +11,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["line_dedup", "html_text", "ngram_join", "mixing", "url_filter", "toxicity", "bpe", "licences",
-           "quality", "exact_dedup"]
+           "quality", "exact_dedup", "knn_quality", "turn_repair", "manifest"]
 
 
 def _collect(attribute: str) -> dict:
