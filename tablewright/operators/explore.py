@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, numeric_columns, qcol, string_columns
 from ..functions.special import qnorm_col, qt
-from .rank import quantiles_long, ranked_counts, unpivot_values, written
+from .rank import quantiles_long, ranked_counts, written
+from .select import selected
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 #: positions per chunk when a tie group's QQ points are expanded
@@ -334,29 +335,17 @@ HIST_BINS = 8
 def summary_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: missing, complete rate, mean, sd, p0/p25/p50/p75/p100, 8-bin histogram counts.
 
-    Columns are rows of a long form throughout, so a wide table needs no wide
-    aggregation: moments from one grouped pass, quantiles and histogram from
-    the ranked distinct values.
+    Two passes for all columns: moments, range and quantile brackets, then the exact quantiles by selection together
+    with the histogram counts.
     """
     cols = cols or numeric_columns(df)
-    long = unpivot_values(df, cols)
-    moments = {r["column"]: r for r in long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).collect()}
-    rc = ranked_counts(long, "value", by=["column"]).withColumnRenamed("column", "_g")
-    box = written(_box(rc), "summary")
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(HIST_BINS))).otherwise(F.lit(1.0))
-    at = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(HIST_BINS - 1)).cast("int")
-    # one row per column; HIST_BINS counts for each
-    counts = {(r["_g"], r["bin"]): r["cnt"] for r in rc.join(F.broadcast(box), F.col("_g") == F.col("_qg"))
-              .groupBy("_g", at.alias("bin")).agg(F.sum("cnt").alias("cnt")).collect()}
-    found = {r["_qg"]: r for r in box.collect()}
+    moments = [[F.count(F.lit(1)), F.avg(qcol(c).cast("double")), F.stddev_samp(qcol(c).cast("double"))] for c in cols]
     rows = []
-    for c in cols:
-        m, q = moments.get(c), found.get(c)
-        n, known = (m["rows"] if m else 0), (q["n"] if q else 0)
-        hist = ",".join(str(counts.get((c, k), 0)) for k in range(HIST_BINS)) if q else None
-        rows.append((c, int(n - known), known / n if n else None, m["mean"] if m else None, m["sd"] if m else None,
-                     *([q["lo"], q["q1"], q["median"], q["q3"], q["hi"]] if q else [None] * 5), hist))
+    for c, f in selected(df, cols, (0.25, 0.5, 0.75), moments, HIST_BINS).items():
+        n, mean, sd = f["more"]
+        known = f["n"]
+        hist = ",".join(str(k) for k in f["bins"]) if known else None
+        rows.append((c, int(n - known), known / n if n else None, mean, sd, f["lo"], *f["q"], f["hi"], hist))
     schema = ("column string, n_missing long, complete_rate double, mean double, sd double, p0 double, "
               "p25 double, p50 double, p75 double, p100 double, hist string")
     return df.sparkSession.createDataFrame(rows, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_numeric, is_string, qcol, type_name
 from ..functions.rounding import round_dp
 from .rank import exact_key, ranked_counts
+from .select import MissedError, block_starts, literal
 
 # Profile alert texts, first matching rule wins.
 ALERT_OVER_50 = "!! >50% missing - consider dropping"
@@ -119,33 +120,43 @@ def missing_rows(df: DataFrame, id_col: str) -> DataFrame:
             .orderBy(F.desc("n_missing"), F.asc(id_col)))
 
 
+def _block_starts(keys: DataFrame, n_known: int, total: int, blocks: int) -> list[tuple[int, object]]:
+    """Block numbers and their first values, at most ``blocks``: by selection, or by ranking for texts (no sketch of them) and bad sketches."""
+    if is_numeric(keys.schema["_order"].dataType):
+        try:
+            return block_starts(keys, F.col("_order"), n_known, total, blocks)
+        except MissedError:
+            pass
+    block = F.floor(F.col("before") * F.lit(blocks) / F.lit(total)).cast("long")
+    rows = ranked_counts(keys, "_order").groupBy(block.alias("block")).agg(F.min("value").alias("first")).collect() if n_known else []
+    return sorted((r["block"], r["first"]) for r in rows)
+
+
 def missing_map(df: DataFrame, order_by: str, blocks: int = 100) -> DataFrame:
     """Missingness grid with bounded output: ``(block, column, missing_rate)``.
 
     Rows stand in ``order_by`` order and are cut into ``blocks`` blocks of
     equal size; rows of the same value stand in the block of the first of
     them, rows without a value after all others in the block where they begin.
-    The ranking only yields the first value of each block; the rows then need
+    Selection only yields the first value of each block; the rows then need
     one narrow projection and one aggregation.
     """
     names = df.columns
     total, n_known = df.agg(F.count(F.lit(1)), F.count(qcol(order_by))).first()
     order = exact_key(qcol(order_by), df.schema[order_by].dataType)
-    rc = ranked_counts(df.select(order.alias("_order")), "_order")
-    block_of = lambda p: F.floor(p * F.lit(blocks) / F.lit(total)).cast("long")
-    # at most ``blocks`` rows
-    starts = (rc.select(block_of(F.col("before")).alias("block"), "value")
-              .groupBy("block").agg(F.min("value").alias("first")).orderBy("block").collect()) if n_known else []
-
-    def place(lo: int, hi: int):
-        """Binary search of the order value among the blocks' first values."""
+    starts = _block_starts(df.select(order.alias("_order")), n_known, total, blocks)
+
+    def place(lo: int, hi: int) -> str:
+        """Binary search of the order value among the blocks' first values, as SQL text."""
         if hi - lo == 1:
-            return F.lit(starts[lo]["block"])
+            return str(starts[lo][0])
         mid = (lo + hi) // 2
-        return F.when(F.col("_order") < F.lit(starts[mid]["first"]), place(lo, mid)).otherwise(place(mid, hi))
+        first = starts[mid][1]
+        quoted = literal(first) if not isinstance(first, (str, bool)) else str(first).lower() if isinstance(first, bool) else "decode(unhex('" + first.encode().hex() + "'), 'UTF-8')"
+        return f"CASE WHEN _order < {quoted} THEN {place(lo, mid)} ELSE {place(mid, hi)} END"
 
     after = F.lit(int(n_known * blocks // total) if total else 0).cast("long")
-    block = F.when(F.col("_order").isNull(), after).otherwise(place(0, len(starts))) if starts else after
+    block = F.when(F.col("_order").isNull(), after).otherwise(F.expr(place(0, len(starts))).cast("long")) if starts else after
     flags = [qcol(c).isNull().cast("double").alias(c) for c in names]
     rows = df.select(order.alias("_order"), *[f.alias(f"_f{i}") for i, f in enumerate(flags)])
     per = rows.select(block.alias("block"), *[F.col(f"_f{i}").alias(c) for i, c in enumerate(names)]).groupBy("block").agg(

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, qcol
 from ..session import scratch_path
+from .select import selected
 
 #: distinct values per window task (windows sort and spill, and the split points every task carries
 #: stay under ~1 MB even at 1e12 distinct values)
@@ -194,6 +195,27 @@ def _type7_positions(p: float) -> tuple[Column, Column, Column]:
     return lo, hi, h - lo.cast("double")
 
 
+def ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Type-7 quantiles from the full ranking: ``(*by, column, n, q0, q1, ...)``, one row per (group, column)."""
+    by = list(by)
+    keys = [*by, "column"]
+    rc = ranked_counts(unpivot_values(df, cols, by), "value", keys)
+    hit = F.lit(False)
+    aggs = [F.max("total").alias("n")]
+    contains = lambda pos: (F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt"))
+    for i, p in enumerate(probs):
+        lo, hi, frac = _type7_positions(p)
+        hit = hit | contains(lo) | contains(hi)
+        aggs += [F.max(F.when(contains(lo), F.col("value"))).alias(f"_lo{i}"),
+                 F.max(F.when(contains(hi), F.col("value"))).alias(f"_hi{i}"),
+                 F.max(frac).alias(f"_f{i}")]
+    agg = rc.where(hit).groupBy(*keys).agg(*aggs)
+    return agg.select(*keys, F.col("n").cast("long").alias("n"), *[
+        (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
+        for i in range(len(probs))
+    ])
+
+
 def quantiles_long(
     df: DataFrame,
     cols: Sequence[str],
@@ -205,42 +227,31 @@ def quantiles_long(
 ) -> DataFrame:
     """Type-7 quantiles of several columns (optionally per group), exact by default.
 
-    Returns ``(*by, column, n, q0, q1, ...)`` -- one row per (group, column).
+    Whole columns go through selection (:mod:`.select`), groups through the
+    ranking.  Returns ``(*by, column, n, q0, q1, ...)`` -- one row per
+    (group, column) that has values.
     """
     by = list(by)
-    long = unpivot_values(df, cols, by)
-    keys = [*by, "column"]
     if approx:
-        return (long.where(F.col("value").isNotNull()).groupBy(*keys)
+        long = unpivot_values(df, cols, by)
+        return (long.where(F.col("value").isNotNull()).groupBy(*by, "column")
                 .agg(F.count("value").alias("n"),
                      *[F.percentile_approx("value", float(p), accuracy).alias(f"q{i}")
                        for i, p in enumerate(probs)]))
-    rc = ranked_counts(long, "value", keys)
-    hit = F.lit(False)
-    aggs = [F.max("total").alias("n")]
-    contains = lambda pos: (F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt"))
-    parts = []
-    for i, p in enumerate(probs):
-        lo, hi, frac = _type7_positions(p)
-        hit = hit | contains(lo) | contains(hi)
-        aggs += [F.max(F.when(contains(lo), F.col("value"))).alias(f"_lo{i}"),
-                 F.max(F.when(contains(hi), F.col("value"))).alias(f"_hi{i}"),
-                 F.max(frac).alias(f"_f{i}")]
-        parts.append(i)
-    agg = rc.where(hit).groupBy(*keys).agg(*aggs)
-    return agg.select(*keys, F.col("n").cast("long").alias("n"), *[
-        (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
-        for i in parts
-    ])
+    if by:
+        return ranked_quantiles(df, cols, probs, by)
+    found = selected(df, cols, probs)
+    schema = ", ".join(["column string, n bigint", *[f"q{i} double" for i in range(len(probs))]])
+    return df.sparkSession.createDataFrame([(c, f["n"], *f["q"]) for c, f in found.items() if f["n"]], schema)
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *, approx: bool = False
                  ) -> dict[str, list[float | None]]:
     """Driver-side {column: [q...]} for a few columns (summary-sized)."""
-    q = quantiles_long(df, cols, probs, approx=approx)
-    rows = q.collect()
+    if not approx:
+        return {c: f["q"] for c, f in selected(df, cols, probs).items()}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for r in rows:
+    for r in quantiles_long(df, cols, probs, approx=True).collect():
         out[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]
     return out
 
