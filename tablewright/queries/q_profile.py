@@ -100,6 +100,13 @@ def page_table(spark, sf):
                         descending=[True, False], page=2, page_size=15)
 
 
+def page_deep(spark, sf):
+    """A page far down a sorted table, through a page index with leaves of 2,000 rows."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    return R.page_table(items, order_by=["l_shipdate", "l_orderkey", "l_linenumber"], descending=[True, False, False],
+                        page=250, page_size=20, leaf_rows=2_000)
+
+
 def dataset_summary(spark, sf):
     return P.dataset_summary(events_na(spark, sf))
 
@@ -137,7 +144,7 @@ def missing_map(spark, sf):
 
 QUERIES = {
     "scan_csv": scan_csv, "scan_tsv": scan_tsv, "scan_json": scan_json, "load_dispatch": load_dispatch,
-    "sample_fixed": sample_fixed, "sink_roundtrip": sink_roundtrip, "page_table": page_table,
+    "sample_fixed": sample_fixed, "sink_roundtrip": sink_roundtrip, "page_table": page_table, "page_deep": page_deep,
     "dataset_summary": dataset_summary, "kpi_filtered": kpi_filtered, "column_profile": column_profile,
     "missing_rows": missing_rows, "missing_map": missing_map, "scan_csv_text": scan_csv_text, "scan_json_array": scan_json_array,
     "column_profile_wide": column_profile_wide,
@@ -241,6 +248,8 @@ ORACLE = {
         "OR lower(c_name) LIKE '%building%' OR lower(CAST(c_nationkey AS VARCHAR)) LIKE '%building%' "
         "OR lower(CAST(c_acctbal AS VARCHAR)) LIKE '%building%' OR lower(c_mktsegment) LIKE '%building%' "
         "ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 15"),
+    "page_deep": ("SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem "
+                  "ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_extendedprice LIMIT 20 OFFSET 4980"),
     "dataset_summary": _summary_sql(),
     "kpi_filtered": _summary_sql("WHERE value BETWEEN 10.0 AND 100.0"),
     "column_profile": _profile_sql(),

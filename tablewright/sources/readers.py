@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import normalize_missing, qcol
+from .paging import PageIndex, page_table
+from .records import read_csv_records, read_json_records
 
 # Text read as a missing cell, and written for one.
 NA_TEXT = "NA"
@@ -16,6 +18,7 @@ NA_TEXT = "NA"
 #: timestamps in JSON keep their microseconds
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+__all__ = ["PageIndex", "load", "page_table", "read_csv", "read_json", "read_tsv", "sample_fixed", "write_csv", "write_json", "write_parquet"]
 FORMATS = ("csv", "tsv", "json", "parquet", "orc")
 
 
@@ -31,12 +34,17 @@ def read_csv(spark: SparkSession, path: str, *, sep: str = ",", schema: T.Struct
     """Delimited text with a header row; types inferred unless a schema is given.
 
     A quote inside a quoted field is doubled.  ``multi_line`` allows line
-    breaks inside quoted fields; such a file cannot be split between tasks, so
-    it is off by default.  ``NA`` and empty fields read as NULL.  Schema inference costs one extra
-    pass over the files; production jobs should pass ``schema``.
+    breaks inside quoted fields: the files are cut into records by many tasks
+    first (:mod:`.records`), which reads them three times and writes them
+    once, so it is off by default.  ``NA`` and empty fields read as NULL.
+    Schema inference costs one extra pass over the files; production jobs
+    should pass ``schema``.
     """
+    if multi_line:
+        options = {"nullValue": na_text, "emptyValue": None, "escape": '"'}
+        return normalize_missing(read_csv_records(spark, path, sep=sep, schema=schema, options=options))
     reader = spark.read.option("header", True).option("sep", sep).option("nullValue", na_text)
-    reader = reader.option("emptyValue", None).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("emptyValue", None).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalize_missing(reader.csv(path))
 
@@ -49,16 +57,17 @@ def read_json(spark: SparkSession, path: str, *, multi_line: bool | None = None,
               schema: T.StructType | None = None) -> DataFrame:
     """JSON records: either one array of records per file or JSON lines.
 
-    With ``multi_line=None`` the layout is detected from the first character
-    of the first file (a one-line read), nothing more.
+    With ``multi_line=None`` the layout is detected from the first characters
+    of the first file, nothing more.  Arrays are cut into records by many
+    tasks first (:mod:`.records`).
     """
     if multi_line is None:
-        first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
-            F.substring(F.trim("value"), 1, 1).alias("c")).first()
+        # up to the first closing brace: an array on one line isn't read whole
+        first = spark.read.option("lineSep", "}").text(path).select(F.left(F.ltrim("value", F.lit(" \t\r\n")), F.lit(1)).alias("c")).first()
         multi_line = bool(first) and first["c"] == "["
-    reader = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        reader = reader.schema(schema)
+    if multi_line:
+        return normalize_missing(read_json_records(spark, path, schema=schema, options={}))
+    reader = spark.read if schema is None else spark.read.schema(schema)
     return normalize_missing(reader.json(path))
 
 
@@ -108,19 +117,3 @@ def sample_fixed(df: DataFrame, n: int, key: list[str] | None = None, *, seed: i
         cols = key or df.columns
         order = F.xxhash64(F.lit(seed), *[qcol(c) for c in cols])
     return df.orderBy(order, *[qcol(c) for c in (key or [])]).limit(n)
-
-
-def page_table(df: DataFrame, *, search: str | None = None, order_by: list[str] | None = None,
-               descending: list[bool] | None = None, page: int = 1, page_size: int = 15) -> DataFrame:
-    """One page of a table: free-text search over all columns, sort, offset + limit."""
-    out = df
-    if search:
-        term = search.lower()
-        hit = F.lit(False)
-        for c in df.columns:
-            hit = hit | F.coalesce(F.lower(qcol(c).cast("string")).contains(term), F.lit(False))
-        out = out.where(hit)
-    if order_by:
-        desc = descending or [False] * len(order_by)
-        out = out.orderBy(*[(qcol(c).desc() if d else qcol(c).asc()) for c, d in zip(order_by, desc)])
-    return out.offset((page - 1) * page_size).limit(page_size)
