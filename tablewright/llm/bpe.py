@@ -17,9 +17,11 @@ byte inside the word.  Normalisation and word pattern are those of the file:
 NFC, white space runs to one space, lower case, then the word pattern.
 
 Texts are encoded whole, per row, in Arrow batches cut into small slices, so a
-task's memory is bounded by its longest text plus a word cache of at most
-``CACHE_WORDS`` words, which is emptied when full (it changes no result).  A
-lost task is simply run again; nothing is shuffled.
+task's memory is bounded by its longest text plus a word cache of two
+generations of ``CACHE_WORDS`` words, the older of which is dropped when the
+newer is full (it changes no result).  A worker keeps its encoder between
+tasks, so these bounds also hold for the stages that follow.  A lost task is
+simply run again; nothing is shuffled.
 
 Defined cases: a null or empty text, or one with no word, has no ids and
 decodes to the empty string; special token strings inside a text become their
@@ -40,8 +42,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .store import table
 
-CACHE_WORDS = 400_000
-KNOWN_PAIRS = 1_000_000
+#: Words in each of a worker's two cache generations (about 250 bytes a word), and known pairs (about 120 bytes each).
+CACHE_WORDS = 60_000
+KNOWN_PAIRS = 200_000
 SLICE_ROWS = 128
 END = "</w>"
 #: A word's last symbol is its byte's character moved up by this much (beyond the 256 byte characters).
@@ -80,8 +83,8 @@ class PrefixEncoder:
 
     def __init__(self, path: str):
         import ahocorasick
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -120,10 +123,19 @@ class PrefixEncoder:
         self.plain = pattern == PATTERN
         self.plain_other = re.compile(f"[^{PLAIN}]").search
         self.plain_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
-        self.library = Tokenizer.from_file(path)
+        self._library = None
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
 
+    @property
+    def library(self):
+        """The tokenizers library's own reader of the file, loaded for the first text of rare characters."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _fits(self, left: int, right: int, before: int) -> bool:
         """Whether no merge of rank below ``before`` crosses the border of two tokens."""
         rank, pair, split = self.rank, self.pair, self.split
