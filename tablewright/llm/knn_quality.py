@@ -53,14 +53,40 @@ _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _DIGITS = re.compile(r"\d+")
 
 
+#: The same classes for texts of Latin-1 characters, whose bytes are translated in one step.
+_ALL = [chr(i) for i in range(256)]
+_LOWERED = "".join(_ALL).lower().encode("latin-1")
+_FORMS = "".join("a" if _LOWER.match(c) else "A" if _UPPER.match(c) else "9" if _DIGITS.match(c) else c for c in _ALL).encode("latin-1")
+_RUNS = re.compile(rb"([aA9])\1+")
+
+
+def _counted(text: str) -> tuple[list, Counter, Counter]:
+    """Words, and counts of word beginnings and shapes."""
+    words = _WORDS(text.lower())
+    shapes = _WORDS(_DIGITS.sub("9", _UPPER.sub("A", _LOWER.sub("a", text))))
+    return words, Counter([w[:STEM] for w in words]), Counter([s[:SHAPE] for s in shapes])
+
+
+def _counted_latin(raw: bytes) -> tuple[list, Counter, Counter]:
+    """The same for a text in Latin-1 bytes; ``split`` cuts at the same six white space characters."""
+    words = raw.translate(_LOWERED).split()
+    stems = Counter({w.decode("latin-1"): n for w, n in Counter([w[:STEM] for w in words]).items()})
+    shapes: Counter = Counter()
+    for form, n in Counter(raw.translate(_FORMS).split()).items():
+        shapes[_RUNS.sub(rb"\1", form)[:SHAPE].decode("latin-1")] += n
+    return words, stems, shapes
+
+
 def terms(text: str | None) -> dict[str, int]:
     """Terms of a whole text and how often each occurs; those that are not word beginnings start with a control character."""
     if not text:
         return {}
-    words = _WORDS(text.lower())
-    found = Counter([w[:STEM] for w in words])
-    shapes = _WORDS(_DIGITS.sub("9", _UPPER.sub("A", _LOWER.sub("a", text))))
-    found.update({"\x01" + s: n for s, n in Counter([s[:SHAPE] for s in shapes]).items()})
+    try:
+        words, found, shapes = _counted_latin(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        words, found, shapes = _counted(text)
+    for shape, n in shapes.items():
+        found["\x01" + shape] = n
     following = words[1:]
     if again := sum(map(eq, words, following)):
         found["\x02word"] = again

@@ -30,6 +30,15 @@ def test_terms():
     assert got == {"aber": 2, "12ab": 1, "das": 3, "\x01Aa": 1, "\x01a": 3, "\x019a!": 1, "\x01A": 1, "\x02word": 3, "\x02pair": 1}
 
 
+def test_terms_by_bytes_and_by_characters():
+    rnd = random.Random(6)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "B", "é", "É", "ß", "9", " ", "\n", "\x1c", "\xa0", "²", "_", "!", "ab", "\x0b", "µ", "ª", "÷"]) for _ in range(rnd.randrange(60)))
+        words, stems, shapes = knn_quality._counted(text)
+        bare, *counts = knn_quality._counted_latin(text.encode("latin-1"))
+        assert [w.decode("latin-1") for w in bare] == words and counts == [stems, shapes]
+
+
 def test_votes_against_brute_force():
     rng = np.random.default_rng(5)
     voters = knn_quality.unit(np.round(rng.normal(size=(60, 4)), 1))
