@@ -67,12 +67,17 @@ def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _frame(df, _pearson_rows(df, cols, cols))
 
 
+#: aggregates in one pass over the ranked rows (four for each pair)
+SPEARMAN_BATCH = 240
+
+
 def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman matrix: average ranks on each pair's complete rows, then Pearson.
 
-    Ranks come from the distributed ranking (no global sort); each column's
-    rank table joins back on the value.  Columns without missing cells share
-    one rank table; a pair involving missing cells gets its own.
+    Ranks come from one distributed ranking (no global sort); each column's
+    rank table joins back on the value and also holds the ranks among the
+    rows where a partner with missing cells is present.  More pairs than one
+    pass of aggregates takes are counted from the written ranks.
     """
     cols = cols or numeric_columns(df)
     if len(cols) < 2:
@@ -106,7 +111,11 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                  F.count(F.when(both, F.lit(1))).alias(f"n{k}")]
     for i in range(len(cols)):
         aggs += [F.var_samp(F.col(f"_c{i}")).alias(f"v{i}"), F.count(F.col(f"_c{i}")).alias(f"m{i}")]
-    row = joined.agg(*aggs).first()
+    if len(aggs) > SPEARMAN_BATCH:
+        joined = written(joined, "spearman")
+    row = {}
+    for at in range(0, len(aggs), SPEARMAN_BATCH):
+        row |= joined.agg(*aggs[at:at + SPEARMAN_BATCH]).first().asDict()
     for k, (i, j) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
         r = c / math.sqrt(vx * vy) if c is not None and vx and vy else None
