@@ -52,23 +52,27 @@ def test_stages_on_an_empty_table(spark, tmp_path):
 
 
 def test_mixed_order_is_in_the_result(spark, monkeypatch):
+    """Places come from what the mix wrote: without that stage they are others."""
     monkeypatch.setattr(mixing.mix_sources, "__defaults__", tuple(4 if d == mixing.BLOCK_ROWS else d for d in mixing.mix_sources.__defaults__))
     source = {r.doc_id: r.source for r in table(spark, SMALL, "documents").collect()}
-    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "slot", "block_row", "in_mix").collect()
+    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "place").collect()
     rows = defaultdict(list)
     for i in sorted((r.doc_id for r in got), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
         rows[source[i]].append(i)
-    roots = {k: len(v) ** 0.5 for k, v in rows.items()}
-    share = {k: max(1, int(w * mixing.QUANTUM / sum(roots.values()) + 0.5)) for k, w in roots.items()}
-    order, period, turns = [], sum(share.values()), brute_schedule(share)
-    ends = min(-(-len(v) // 4) // share[k] * period + turns.index((k, -(-len(v) // 4) % share[k])) for k, v in rows.items())
+    scaled = sum(int(len(v) ** 0.5 * 1024 + 0.5) for v in rows.values())
+    share = {k: int(len(v) ** 0.5 * mixing.QUANTUM * 1024 / scaled + 0.5) for k, v in rows.items()}
+    period = sum(share.values())
+    plan = {(k[1:], turn): t for t, (k, turn) in enumerate(brute_schedule({"=" + k: v for k, v in share.items()}, len(got)))}
+    end = min(plan.get((k, -(-len(v) // 4)), len(got)) for k, v in rows.items())
+    order = []
     for k, v in rows.items():
         for n, i in enumerate(v):
-            slot = n // 4 // share[k] * period + turns.index((k, n // 4 % share[k]))
-            order.append((slot, n % 4, i, slot < ends))
-    assert len(rows) > 1 and sorted((r.slot, r.block_row, r.doc_id, r.in_mix) for r in got) == sorted(order)
+            slot = plan.get((k, n // 4), end)
+            order.append((slot if slot < end else -(-(n // 4 + 1) * period // share[k]) - 1, k, n, i))
+    assert len(rows) > 1 and sorted(r.place for r in got) == list(range(len(got)))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.place)] == [i for *_, i in sorted(order)]
     # the head of the mix has the target weights, not the sources' own shares
-    head = [source[i] for _, _, i, inside in sorted(order) if inside]
+    head = [k for slot, k, _, _ in sorted(order) if slot < end]
     assert head
     for k in rows:
         assert head.count(k) / len(head) == pytest.approx(share[k] / period, abs=4 / len(head) + 1e-9)

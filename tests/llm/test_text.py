@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -236,46 +237,84 @@ def test_nnpu_recovers_the_toxic_word():
     assert w[0] > 3 * np.abs(w[1:]).max() and 1 / (1 + np.exp(-(w[0] + b))) > 0.5 > 0.3 > 1 / (1 + np.exp(-b))
 
 
-def brute_schedule(share: dict[str, int]) -> list[tuple[str, int]]:
+def brute_schedule(share: dict[str, int], slots: int) -> list[tuple[str, int]]:
+    """Earliest deadline first, a slot at a time; ties go to the source with the smallest md5 of its key."""
     p, done, out = sum(share.values()), dict.fromkeys(share, 0), []
-    for t in range(p):
-        ready = [(-(-(d + 1) * p // share[k]), k) for k, d in done.items() if d < share[k] and d * p // share[k] <= t]
-        k = min(ready)[1]
+    tie = {k: hashlib.md5(k.encode()).hexdigest() for k in share}
+    for t in range(slots):
+        k = min((-(-(d + 1) * p // share[k]), tie[k], k) for k, d in done.items() if d * p // share[k] <= t)[2]
         out.append((k, done[k]))
         done[k] += 1
     return out
 
 
+def worst_deviation(rows, weight: dict[str, Fraction]) -> Fraction:
+    """The largest distance of any source from its target weight, after any slot of the mix (blocks of one row)."""
+    taken = dict.fromkeys(weight, 0)
+    worst = Fraction(0)
+    for t, r in enumerate(sorted((r for r in rows if r.in_mix), key=lambda r: r.slot)):
+        assert r.slot == t
+        taken[r.source] += 1
+        worst = max(worst, *(abs(taken[k] - weight[k] * (t + 1)) for k in weight))
+    return worst
+
+
 def test_mixing_deviation_and_brute_force(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 7}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string")
-    got = mixing.mix_sources(docs, alpha=0.5, quantum=97, block_rows=4).collect()
+    got = mixing.mix_sources(docs, alpha=0.5, block_rows=1).collect()
     assert len(got) == 3000
     share = {r.source: r.share for r in got}
     period = sum(share.values())
-    plan = {}
-    for at, (k, turn) in enumerate(brute_schedule({"=" + k: v for k, v in share.items()})):
-        plan[k, turn] = at
-    blocks = {(r.source, r.block, r.slot) for r in got}
-    assert len({s for _, _, s in blocks}) == len(blocks)  # one block a slot
-    for source, block, slot in blocks:
-        assert slot == (block - 1) // share[source] * period + plan["=" + source, (block - 1) % share[source]]
+    count = Counter(r.source for r in got)
+    roots = {k: n ** 0.5 for k, n in count.items()}
+    assert all(abs(share[k] / period - roots[k] / sum(roots.values())) < 2e-9 for k in share)
     assert all(r.release <= r.slot < r.deadline and r.period == period for r in got)
-    end = 1 + max(r.slot for r in got if r.in_mix)
-    taken = Counter()
-    order = {slot: source for source, _, slot in blocks}
-    for t in range(end):
-        taken[order[t]] += 1
-        assert all(abs(taken[k] - Fraction(share[k] * (t + 1), period)) < 1 for k in share)
+    plan = {(k[1:], turn + 1): t for t, (k, turn) in enumerate(brute_schedule({"=" + k: v for k, v in share.items()}, 3000))}
+    end = min(plan[k, n + 1] for k, n in count.items() if (k, n + 1) in plan)
+    assert {(r.source, r.block): r.slot for r in got if r.in_mix} == {b: t for b, t in plan.items() if t < end}
+    assert all(r.slot == r.deadline - 1 >= end for r in got if not r.in_mix)
+    assert worst_deviation(got, {k: Fraction(v, period) for k, v in share.items()}) < 1
+
+
+@pytest.mark.parametrize("weights, rows, slots", [({"a": 1, "b": 2, "c": 4}, 20000, 10000), ({"a": 0.0001, "b": 0.9999}, 30000, 10000),
+                                                  ({"a": 1e-7, "b": 0.3, "c": 0.7}, 6000, 2500)])
+def test_mixing_keeps_to_the_exact_target(spark, weights, rows, slots):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % len(weights) + 1).cast("int")).alias("source"))
+    got = mixing.mix_sources(docs, weights=weights, block_rows=1).select("source", "slot", "in_mix").filter("in_mix").collect()
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    total = sum(exact.values())
+    assert len(got) > slots * 0.85 and worst_deviation(got, {k: v / total for k, v in exact.items()}) < 1
+
+
+def test_wrong_guesses_run_again(spark, monkeypatch):
+    """Short stretches start in the middle of everything; the result is still that of one run."""
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    weight = {"a": 50, "b": 31, "c": 11, "d": 5, "e": 2, "f": 1}
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, weight)), (F.col("id") % 6 + 1).cast("int")).alias("source"))
+    got = mixing.mix_sources(docs, weights=weight, block_rows=1).filter("in_mix").collect()
+    plan = brute_schedule({"=" + k: v for k, v in weight.items()}, len(got))
+    assert len(got) > 150 and {r.slot: (r.source, r.block) for r in got} == {t: (k[1:], turn + 1) for t, (k, turn) in enumerate(plan)}
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("IF(id < 1000, 's0', concat('s', id % 50))").alias("source"))
+    got = mixing.mix_sources(docs, alpha=0.5, block_rows=1).collect()
+    share = {r.source: r.share for r in got}
+    assert len(got) == 3000 and len({(r.source, r.block) for r in got}) == 3000 and len(share) == 50
+    assert worst_deviation(got, {k: Fraction(v, sum(share.values())) for k, v in share.items()}) < 2
 
 
 def test_mixing_given_weights_and_edges(spark):
     docs = edge_documents(spark)
-    got = mixing.mix_sources(docs, weights={"a": 2, "b": 1, None: 1}, block_rows=1, quantum=4)
+    got = mixing.mix_sources(docs, weights={"a": 2, "b": 1, None: 1}, block_rows=1)
     assert got.count() == 11 and got.columns.count("share") == 1
     rows = got.collect()
     assert {(r.source, r.share, r.period) for r in rows} == {("a", 2, 4), ("b", 1, 4), (None, 1, 4), ("c", None, None)}
     assert all(r.slot is None and not r.in_mix for r in rows if r.source == "c")
     assert mixing.mix_sources(empty_documents(spark)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs, weights={"a": 0})
+    assert mixing.mix_sources(docs, weights={"absent": 1}).filter("slot IS NULL AND NOT in_mix").count() == 11
+    for wrong in ({"weights": {"a": 0}}, {"alpha": -1.0}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, **wrong)
