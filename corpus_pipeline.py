@@ -8,7 +8,7 @@ say; a stage that keeps one row of a group keeps one of repeated rows, too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
@@ -37,20 +37,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order that gives every source its target weight of each stretch, to less than one block."""
-    return mixing.mix_sources(docs, alpha=MIX_ALPHA).orderBy("slot", "block_row").select(*docs.columns)
+    """All rows in the order that gives every source its target weight of each stretch, to less than one block.
+
+    The order is that of the written files and of the rows in them.
+    """
+    mixed = mixing.mix_sources(docs, alpha=MIX_ALPHA)
+    return mixed.orderBy("slot", "source", "block", "block_row").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token ids, with the text they decode to and the row's place in the mix: ``slot, block_row, in_mix``.
+    """The corpus as token ids, with the text they decode to and ``place``, the row's position in the files read (from 0).
 
-    Written rows have no order of their own.  The schedule depends on ids and
-    sources alone, so it is the one the stage before ordered its rows by.
+    ``docs`` is read from Parquet files, so what the stage before wrote decides
+    the places: rows before a file (one count a file) plus the row's number in it.
     """
-    place = ["slot", "block_row", "in_mix"]
-    placed = mixing.mix_sources(docs.select("doc_id", "source", "text"), alpha=MIX_ALPHA)
-    coded = bpe.encode_texts(placed.select(F.struct("doc_id", *place).alias("row"), "text"), id_col="row")
-    return coded.select("doc_id.doc_id", *coded.columns[1:], *[f"doc_id.{c}" for c in place])
+    files = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # one row a file: the files of one write are numbered
+    before = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = files.join(starts, "file").withColumn("place", F.col("start") + F.col("row"))
+    coded = bpe.encode_texts(placed.select(F.struct("doc_id", "place").alias("row"), "text"), id_col="row")
+    return coded.select("doc_id.doc_id", *coded.columns[1:], "doc_id.place")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
