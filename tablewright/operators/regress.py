@@ -1,17 +1,26 @@
 """Linear regression with influence diagnostics (leverage, standardised residuals, Cook's distance, DFFITS).
 
 The fit is two aggregations (means, then centred cross products) over the
-complete rows and a p x p solve on the driver.  Every diagnostic is then a
-pure column expression with the fitted matrix inlined as literals: a narrow,
-shuffle-free projection however many rows there are.
+complete rows and a p x p solve on the driver.  Cross products square the
+condition number, so where they would leave fewer than nine digits (nearly
+dependent predictors, or a fit that explains almost everything) the design
+itself is factored: every task turns its rows into one small triangular factor
+(QR), factors are stacked and factored again, and the last one holds the
+coefficients and the residual sum of squares.  A predictor that depends on
+those before it is left out and has missing values in the coefficient table.
+
+Every diagnostic is then a pure column expression with the fitted matrix
+inlined as literals: a narrow, shuffle-free projection however many rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +38,28 @@ STATUS_NORMAL = "Normal"
 STATUS_ORDER = [STATUS_BOTH, STATUS_INFLUENCE, STATUS_LEVERAGE, STATUS_NORMAL]
 
 
-#: smallest singular value of the correlation matrix of a design that counts as independent
-RANK_TOLERANCE = 1e-12
+#: cross products are used if the smallest eigenvalue of the correlation matrix and the unexplained share exceed this
+CROSS_PRODUCT_DIGITS = 1e-6
+#: what a predictor must have left, beside those before it, as a share of its own length (mean included: values are
+#: rounded in proportion to it), not to count as dependent
+DEPENDENT = 1e-13
+#: a residual length up to this share of the response's is rounding of a perfect fit
+PERFECT = 1e-13
 #: a row with 1 - leverage up to this determines its own fit: its scaled diagnostics are undefined (NULL)
 FULL_LEVERAGE = 1e-12
 
 
 @dataclass
 class OLSModel:
+    """A fit; ``predictors`` are the independent ones of ``terms``, ``root`` their triangular factor (centred)."""
+
     response: str
+    terms: list[str]
     predictors: list[str]
     n: int
     xbar: np.ndarray
     ybar: float
-    s_inv: np.ndarray
+    root: np.ndarray
     coef: np.ndarray  # slopes
     intercept: float
     sse: float
@@ -52,6 +69,15 @@ class OLSModel:
     def p(self) -> int:
         return len(self.predictors) + 1
 
+    @property
+    def root_inv(self) -> np.ndarray:
+        return np.linalg.inv(self.root)
+
+    @property
+    def s_inv(self) -> np.ndarray:
+        """Inverse of the centred cross products."""
+        return self.root_inv @ self.root_inv.T
+
     @property
     def sigma2(self) -> float:
         return self.sse / (self.n - self.p)
@@ -73,13 +99,18 @@ class OLSModel:
         return 2.0 * self.p / self.n
 
     def coef_table(self) -> list[tuple]:
+        """``term, estimate, std_error, t_value, p_value``; missing for dependent predictors."""
         s2 = self.sigma2
-        se_int = math.sqrt(s2 * (1.0 / self.n + float(self.xbar @ self.s_inv @ self.xbar)))
-        rows = [("(Intercept)", self.intercept, se_int)]
+        s_inv = self.s_inv
+        found = {"(Intercept)": (self.intercept, math.sqrt(s2 * (1.0 / self.n + float(self.xbar @ s_inv @ self.xbar))))}
         for i, name in enumerate(self.predictors):
-            rows.append((name, float(self.coef[i]), math.sqrt(s2 * self.s_inv[i, i])))
-        out = []
-        for term, est, se in rows:
+            found[name] = (float(self.coef[i]), math.sqrt(s2 * s_inv[i, i]))
+        out: list[tuple] = []
+        for term in ["(Intercept)", *self.terms]:
+            if term not in found:
+                out.append((term, None, None, None, None))
+                continue
+            est, se = found[term]
             t = est / se if se else float("nan")
             out.append((term, est, se, t, pt_two_sided(t, self.n - self.p)))
         return out
@@ -92,8 +123,56 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(cond)
 
 
+def _stack(batches: Iterator[np.ndarray], width: int) -> np.ndarray:
+    """The triangular factor of all rows of ``batches`` (padded with zero rows to a square)."""
+    r = np.zeros((width, width))
+    for m in batches:
+        for at in range(0, len(m), 16_384):
+            r = np.linalg.qr(np.vstack([r, m[at:at + 16_384]]), mode="r")
+    return r
+
+
+def triangular_factor(columns: DataFrame) -> np.ndarray:
+    """R of the QR factorisation of a DataFrame of non-null double columns, as a tree of small factors.
+
+    Each task returns one square of the columns' number; one shuffle gathers
+    squares by size (tens of MB a task), so a few of them reach the driver.
+    """
+    width = len(columns.columns)
+
+    def as_rows(r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.ravel()], pa.list_(pa.float64()))], ["r"])
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield as_rows(_stack((np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows), width))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield as_rows(_stack((b.column(0).flatten().to_numpy().reshape(-1, width) for b in batches if b.num_rows), width))
+
+    made = columns.mapInArrow(factor, "r array<double>").hint("rebalance").mapInArrow(merge, "r array<double>")
+    return _stack((np.array(r[0]).reshape(width, width) for r in made.collect()), width)
+
+
+def independent(r: np.ndarray, mean: np.ndarray, n: int) -> list[int]:
+    """Columns of ``r`` that have a part of their own beside the kept ones before them (and beside a constant)."""
+    kept: list[int] = []
+    for j in range(r.shape[1]):
+        own = r[:, j]
+        length = math.hypot(float(np.linalg.norm(own)), math.sqrt(n) * float(mean[j]))
+        q = np.linalg.qr(r[:, kept])[0]
+        for _ in range(2):  # the second projection removes what rounding left of the first
+            own = own - q @ (q.T @ own)
+        if float(np.linalg.norm(own)) > DEPENDENT * length:
+            kept.append(j)
+    return kept
+
+
 def ols_fit(df: DataFrame, response: str, predictors: list[str]) -> OLSModel:
-    """OLS ``response ~ predictors`` on complete rows; the response is removed from the predictors."""
+    """OLS ``response ~ predictors`` on complete rows; the response is removed from the predictors.
+
+    Constant predictors and those that depend linearly on the ones before them
+    are not in the model; the coefficient table shows them without values.
+    """
     preds = [p for p in predictors if p != response]
     if not preds:
         raise ValueError("the response cannot be its own only predictor")
@@ -105,7 +184,7 @@ def ols_fit(df: DataFrame, response: str, predictors: list[str]) -> OLSModel:
                   *[F.avg(v).alias(f"x{i}") for i, v in enumerate(x)]).first()
     n = int(st["n"])
     k = len(preds)
-    if n <= k + 1:
+    if n < 3:
         raise ValueError("not enough complete rows for the model")
     xbar = np.array([st[f"x{i}"] for i in range(k)], dtype=float)
     ybar = float(st["y"])
@@ -122,16 +201,33 @@ def ols_fit(df: DataFrame, response: str, predictors: list[str]) -> OLSModel:
         for j in range(i, k):
             s[i, j] = s[j, i] = r[f"s{i}_{j}"]
     sy = np.array([r[f"sy{i}"] for i in range(k)])
-    # tested and inverted at unit diagonal: predictors may differ in scale by many orders
-    scale = np.sqrt(np.diag(s))
-    unit = s / np.outer(scale, scale) if (scale > 0).all() else None
-    if unit is None or np.linalg.matrix_rank(unit, tol=RANK_TOLERANCE) < k:
-        raise ValueError("predictors are linearly dependent (rank-deficient design)")
-    s_inv = np.linalg.inv(unit) / np.outer(scale, scale)
-    b = s_inv @ sy
     syy = float(r["syy"])
-    sse = max(syy - float(b @ sy), 0.0)
-    return OLSModel(response, preds, n, xbar, ybar, s_inv, b, ybar - float(b @ xbar), sse, syy)
+    # at unit diagonal: predictors may differ in scale by many orders
+    scale = np.sqrt(np.diag(s))
+    kept = list(range(k))
+    if (scale > DEPENDENT * np.hypot(scale, math.sqrt(n) * xbar)).all() and np.linalg.eigvalsh(s / np.outer(scale, scale))[0] > CROSS_PRODUCT_DIGITS:
+        root = np.linalg.cholesky(s / np.outer(scale, scale)).T * scale
+        b = np.linalg.solve(root, np.linalg.solve(root.T, sy))
+        sse = syy - float(b @ sy)
+    else:
+        root, b, sse = None, None, 0.0
+    if root is None or sse <= CROSS_PRODUCT_DIGITS * syy:
+        # the constant comes first: what is left of the others below its row is centred
+        f = triangular_factor(data.select(F.lit(1.0).alias("one"), *[v.alias(f"x{i}") for i, v in enumerate(d)], dy.alias("y")))
+        xbar = xbar + f[0, 1:-1] / f[0, 0]
+        ybar = ybar + float(f[0, -1] / f[0, 0])
+        kept = independent(f[1:, 1:-1], xbar, n)
+        f = np.linalg.qr(f[1:, [1 + j for j in kept] + [k + 1]], mode="r")
+        m = len(kept)
+        root, b = f[:m, :m], np.linalg.solve(f[:m, :m], f[:m, m])
+        syy = float(f[:, m] @ f[:, m])
+        sse = float(f[m, m] ** 2)
+        if sse <= PERFECT ** 2 * syy:
+            sse = 0.0
+    if n <= len(kept) + 1:
+        raise ValueError("not enough complete rows for the model")
+    xbar = xbar[kept]
+    return OLSModel(response, preds, [preds[j] for j in kept], n, xbar, ybar, root, b, ybar - float(b @ xbar), max(sse, 0.0), syy)
 
 
 # ------------------------------------------------------------- expressions
@@ -140,12 +236,14 @@ def _centred(m: OLSModel) -> list[Column]:
 
 
 def leverage_col(m: OLSModel) -> Column:
+    """1/n and the squared length of the centred row in the factor's coordinates: no term is negative."""
     d = _centred(m)
     q = F.lit(1.0 / m.n)
-    k = len(d)
-    for i in range(k):
-        for j in range(k):
-            q = q + F.lit(float(m.s_inv[i, j])) * d[i] * d[j]
+    for j, w in enumerate(m.root_inv.T):
+        z = F.lit(float(w[0])) * d[0]
+        for i in range(1, j + 1):
+            z = z + F.lit(float(w[i])) * d[i]
+        q = q + z * z
     return F.least(q, F.lit(1.0))
 
 
@@ -171,7 +269,7 @@ def diagnostics(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFrame:
     A row with full leverage has NULL scaled diagnostics, and so has every row
     of a perfect fit; NULL is never influential.
     """
-    data = complete_rows(df, [m.response, *m.predictors])
+    data = complete_rows(df, [m.response, *m.terms])
     h, free, e, r, cook = _scaled(m)
     # without residual variance left after the row goes, DFFITS is undefined
     left = F.lit((m.n - m.p) * m.sigma2) - e * e / free
@@ -238,7 +336,7 @@ def influence_counts(df: DataFrame, m: OLSModel, id_cols: list[str]) -> DataFram
 
 def remove_influential(df: DataFrame, m: OLSModel) -> DataFrame:
     """Complete rows that are not influential: a plain filter (the flag is a row expression)."""
-    data = complete_rows(df, [m.response, *m.predictors])
+    data = complete_rows(df, [m.response, *m.terms])
     cook = _scaled(m)[-1]
     return data.where(~F.coalesce(cook > F.lit(m.cook_threshold), F.lit(False)))
 
@@ -281,10 +379,10 @@ def full_summary(df: DataFrame, m: OLSModel) -> DataFrame:
         rows += [("coefficient", f"{term}:estimate", est), ("coefficient", f"{term}:std_error", se),
                  ("coefficient", f"{term}:t_value", t), ("coefficient", f"{term}:p_value", p)]
     k = m.p - 1
-    f_stat = ((m.syy - m.sse) / k) / m.sigma2 if m.sigma2 else float("nan")
+    f_stat = ((m.syy - m.sse) / k) / m.sigma2 if m.sigma2 and k else float("nan")
     rows += [("fit", "residual_std_error", math.sqrt(m.sigma2)), ("fit", "df_residual", float(m.n - m.p)),
              ("fit", "r_squared", m.r2), ("fit", "adj_r_squared", m.adj_r2), ("fit", "f_statistic", f_stat),
-             ("fit", "f_p_value", pf_upper(f_stat, k, m.n - m.p))]
+             ("fit", "f_p_value", pf_upper(f_stat, k, m.n - m.p) if k else float("nan"))]
     res = diagnostics(df, m, []).select("residual")
     q = quantile_map(res, ["residual"], [0.0, 0.25, 0.5, 0.75, 1.0])["residual"]
     for name, v in zip(["min", "q1", "median", "q3", "max"], q):

@@ -43,7 +43,19 @@ def ols_mixed_scale(s, sf):
     return finish(G.coef_frame(s, G.ols_fit(df, Y, XS)), 6)
 
 
+def _dependent(s, sf):
+    """With two more predictors, a constant one and the sum of the others' multiples."""
+    df = _li(s, sf).withColumn("one_price", F.lit(7.5)).withColumn("both", F.col("l_quantity") * 3 + F.col("l_discount") * 200 + 1)
+    return df, G.ols_fit(df, Y, ["one_price", *XS, "both"])
+
+
+def ols_dependent(s, sf):
+    return finish(G.coef_frame(s, _dependent(s, sf)[1]))
+
+
 QUERIES = {
+    "ols_dependent": ols_dependent,
+    "influence_dependent": lambda s, sf: G.influence(*_dependent(s, sf), IDS),
     "influence_leverage_one": influence_leverage_one,
     "ols_mixed_scale": ols_mixed_scale,
     "residual_trend": lambda s, sf: finish(G.residual_trend(_li(s, sf), _model(s, sf)), 6),
@@ -222,6 +234,9 @@ ORACLE = {
                        f"SELECT CAST(least(floor((fitted - lo) / w), 19) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, {S('avg(fitted)', 'fitted', 6)}, "
                        f"{S('avg(e)', 'residual', 6)}, {S('avg(sqrt(abs(r)))', 'sqrt_abs_std_residual', 6)} FROM ft GROUP BY 1"),
     "ols_full_summary": _full_summary_sql(),
+    "ols_dependent": ("WITH " + _fit_ctes("lineitem") + " " + _coef_select("k")
+                      + " UNION ALL SELECT t, NULL, NULL, NULL FROM (VALUES ('one_price'), ('both')) v(t)"),
+    "influence_dependent": BASE + f"SELECT {INFL_COLS} FROM z",
     "ols_coef": "WITH " + _fit_ctes("lineitem") + " " + _coef_select("k"),
     "ols_summary": ("WITH " + _fit_ctes("lineitem") + f" SELECT {R4('1 - sse / syy')} AS r_squared, "
                     f"{R4('1 - (sse / syy) * (n - 1) / (n - 3)')} AS adj_r_squared, CAST(n AS BIGINT) AS n FROM k"),

@@ -51,8 +51,12 @@ def test_differently_scaled_predictors(spark):
     m = G.ols_fit(df, "y", ["a", "b"])
     want = np.linalg.lstsq(np.column_stack([np.ones(500), x[:, 0] / 1e9, x[:, 1]]), y, rcond=None)[0]
     assert m.coef[0] == pytest.approx(want[1] / 1e9, rel=1e-6) and m.coef[1] == pytest.approx(want[2], rel=1e-6)
-    with pytest.raises(ValueError):
-        G.ols_fit(df.withColumn("c", F.col("a") * 2), "y", ["a", "c"])
+    # a predictor that depends on those before it is left out and shown without values
+    same = G.ols_fit(df.withColumn("c", F.col("a") * 2), "y", ["a", "c", "b"])
+    assert same.predictors == ["a", "b"] and same.coef == pytest.approx(m.coef, rel=1e-9)
+    table = same.coef_table()
+    assert [r[0] for r in table] == ["(Intercept)", "a", "c", "b"] and table[2][1:] == (None,) * 4
+    assert [table[i][1:] for i in (0, 1, 3)] == [pytest.approx(r[1:], rel=1e-8) for r in m.coef_table()]
 
 
 def test_formula_overflow_nan_and_nested_aggregates(spark):
