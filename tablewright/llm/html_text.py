@@ -12,16 +12,19 @@
 4. Surge and dive points are moved to the borders of the element that holds
    the runs, out so that short first and last lines stay and in so that
    neighbouring text outside goes: the page's marked article (``article`` or
-   ``main``) with the most run weight, if that is ``ARTICLE_SHARE`` of all, else the innermost container with
-   ``CONTAINER_SHARE`` of it, else the runs stand as they are and those of a
-   third of the heaviest one's weight or more are kept.
+   ``main``) with the most run weight, if marked articles hold ``ARTICLE_SHARE`` of all, with every sibling
+   article that has a surge of its own; else the innermost container with ``CONTAINER_SHARE`` of it, with every
+   element beside it, up to the smallest container of all runs, that has a surge of its own.
+5. A page without a main heading in the text kept takes the last ``h1`` before it that stands beside it or beside an
+   element around it, with the lines between them.
 
 The operator works row by row on whole pages inside Arrow batches; nothing is
 shuffled.
 
 Defined cases: null or empty html gives an empty text; a page with no text
 run gives an empty text; unclosed and wrongly nested elements are closed by
-the end of their nearest open ancestor, or of the page; repeated rows give
+the end of their nearest open ancestor, or of the page, but an unclosed menu, page header, aside or form ends at the
+first surge in it (an unclosed footer doesn't, it comes last); repeated rows give
 repeated results; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -30,6 +33,8 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import takewhile
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +60,19 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo",
                "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup",
                "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "alert", "recommended", "header",
-               "responses", "overlay", "toc"}
+               "responses", "overlay", "toc", "note"}
 #: Of these, the ones that also tell an article element from the page's main one.
-ARTICLE_ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "sponsored"}
+ARTICLE_ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "sponsored", "teaser",
+                       "teasers"}
 #: Words that may stand beside these in a name; with any other word ("with-sidebar") it names something else.
 PLAIN_WORDS = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "entry", "global", "group",
                "icons", "inner", "item", "left", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "posts", "primary",
-               "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
+               "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper", "author", "content", "form", "reader",
+               "readers", "thread", "user", "users", "visitor", "visitors"}
+#: readers' comments named in one word.
+_COMMENTS = re.compile(r"(?:user|reader|visitor)?comments?(?:area|block|body|box|form|item|list|section|text|thread|wrap|wrapper)?")
+#: Elements that end at the first surge in them when their end tag is missing.
+OPEN_ENDED = {"nav", "menu", "header", "aside", "form", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that may hold a page's main text when it marks no article.
 CONTAINERS = {"body", "div", "section", "td", "center", "table"}
@@ -93,24 +104,36 @@ def is_aside(name: str, attributes: str, in_article: bool) -> bool:
     listed = ARTICLE_ASIDE_WORDS if name in ("article", "main") else ASIDE_WORDS
     for found in _MARKS.finditer(attributes):
         for mark in (found[1] or found[2] or found[3] or "").split():
-            words = {w.lower() for w in _WORD.findall(mark)}
+            words = {"comments" if _COMMENTS.fullmatch(w) else w for w in map(str.lower, _WORD.findall(mark))}
             hit = listed & words
-            if hit and words <= ASIDE_WORDS | PLAIN_WORDS and not (in_article and hit <= {"header"}):
+            if hit and words <= listed | ASIDE_WORDS | PLAIN_WORDS and not (in_article and hit <= {"header"}):
                 return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
-    """The page's lines ``(text, weight, article, dull, containers)``.
+class Line(NamedTuple):
+    text: str
+    weight: int
+    article: int
+    dull: bool
+    containers: tuple[int, ...]
+    heading: bool
+    article_parent: int
+
+
+def lines_of(html: str, window: int = WINDOW, surge: int = SURGE) -> list[Line]:
+    """The page's lines.
 
     ``weight`` is the code points outside links, ``article`` the number of the
     outermost open article or main element (0: none), ``dull`` whether the line
     stands in a container without main text, ``containers`` the numbers of the
-    open container elements from the outermost inwards.  An element marked by
+    open container elements from the outermost inwards (0: the page),
+    ``heading`` whether it is an ``h1``, ``article_parent`` the innermost
+    container around the article.  An element marked by
     its words that holds an article or main element and half the text outside
     links is no such container; the text of inline ones is left out.
     """
-    lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
+    lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...], bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, int, int, int]] = []  # name, aside number or 0, outer article, container number or 0
@@ -118,6 +141,8 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     links = hushed = 0
     firm: set[int] = set()  # asides by element or hidden
     holders: set[int] = set()  # other asides that hold an article or main element
+    unended: set[int] = set()  # asides without an end tag that end at the first surge in them
+    parents: dict[int, int] = {0: 0}  # innermost container around each article
 
     def flush() -> None:
         nonlocal linked
@@ -126,13 +151,15 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             parts.clear()
             if text:
                 lines.append((text, max(len(text) - linked, 0), article, tuple(x[1] for x in stack if x[1]),
-                              tuple(x[3] for x in stack if x[3])))
+                              (0, *(x[3] for x in stack if x[3])), any(x[0] == "h1" for x in stack)))
         linked = 0
 
-    def close(to: int) -> None:
+    def close(to: int, ended: bool = True) -> None:
         nonlocal article, links, hushed
         while len(stack) > to:
             name, was_aside, outer, _ = stack.pop()
+            if name in OPEN_ENDED and not (ended and len(stack) == to):
+                unended.add(was_aside)
             hushed -= was_aside > 0 and name not in BLOCK
             article = outer
             links -= name == "a"
@@ -186,6 +213,8 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
                     if stack[i][0] in ("ul", "ol", "table", "dl", "menu", "select"):
                         break
             dull = is_aside(name, attributes, bool(article))
+            if dull and name not in BLOCK and not re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at):
+                continue  # an inline element without an end tag silences nothing
             containers += name in CONTAINERS
             asides += dull
             if dull and (name in ASIDE or _HIDDEN.search(attributes)):
@@ -198,11 +227,18 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             if name in ("article", "main") and not article:
                 articles += 1
                 article = articles
+                parents[article] = next((x[3] for x in reversed(stack[:-1]) if x[3]), 0)
     flush()
+    close(0, ended=False)
+    ends: dict[int, int] = {}  # line from which an unended aside is none
+    for a in unended - {0}:
+        own = [line[1] if a in line[3] else 0 for line in lines]
+        ends[a] = next((start for start, _ in text_runs(own, window, surge)), len(lines))
     half = sum(line[1] for line in lines) / 2
     freed = {a for a in holders if sum(line[1] for line in lines if a in line[3]) >= half}
-    dulled = [not freed.issuperset(line[3]) for line in lines]
-    return [(text, 0 if dull else weight, number, dull, held) for (text, weight, number, _, held), dull in zip(lines, dulled, strict=True)]
+    dulled = [any(a not in freed and i < ends.get(a, len(lines)) for a in line[3]) for i, line in enumerate(lines)]
+    return [Line(text, 0 if dull else weight, number, dull, held, heading, parents[number])
+            for (text, weight, number, _, held, heading), dull in zip(lines, dulled, strict=True)]
 
 
 def text_runs(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -226,36 +262,68 @@ def text_runs(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return runs
 
 
+def beside(lines: list[Line], path: tuple[int, ...], top: int) -> dict[tuple[int, int], list[int]]:
+    """The undulled lines of container ``top`` outside the innermost container of ``path``, by the element that stands
+    beside the path; lines that stand there without an element go by stretches."""
+    out: dict[tuple[int, int], list[int]] = {}
+    stretch, last = 0, None
+    for i, line in enumerate(lines):
+        held = line.containers
+        shared = sum(1 for _ in takewhile(lambda pair: pair[0] == pair[1], zip(held, path)))  # noqa: B905
+        place = (shared, held[shared] if len(held) > shared else None)
+        stretch += place != last
+        last = place
+        if shared < len(path) and top in held and not line.dull:
+            out.setdefault((shared, -stretch if place[1] is None else place[1]), []).append(i)
+    return out
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     if not html:
         return ""
-    lines = lines_of(html)
-    weights = [line[1] for line in lines]
-    runs = text_runs(weights, window, surge) or text_runs(weights, window, 1)
-    if not runs:
+    lines = lines_of(html, window, surge)
+    weights = [line.weight for line in lines]
+    if not any(weights):
         return ""
-    weight = lambda run: sum(weights[run[0]:run[1]])
+    runs = text_runs(weights, window, surge)
+    if not runs:
+        surge = 1
+        runs = text_runs(weights, window, surge)
+    rising = lambda own: bool(text_runs([weights[i] for i in own], window, surge))
+    in_runs = [i for r in runs for i in range(*r)]
+    total = sum(weights[i] for i in in_runs)
     marked: dict[int, int] = {}
-    for start, end in runs:
-        for i in range(start, end):
-            if lines[i][2]:
-                marked[lines[i][2]] = marked.get(lines[i][2], 0) + weights[i]
-    chosen = max(marked, key=lambda a: (marked[a], -a), default=None)
-    if chosen is not None and marked[chosen] >= ARTICLE_SHARE * sum(map(weight, runs)):
-        kept = [i for i, line in enumerate(lines) if line[2] == chosen and not line[3]]
+    held: dict[int, int] = {}
+    for i in in_runs:
+        if lines[i].article:
+            marked[lines[i].article] = marked.get(lines[i].article, 0) + weights[i]
+        for c in lines[i].containers:
+            held[c] = held.get(c, 0) + weights[i]
+    if sum(marked.values()) >= ARTICLE_SHARE * total and marked:
+        chosen = max(marked, key=lambda a: (marked[a], -a))
+        members: dict[int, list[int]] = {}
+        for i, line in enumerate(lines):
+            if line.article and not line.dull:
+                members.setdefault(line.article, []).append(i)
+        parent = lines[members[chosen][0]].article_parent
+        kept = sorted(i for a, own in members.items() for i in own
+                      if a == chosen or (lines[own[0]].article_parent == parent and rising(own)))
+        path = tuple(takewhile(lambda c: c != parent, lines[kept[0]].containers)) + (parent,)
     else:
-        held: dict[int, int] = {}
-        for i in (i for r in runs for i in range(*r)):
-            for c in lines[i][4]:
-                held[c] = held.get(c, 0) + weights[i]
-        enough = CONTAINER_SHARE * sum(map(weight, runs))
-        inside = max((c for c, w in held.items() if w >= enough), default=None)  # the last opened is the innermost
-        if inside is not None:
-            kept = [i for i, line in enumerate(lines) if inside in line[4] and not line[3]]
-        else:
-            best = max(runs, key=lambda r: (weight(r), -r[0]))
-            kept = [i for r in runs if weight(r) * 3 >= weight(best) for i in range(*r)]
-    return "\n".join(lines[i][0] for i in kept)
+        # the last opened is the innermost
+        inside = max(c for c, w in held.items() if w >= CONTAINER_SHARE * total)
+        every = max(c for c, w in held.items() if w == total)
+        whole = next(line.containers for line in lines if inside in line.containers)
+        path = whole[:whole.index(inside) + 1]
+        kept = [i for i, line in enumerate(lines) if inside in line.containers and not line.dull]
+        kept = sorted(kept + [i for own in beside(lines, path, every).values() if rising(own) for i in own])
+    if not any(lines[i].heading for i in kept):
+        # an h1 beside the text or beside an element around it
+        first = next((i for i in range(kept[0] - 1, -1, -1) if lines[i].heading and not lines[i].dull
+                      and lines[i].containers == path[:len(lines[i].containers)]), None)
+        if first is not None:
+            kept = [i for i in range(first, kept[0]) if not lines[i].dull] + kept
+    return "\n".join(lines[i].text for i in kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

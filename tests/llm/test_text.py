@@ -56,6 +56,52 @@ def test_only_whole_names_silence_an_element():
     assert html_text.main_text(f"<article>{body}</article>{comments}") == want
 
 
+LONG = "A long paragraph of the main text with many words in it, long enough for a surge of its own."
+MENU = "<ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class=lead><p>Lead. {LONG}</p></div><div class=text>{f'<p>{LONG}</p>' * 6}</div>", [f"Lead. {LONG}"] + [LONG] * 6),
+    (f"<body><article><p>1. {LONG}</p></article><article>{f'<p>{LONG}</p>' * 4}</article>", [f"1. {LONG}"] + [LONG] * 4),
+    (f"<body><article class=teaser><p>1. {LONG}</p></article><article>{f'<p>{LONG}</p>' * 4}</article>", [LONG] * 4),
+    (f"<p>{LONG}</p><nav>{MENU}</nav>{f'<p>{LONG}</p>' * 6}", [LONG] * 7),
+    (f"<body><div>{MENU}</div><h1>Head</h1><p>By Me</p><div class=text>{f'<p>{LONG}</p>' * 3}</div>", ["Head", "By Me"] + [LONG] * 3),
+    (f"<body><div class=logo><h1>Site</h1></div><div class=text>{f'<p>{LONG}</p>' * 3}</div>", [LONG] * 3),
+    (f"<body><h1>Head</h1><article>{f'<p>{LONG}</p>' * 3}</article>", ["Head"] + [LONG] * 3),
+    (f"<body><nav>{MENU}<div class=text>{f'<p>{LONG}</p>' * 3}</div><footer>{LONG}</body>", [LONG] * 3),
+    (f"<body><label>Mail<div class=text>{f'<p>{LONG}</p>' * 3}</div>", [LONG] * 3),
+    (f"<body><div><div class=text>{f'<p>{LONG}</p>' * 6}</div></div><div><div><p>End. {LONG}</p></div></div>", [LONG] * 6 + [f"End. {LONG}"]),
+    (f"<body><div class=text>{f'<p>{LONG}</p>' * 6}</div><div>Me, 2020</div>", [LONG] * 6),
+    (f"<body><div>{MENU}</div><div class=text>{f'<p>{LONG}</p>' * 6}</div><div>{MENU}</div>", [LONG] * 6)])
+def test_pages_without_one_marked_article(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("mark", ["commentlist", "user-comment", "comment-42", "readerComments", "comment_form", "comments-area", "note"])
+def test_comments_by_compound_names(mark):
+    page = f"<body><div class=post><div class=text>{f'<p>{LONG}</p>' * 3}</div><div class='{mark}'><p>{LONG}</p></div></div>"
+    assert html_text.main_text(page) == "\n".join([LONG] * 3)
+    assert html_text.main_text(page.replace(mark, "commentary")) == "\n".join([LONG] * 4)
+
+
+def test_generated_pages_without_articles():
+    """Brute force: every block of the page is listed with whether it is main text when the page is put together."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(300):
+        want, parts = [], []
+        for k in range(rng.randrange(1, 5)):
+            texts = [f"{k}.{i} {LONG}" for i in range(rng.randrange(1, 6))]
+            want += texts
+            parts.append(rng.choice(["<div>{}</div>", "<section><div>{}</div></section>", "<div><div class=inner>{}</div></div>"])
+                         .format("".join(f"<p>{t}" + rng.choice(["", "</p>"]) for t in texts)))
+            parts.append(rng.choice(["", f"<nav>{MENU}</nav>", f"<div class=sidebar><p>{LONG}</p></div>", "<div class='ad-box'>Buy.</div>",
+                                     f"<aside><p>{LONG}</p></aside>", f"<ul class=commentlist><li>{LONG}</ul>"]))
+        page = f"<html><body><header>{LONG}</header>{''.join(parts)}<footer>{LONG}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(want), page
+
+
 def test_main_text_matches_the_articles(spark):
     """The pages mark their articles: brute force cuts them out and strips the tags."""
     from html import unescape
