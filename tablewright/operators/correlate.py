@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, qcol
 from .clean import null_counts
+from .discord import discordances
 from .rank import average_rank, join_back, ranked_counts, table_size, written
 
 #: aggregates per pass; keeps generated code under the JVM method size limit on wide tables
@@ -131,11 +132,8 @@ def kendall_pairs(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple
 
     Values are replaced by their column's row ranks (one distributed ranking;
     a rank over all rows keeps the order on any pair's complete rows), and
-    equal ``(pair, x, y)`` rows collapse to counts.  A discordant pair of rows
-    (x_i < x_j, y_i > y_j) differs first at exactly one bit of the y-rank,
-    inside one y-prefix: per bit level, the rows of a prefix whose bit is 1 and
-    whose x-rank is smaller are counted with the bucketed ranking, so no task
-    holds a whole prefix (the top level has a single one).  All pair sums are
+    equal ``(pair, x, y)`` rows collapse to counts.  Discordant pairs of rows
+    are counted on a grid of rank ranges (:mod:`.discord`).  All pair sums are
     decimals: they outgrow 64 bits from about 3e9 rows.
     """
     base = df.select(*[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
@@ -165,20 +163,11 @@ def kendall_from_counts(d: DataFrame, pairs: list[tuple[int, int]]) -> dict[tupl
     ties = {}
     for name, keys in (("x", ["rx"]), ("y", ["ry"]), ("xy", ["rx", "ry"])):
         for r in (d.groupBy("pair", *keys).agg(F.sum("cnt").alias("t"))
-                  .groupBy("pair").agg(_pairs_within("t").alias("twice"), F.sum("t").alias("n"), F.max(keys[-1]).alias("top")).collect()):
+                  .groupBy("pair").agg(_pairs_within("t").alias("twice"), F.sum("t").alias("n")).collect()):
             ties[r["pair"], name] = r
     if not ties:
         return {p: (None, 0) for p in pairs}
-    levels = max(1, max(int(r["top"]) for (_, name), r in ties.items() if name == "y").bit_length())
-    lv = d.select("pair", "rx", "ry", "cnt", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
-    lv = lv.select("pair", "b", F.expr("shiftright(ry, b + 1)").alias("prefix"),
-                   F.expr("shiftright(ry, b) % 2").alias("bit"), "rx", "cnt")
-    agg = lv.groupBy("pair", "b", "prefix", "rx").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("cnt")).otherwise(F.lit(0))).alias("c0"),
-        F.sum(F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0))).alias("c1"))
-    rc = ranked_counts(agg, "rx", by=["pair", "b", "prefix"], weight="c1", carry=["c0"])
-    found = {r["pair"]: int(r["disc"] or 0) for r in rc.groupBy("pair").agg(
-        F.sum((F.col("c0").cast("decimal(19,0)") * F.col("before").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("disc")).collect()}
+    found = discordances(d)
     out: dict[tuple[int, int], tuple[float | None, int]] = {}
     for k, p in enumerate(pairs):
         n = int(ties[k, "x"]["n"]) if (k, "x") in ties else 0
