@@ -6,7 +6,7 @@ stands at its position in at least ``min_docs`` documents (counted over the
 leaf's distinct lines) is constant there; other words generalise to ``<*>``.
 A line's *template* is what remains.  It is valid if at most
 ``1 - similarity`` of its words were generalised (digit words aside) and some
-constant word is left.  Lines whose template occurs in ``min_docs`` or more
+constant word is left, or if one word was, beside ``SHORT_KEPT`` or more constant ones (a field in a line of four words).  Lines whose template occurs in ``min_docs`` or more
 documents are dropped, all of them, as recurring boilerplate.
 
 Scale: leaves are counted on 64-bit hashes; only lines in leaves that occur
@@ -37,6 +37,8 @@ MIN_DOCS = 3
 DEPTH = 3
 MIN_WORDS = 3
 SIMILARITY = 0.8
+#: Constant words beside which one word may always generalise, so that lines of four words can form a template.
+SHORT_KEPT = 3
 OUTPUTS = ["n_lines", "n_dropped", "clean_text"]
 
 
@@ -89,7 +91,7 @@ def recurring_lines(texts: DataFrame, known: DataFrame, min_docs: int, depth: in
                   F.count_if(~F.col("stays") & ~F.col("masked")).alias("wild"),
                   F.count_if(F.col("stays") & ~F.col("masked")).alias("kept"))
              .select("line_hash", F.xxhash64("leaf", "words").alias("template"), F.col("wild").cast("int"), F.col("kept").cast("int"), "n"))
-    templates = (whole.unionByName(parts).filter((F.col("kept") > 0) & (F.col("wild") <= F.lit(1 - similarity + 1e-9) * F.col("n")))
+    templates = (whole.unionByName(parts).filter((F.col("kept") > 0) & ((F.col("wild") <= F.lit(1 - similarity + 1e-9) * F.col("n")) | ((F.col("wild") == 1) & (F.col("kept") >= SHORT_KEPT))))
                  .select("line_hash", "template"))
     templates = written(templates, "templates")
     # documents per template, each counted once
@@ -142,7 +144,7 @@ c AS (SELECT *, word = '<*>' AS masked, pos < {DEPTH} OR (word <> '<*>' AND sum(
 t AS (SELECT words, n, list(CASE WHEN stays THEN word ELSE '<*>' END ORDER BY pos) AS template,
              count(*) FILTER (WHERE NOT stays AND NOT masked) AS wild, count(*) FILTER (WHERE stays AND NOT masked) AS kept
       FROM c GROUP BY words, n),
-v AS (SELECT words, template FROM t WHERE kept > 0 AND wild <= {1 - SIMILARITY + 1e-9} * n),
+v AS (SELECT words, template FROM t WHERE kept > 0 AND (wild <= {1 - SIMILARITY + 1e-9} * n OR (wild = 1 AND kept >= {SHORT_KEPT}))),
 r AS (SELECT template FROM (SELECT DISTINCT doc_id, text, template FROM w JOIN v USING (words)) GROUP BY template HAVING count(*) >= {MIN_DOCS}),
 x AS (SELECT words FROM v JOIN r USING (template)),
 k AS (SELECT w.doc_id, w.text, count(*) AS n_lines, count(x.words) AS n_dropped,

@@ -103,6 +103,15 @@ def test_line_dedup_templates(spark):
     assert [got[10 + i].clean_text for i in range(3)] == [""] * 3
 
 
+def test_line_dedup_short_templates(spark):
+    """One field generalises in a line of four words; with two fields, or too few documents, it stays."""
+    names = ["anna", "bert", "carl", "dora", "emil", "fred"]
+    rows = [(i, f"Posted by user {w}\nSeen {w} by {w}s\nOnly {w} here") for i, w in enumerate(names)]
+    rows += [(10 + i, f"Sold by shop {w}") for i, w in enumerate(names[:2])]
+    got = {r.doc_id: r.clean_text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: f"Seen {w} by {w}s\nOnly {w} here" for i, w in enumerate(names)} | {10 + i: f"Sold by shop {w}" for i, w in enumerate(names[:2])}
+
+
 def test_line_dedup_edges(spark):
     docs = edge_documents(spark)
     got = line_dedup.dedup_lines(docs)
