@@ -22,7 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.columns import is_integral, qcol
 from ..functions.rounding import round_dp
 from ..functions.special import (
-    digamma, kolmogorov_upper, pgamma_array, pnorm_col, qgamma_array, qnorm_col, trigamma,
+    digamma, kolmogorov_exact, kolmogorov_upper, pgamma_array, pnorm_col, qgamma_array, qnorm_col, trigamma,
 )
 from .explore import histogram, spread
 from .rank import quantile_map, ranked_counts
@@ -279,20 +279,31 @@ def pdf_col(fit: Fit, x: Column) -> Column:
     raise ValueError(fit.family)
 
 
-def ks_statistic(df: DataFrame, col: str, fit: Fit) -> tuple[float, int]:
-    """D = max over sorted positions of max(i/n - F, F - (i-1)/n), from distinct-value ranks."""
+#: below this many untied values the distribution of the KS statistic is computed exactly (a fixed value)
+KS_EXACT_BELOW = 100
+
+
+def _ks(df: DataFrame, col: str, fit: Fit) -> tuple[float, int, bool]:
+    """D = max over sorted positions of max(i/n - F, F - (i-1)/n), from distinct-value ranks; n; whether values are tied."""
     xs = qcol(col).cast("double") + F.lit(fit.shift)
     rc = ranked_counts(df, xs)
     fx = cdf_col(fit, F.col("value"))
     n = F.col("total").cast("double")
     d = F.greatest((F.col("before") + F.col("cnt")) / n - fx, fx - F.col("before") / n)
-    r = rc.agg(F.max(d).alias("d"), F.max("total").alias("n")).first()
-    return float(r["d"]), int(r["n"])
+    r = rc.agg(F.max(d).alias("d"), F.max("total").alias("n"), F.max("cnt").alias("most")).first()
+    return float(r["d"]), int(r["n"]), int(r["most"]) > 1
+
+
+def ks_statistic(df: DataFrame, col: str, fit: Fit) -> tuple[float, int]:
+    """The KS statistic D and n."""
+    return _ks(df, col, fit)[:2]
 
 
 def ks_test(df: DataFrame, col: str, fit: Fit) -> dict:
-    d, n = ks_statistic(df, col, fit)
-    return {"statistic": d, "n": n, "p_asymptotic": kolmogorov_upper(math.sqrt(n) * d)}
+    """Statistic, ``p_asymptotic`` and, for fewer than ``KS_EXACT_BELOW`` untied values, ``p_exact`` (else None)."""
+    d, n, tied = _ks(df, col, fit)
+    exact = kolmogorov_exact(n, d) if n < KS_EXACT_BELOW and not tied else None
+    return {"statistic": d, "n": n, "p_asymptotic": kolmogorov_upper(math.sqrt(n) * d), "p_exact": exact}
 
 
 def _fmt_param(v: float) -> str:
